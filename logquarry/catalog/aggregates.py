@@ -27,9 +27,9 @@ def templates_all(spark, sf):
     return rollups.templates(event_rows(spark, sf))
 
 
-@query("templates_min_count", f"WITH {rows_cte('json')} " + TEMPLATES.format(where="", having="HAVING count(*) >= 50"))
+@query("templates_min_count", f"WITH {rows_cte('json')} " + TEMPLATES.format(where="", having="HAVING count(*) >= 5"))
 def templates_min_count(spark, sf):
-    return rollups.templates(event_rows(spark, sf, "json"), min_count=50)
+    return rollups.templates(event_rows(spark, sf, "json"), min_count=5)
 
 
 @query("doc_line_templates", f"""WITH {lines_cte()}, r AS (SELECT file, line_no,
@@ -102,10 +102,10 @@ def histogram_total(spark, sf):
     return rollups.histogram_total(rollups.histogram(event_rows(spark, sf), FilterSpec(level="ERR")))
 
 
-@query("histogram_zero_fill", f"""{G}, h AS (SELECT date_trunc('hour', CAST(ts_norm AS TIMESTAMP)) AS at, count(*) AS n
+@query("histogram_zero_fill", f"""{G}, h AS (SELECT date_trunc('hour', CAST(ts_norm AS TIMESTAMP)) AS hr, count(*) AS n
   FROM r WHERE level = 'ERR' GROUP BY 1)
-  SELECT strftime(s.at, '%Y-%m-%dT%H') AS t, coalesce(h.n, 0) AS n FROM (SELECT unnest(generate_series(
-    (SELECT min(at) FROM h), (SELECT max(at) FROM h), INTERVAL 1 HOUR)) AS at) s LEFT JOIN h ON h.at = s.at""")
+  SELECT strftime(s.hr, '%Y-%m-%dT%H') AS t, coalesce(h.n, 0) AS n FROM (SELECT unnest(generate_series(
+    (SELECT min(hr) FROM h), (SELECT max(hr) FROM h), INTERVAL 1 HOUR)) AS hr) s LEFT JOIN h ON h.hr = s.hr""")
 def histogram_zero_fill(spark, sf):
     return rollups.fill_gaps(rollups.histogram(event_rows(spark, sf), FilterSpec(level="ERR"), "hour"), "hour")
 

@@ -40,12 +40,11 @@ _rows("drilldown_value", "syslog", "contains(search, 'host3')", FilterSpec().wit
 
 
 @query("filter_phrase", f"""WITH {lines_cte()}, t AS (SELECT file, line_no, ' ' || trim(regexp_replace(
-    strip_accents(lower('   RAW        ' || value)), '[^\\pL\\pN]+', ' ', 'g')) || ' ' AS tok FROM ln)
+    strip_accents(lower(value)), '[^\\pL\\pN]+', ' ', 'g')) || ' ' AS tok FROM ln)
   SELECT file, line_no FROM t WHERE (contains(tok, ' of the ') OR contains(tok, ' de la ')) AND NOT contains(tok, ' and ')""")
 def filter_phrase(spark, sf):
-    rows = parse_raw(text_lines(spark, sf))
-    return rows.filter(filters.phrase_terms(
-        F.col("msg"), filters.parse_terms("of the,de la,!and"))).select("file", "line_no")
+    return text_lines(spark, sf).filter(filters.phrase_terms(
+        F.col("value"), filters.parse_terms("of the,de la,!and"))).select("file", "line_no")
 
 
 @query("count_filtered", f"{A} SELECT count(*) AS n FROM r WHERE code = '500'")

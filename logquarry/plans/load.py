@@ -71,8 +71,9 @@ def load_files(spark: SparkSession, paths: list[str], owner: str = "local",
                         spread_by="line_no").withColumn("owner", F.lit(owner))
     tagged = parsers.tag_lines(ready, list(parsers.PARSERS))
     store = scratch_folder(spark, "parsed")
-    tagged.write.partitionBy("accepted").parquet(store)
-    stored = spark.read.parquet(store)
+    tagged.withColumn("kept", F.col("accepted").cast("int")).drop("accepted").write.partitionBy(
+        "kept").parquet(store)
+    stored = spark.read.parquet(store).withColumn("accepted", F.col("kept") == 1)
 
     counts = stored.groupBy("file").agg(F.count_if("accepted").alias("parsed"),
                                         F.count_if(~F.col("accepted")).alias("rejected"))

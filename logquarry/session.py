@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,9 +20,22 @@ def configure(spark: SparkSession) -> SparkSession:
     """Pin what results depend on: UTC rendering and partition-wise overwrite."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    if not is_local(spark):
+        ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, for the functions that run in Python."""
+    if getattr(spark.sparkContext, "_logquarry_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="logquarry-"), "logquarry"),
+                                 "zip", root, "logquarry")
+    spark.sparkContext.addPyFile(packed)
+    spark.sparkContext._logquarry_shipped = True
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
