@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.operators import parsers
-from logquarry.session import configure
+from logquarry.session import configure, needs_spreading, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+SPREAD: dict[tuple[str, str], bool] = {}     # per application and table
 
 
 def query(name: str, sql: str | None = None):
@@ -32,7 +33,12 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    found = spark.read.parquet(path)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in SPREAD:
+        SPREAD[key] = needs_spreading(found)
+    return spread(found) if SPREAD[key] else found
 
 
 # --- derived lines, Spark side ---------------------------------------------

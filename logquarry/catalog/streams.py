@@ -19,7 +19,7 @@ def _numbered_rows(batch):
     return parsers.parse_generic(lines)
 
 
-def _run_landing(spark, folder, max_files=2):
+def _run_landing(spark, folder, max_files=16):
     tables = live.LiveTables(spark, scratch_folder(spark, "live"))
     stream = landing.watch_folder(spark, folder, max_files)
     live.run_available(stream, lambda b, i: tables.write(_numbered_rows(b), i), tables.path + "/checkpoint")
@@ -40,7 +40,7 @@ def stream_landing_parse(spark, sf):
   UNION ALL SELECT 'distinct', 'ip', count(DISTINCT ip) FROM ev
   UNION ALL SELECT 'minutes', '', count(DISTINCT substr(exact, 1, 16)) FROM ev""")
 def stream_incremental_tops(spark, sf):
-    tables = _run_landing(spark, _landed(spark, sf), 1)
+    tables = _run_landing(spark, _landed(spark, sf), 10)
     kind = lambda df, k: df.select(F.lit(k).alias("kind"), "value", "n")
     kpis = tables.kpis()
     return (kind(tables.top("ip", 30), "ip").unionByName(kind(tables.top("level", 30), "level"))

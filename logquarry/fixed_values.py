@@ -20,7 +20,7 @@ SYSLOG = (r'(?:<\d+>)?\d+\s+'
           r'(\S+)\s+(\S+?)(?:\[(\d+)\])?:?\s+(.*)')
 IPV4 = r'(\d{1,3}(?:\.\d{1,3}){3})'
 CLF_TIME = (r'(\d{1,2})/([A-Za-z]{3})[A-Za-z]?/(\d{4}):(\d{2}):(\d{2}):(\d{2})'
-            r'(?:\s*([+-]\d{4}))?')
+            r'(?:\s*([+-]\d{2})(\d{2}))?')
 
 # --- message template: what is replaced by '*' ---
 TEMPLATE_IP = r'(?:\d{1,3}\.){3}\d{1,3}'
@@ -35,6 +35,8 @@ LEVEL_NAMES = {
     "DBG": "DBG", "DEBUG": "DBG", "TRACE": "DBG",
 }
 LEVEL_ORDER = ("INF", "WRN", "ERR", "CRIT", "DBG", "RAW")
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun",
+          "jul", "aug", "sep", "oct", "nov", "dec")
 
 # --- JSON lines: first non-empty key wins ---
 JSON_TIME_KEYS = ("ts", "time", "timestamp", "@timestamp", "datetime", "date")

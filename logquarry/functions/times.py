@@ -6,46 +6,56 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logquarry import fixed_values as V
-from logquarry.functions.patterns import java_regex, whole_line
+from logquarry.functions.patterns import whole_line
 
 ISO = (r"^\d{4}-\d{2}-\d{2}"
        r"(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$")
 LAST_SECOND = 253402300799          # 9999-12-31T23:59:59
 
 
-def _clf_time(s: Column, months: dict[str, str]) -> Column:
-    """One replacement brings the text to `d/Mon/yyyy:HH:mm:ss zone`, one parse reads it."""
-    plain = F.regexp_replace(s, whole_line(V.CLF_TIME), "$1/$2/$3:$4:$5:$6 $7")
-    for other, english in months.items():
-        plain = F.regexp_replace(plain, f"(?i)/{other}/", f"/{english}/")
-    return (F.when(~s.rlike(java_regex("^" + V.CLF_TIME)), F.lit(None).cast("timestamp"))
-            .when(plain.endswith(" "), F.try_to_timestamp(F.rtrim(plain), F.lit("d/MMM/yyyy:HH:mm:ss")))
-            .otherwise(F.try_to_timestamp(plain, F.lit("d/MMM/yyyy:HH:mm:ss Z"))))
+def plain_time(s: Column) -> Column:
+    """Trimmed text to one of: `=` ISO text, `@` yyyy-Mon-d HH:mm:ss zone:, digits.
 
-
-def event_time(ts: Column, months: dict[str, str] | None = None) -> Column:
+    Anything else passes through or becomes NULL and is no time to `read_time`:
+    all three kinds start with a digit, so other text cannot carry a mark.
+    """
+    with_seconds = F.when(F.substring(s, 17, 1) == ":", F.replace(s, F.lit(","), F.lit("."))).otherwise(
+        F.regexp_replace(s, r"(T| )(\d{2}:\d{2})(Z|[+-]|$)", "$1$2:00$3"))
+    clf = F.regexp_replace(s, whole_line(V.CLF_TIME), "@$3-$2-$1 $4:$5:$6$7:$8")
+    return F.when(F.left(s, F.lit(1)).between("0", "9"), F.when(s.rlike(ISO), F.concat(
+        F.lit("="), with_seconds)).otherwise(clf))
+
+
+def read_time(p: Column, months: dict[str, int] | None = None) -> Column:
+    names = {**{m: i + 1 for i, m in enumerate(V.MONTHS)}, **(months or {})}
+    number_of = F.create_map(*[x for m, i in names.items() for x in (F.lit(m.lower()), F.lit(f"{i:02d}"))])
+    month = F.try_element_at(number_of, F.lower(F.substring(p, 7, 3)))
+    dated = F.concat(F.substring(p, 2, 5), month, F.rtrim(F.substring(p, 10, 64), F.lit(":")))
+    number = p.try_cast("long")
+    return (F.when(p.startswith("="), F.substring(p, 2, 64).try_cast("timestamp"))
+            .when(p.startswith("@"), dated.try_cast("timestamp"))
+            .when(~p.rlike("^[0-9]+$"), F.lit(None).cast("timestamp"))
+            .when((F.char_length(p) >= 13) & (number <= LAST_SECOND * 1000 + 999),
+                  F.timestamp_millis(number))
+            .when((F.char_length(p) < 13) & (number <= LAST_SECOND), F.timestamp_seconds(number)))
+
+
+def event_time(ts: Column, months: dict[str, int] | None = None) -> Column:
     """Access-log time, epoch seconds or milliseconds, or ISO 8601; else NULL.
 
     With a zone the result is UTC, without one the time is kept as written. The
     text is matched before it is cast: a bare cast also takes `2023` or `10:00`.
-    `months` maps further month names to English ones, e.g. {"Ago": "Aug"}.
+    `months` adds month names (their first three letters), e.g. {"ago": 8}.
     """
-    s = F.trim(F.coalesce(ts, F.lit("")))
-    number = s.try_cast("long")
-    epoch = (F.when((F.char_length(s) >= 13) & (number <= LAST_SECOND * 1000 + 999),
-                    F.timestamp_millis(number))
-             .when((F.char_length(s) < 13) & (number <= LAST_SECOND), F.timestamp_seconds(number)))
-    with_seconds = F.when(F.substring(s, 17, 1) == ":", F.replace(s, F.lit(","), F.lit("."))).otherwise(
-        F.regexp_replace(s, r"(T| )(\d{2}:\d{2})(Z|[+-]|$)", "$1$2:00$3"))
-    return (F.when(s == "", F.lit(None).cast("timestamp"))
-            .when(s.rlike(java_regex(ISO)), with_seconds.try_cast("timestamp"))
-            .when(s.rlike("^[0-9]+$"), epoch)
-            .otherwise(_clf_time(s, months or {})))
+    return read_time(plain_time(F.trim(F.coalesce(ts, F.lit("")))), months)
 
 
 def iso_text(t: Column) -> Column:
     """yyyy-MM-ddTHH:mm:ss, plus six fraction digits only when there is a fraction."""
-    s = t.cast("string")
+    return iso_form(t.cast("string"))
+
+
+def iso_form(s: Column) -> Column:
     whole = F.concat(F.substring(s, 1, 10), F.lit("T"), F.substring(s, 12, 8))
     return F.coalesce(
         F.when(F.char_length(s) > 19,
@@ -53,7 +63,7 @@ def iso_text(t: Column) -> Column:
         F.lit(""))
 
 
-def norm_ts(ts: Column, months: dict[str, str] | None = None) -> Column:
+def norm_ts(ts: Column, months: dict[str, int] | None = None) -> Column:
     return iso_text(event_time(ts, months))
 
 

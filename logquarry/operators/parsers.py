@@ -18,7 +18,7 @@ from logquarry import schema
 from logquarry.functions.patterns import capture, captured, whole_line
 from logquarry.functions.text import (blank, first_ipv4, make_search, make_template,
                                       norm_level, number_or_null, truncate)
-from logquarry.functions.times import event_time, iso_text
+from logquarry.functions.times import iso_form, plain_time, read_time
 from logquarry.session import lookup_join
 
 CLF_GROUPS = 6
@@ -28,11 +28,12 @@ LEVELLED_PATTERN = whole_line(V.LEVELLED, "i")
 SYSLOG_PATTERN = whole_line(V.SYSLOG)
 
 SPACES = r"(?U)\s+"
-EDGE_SPACES = r"(?U)^\s+|\s+$"
+SPACE_CHARACTERS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, EDGE_SPACES, "")
+    """Without white space of any script at both ends."""
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ def clf_variant(g: Column) -> Column:
 def _clf_fields(g: Column, value: Column) -> dict[str, Column]:
     ip, date, method, path, code, size = (_clf_part(g, i) for i in range(1, 7))
     return {"ts": date, "ip": ip, "method": method, "path": path, "code": code, "bytes": size,
-            "msg": truncate(F.concat_ws(" ", method, path))}
+            "msg": F.concat_ws(" ", method, path)}
 
 
 CLF = LineParser("apache",
@@ -85,7 +86,7 @@ def _w3c_fields(tokens: Column, value: Column) -> dict[str, Column]:
     method, path = get("cs-method"), get("cs-uri-stem", "cs-uri", "cs-uri-query")
     return {"ts": F.trim(F.concat_ws(" ", get("date"), get("time"))), "ip": get("c-ip"),
             "method": method, "path": path, "code": get("sc-status"), "bytes": get("sc-bytes"),
-            "msg": truncate(F.concat_ws(" ", method, path))}
+            "msg": F.concat_ws(" ", method, path)}
 
 
 def _w3c_accepts(tokens: Column, value: Column) -> Column:
@@ -136,7 +137,7 @@ def _json_fields(parsed: Column, value: Column) -> dict[str, Column]:
     message = first(V.JSON_MESSAGE_KEYS)
     return {"ts": first(V.JSON_TIME_KEYS), "level": norm_level(F.upper(first(V.JSON_LEVEL_KEYS))),
             "ip": first(V.JSON_IP_KEYS),
-            "msg": truncate(F.when(message == "", strip(value)).otherwise(message))}
+            "msg": F.when(message == "", strip(value)).otherwise(message)}
 
 
 JSONL = LineParser("json", _json_capture, _json_accepts, _json_fields)
@@ -147,7 +148,7 @@ JSONL = LineParser("json", _json_capture, _json_accepts, _json_fields)
 SYSLOG = LineParser(
     "syslog", lambda v: capture(v, SYSLOG_PATTERN, 5), lambda g, v: captured(g, 5),
     lambda g, v: {"ts": F.get(g, 1), "host": F.get(g, 2), "app": F.get(g, 3),
-                  "pid": F.get(g, 4), "ip": first_ipv4(v), "msg": truncate(F.get(g, 5))})
+                  "pid": F.get(g, 4), "ip": first_ipv4(v), "msg": F.get(g, 5)})
 
 
 def _generic_fields(g: Column, value: Column) -> dict[str, Column]:
@@ -155,13 +156,13 @@ def _generic_fields(g: Column, value: Column) -> dict[str, Column]:
     return {"ts": F.when(hit, F.concat_ws(" ", F.get(g, 1), F.get(g, 2))).otherwise(""),
             "level": F.when(hit, norm_level(F.get(g, 3))).otherwise("RAW"),
             "ip": first_ipv4(value),
-            "msg": truncate(F.when(hit, F.get(g, 4)).otherwise(value))}
+            "msg": F.when(hit, F.get(g, 4)).otherwise(value)}
 
 
 GENERIC = LineParser("generic", lambda v: capture(v, LEVELLED_PATTERN, 4),
                      lambda g, v: F.lit(True), _generic_fields)
 RAW = LineParser("raw", lambda v: F.lit(True), lambda g, v: F.lit(True),
-                 lambda g, v: {"level": F.lit("RAW"), "msg": truncate(v)})
+                 lambda g, v: {"level": F.lit("RAW"), "msg": v})
 
 PARSERS: dict[str, LineParser] = {
     p.name: p for p in (CLF, W3C, JSONL, SYSLOG, GENERIC, RAW)}
@@ -193,21 +194,28 @@ def tag_lines(lines: DataFrame, formats: list[str]) -> DataFrame:
         made = p.fields(got, value)
         return F.struct(p.accepts(got, value).alias("accepted"), *[
             blank(made[f]).alias(f) if f in made else F.lit("").alias(f) for f in schema.FIELDS])
+    keep = [c for c in lines.columns if c != "w3c_fields"]
+    packed = held.select(*keep, F.coalesce(*[only(p, row(p)) for p in parsers]).alias("_row"))
     # A one-element inline, not a projected struct: the optimizer cannot push a
     # filter on `accepted` below it, which would run every match a second time.
-    keep = [c for c in lines.columns if c != "w3c_fields"]
-    return held.select(*keep, F.inline(F.array(F.coalesce(*[only(p, row(p)) for p in parsers]))))
+    flat = packed.select(*keep, F.inline(F.array("_row")))
+    return flat.withColumn("msg", truncate(F.col("msg")))
 
 
 def enrich(rows: DataFrame) -> DataFrame:
     """Load-time columns: raw, template, search text, canonical and typed time."""
-    timed = rows.select("*", truncate(F.col("value")).alias("raw"),
-                        event_time(F.col("ts")).alias("event_time"))
-    return timed.select(
-        *schema.KEYS, "format", *schema.FIELDS, "raw",
-        make_template(F.col("raw")).alias("template"),
+    # Step by step: each step's expressions read plain columns, so none is repeated
+    # inside another and the generated methods stay small enough to be compiled.
+    keep = [*schema.KEYS, "format", *schema.FIELDS]
+    cut = rows.select(*keep, truncate(F.col("value")).alias("raw"), F.trim("ts").alias("_ts"))
+    told = cut.select(*keep, "raw", plain_time(F.col("_ts")).alias("_ts"))
+    timed = told.select(*keep, "raw", read_time(F.col("_ts")).alias("event_time"))
+    shown = timed.select(*keep, "raw", "event_time", F.col("event_time").cast("string").alias("_time"),
+                         make_template(F.col("raw")).alias("template"))
+    return shown.select(
+        *keep, "raw", "template",
         make_search({f: F.col(f) for f in V.SEARCH_FIELDS}).alias("search"),
-        iso_text(F.col("event_time")).alias("ts_norm"), "event_time",
+        iso_form(F.col("_time")).alias("ts_norm"), "event_time",
         number_or_null(F.col("code"), "int").alias("code_int"),
         number_or_null(F.col("bytes"), "bigint").alias("bytes_num"))
 
