@@ -28,9 +28,9 @@ def parse_terms(text: str | None) -> Terms | None:
 
 
 def exact_terms(c: Column, terms: Terms) -> Column:
+    """Equality tests on the bare column, so they reach the scan's statistics."""
     wanted = [t for n, t in terms if not n]
     refused = [t for n, t in terms if n]
-    c = F.coalesce(c, F.lit(""))
     tests = ([c.isin(wanted)] if wanted else []) + ([~c.isin(refused)] if refused else [])
     return reduce(Column.__and__, tests)
 

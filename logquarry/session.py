@@ -94,6 +94,6 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     if spread_by is None:
         return big.join(small, keys, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(HOT_KEY_SALTS)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_KEY_SALTS - 1)))
-                              .cast("long"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.lit(HOT_KEY_SALTS - 1).cast("long"))))
     return salted.join(copies, keys + ["_salt"], how).drop("_salt")

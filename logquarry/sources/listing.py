@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -14,9 +15,17 @@ from logquarry.functions.text import safe_base_name
 
 
 def list_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file, path, size) without reading any content."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-            .select(F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("size")))
+    """(file, path, size) without reading any content.
+
+    A scan has no split for an empty file, so such files are added by name.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    found = scan.select(F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("size"))
+    names = scan.inputFiles()
+    if len(names) == found.count():
+        return found
+    listed = spark.createDataFrame([(n, unquote(n), 0) for n in names], "file string, path string, size long")
+    return found.unionByName(listed.join(found.select("file"), "file", "left_anti"))
 
 
 def open_input(file: str):
