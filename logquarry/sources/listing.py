@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -21,7 +22,8 @@ def list_files(spark: SparkSession, *paths: str) -> DataFrame:
     """
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
     found = scan.select(F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("size"))
-    names = scan.inputFiles()
+    # Both are URIs, but a local one has three slashes here and one in a scan.
+    names = [re.sub("^file:/+", "file:/", n) for n in scan.inputFiles()]
     if len(names) == found.count():
         return found
     listed = spark.createDataFrame([(n, unquote(n), 0) for n in names], "file string, path string, size long")
