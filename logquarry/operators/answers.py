@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logquarry import fixed_values as V
 from logquarry.functions.text import answer_key, template_item
 from logquarry.operators.rollups import template_counts, template_order, with_example
+from logquarry.session import lookup_join, settle
 
 Ask = Callable[[str], tuple[bool, str]]
 
@@ -18,21 +19,20 @@ Ask = Callable[[str], tuple[bool, str]]
 def cache_split(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) by hash: hits carry the cached answer, misses are distinct.
 
-    A hash wanted by very many rows stays spread: the rows join against a cache
-    that holds it once, and only distinct hashes are looked up for the misses.
+    A hash wanted by very many rows stays spread over tasks; for the misses only
+    distinct hashes are looked up.
     """
     known = cache.select("hash", "answer")
-    hits = requests.join(known, "hash")
+    hits = lookup_join(requests, known, ["hash"])
     wanted = requests.groupBy("hash").agg(F.min("line").alias("line"))
     return hits, wanted.join(known.select("hash"), "hash", "left_anti")
 
 
 def insert_or_ignore(cache: DataFrame, new: DataFrame) -> DataFrame:
     """Cache plus the new answers whose hash it lacks; the first of a hash stays."""
-    fresh = new.join(cache.select("hash"), "hash", "left_anti")
-    one = fresh.groupBy("hash").agg(
-        F.min(F.struct("created_at", "line", "answer")).alias("_v"))
-    return cache.unionByName(one.select("hash", "_v.line", "_v.answer", "_v.created_at"))
+    one = new.groupBy("hash").agg(F.min(F.struct("created_at", "line", "answer")).alias("_v"))
+    fresh = one.join(cache.select("hash"), "hash", "left_anti")
+    return cache.unionByName(fresh.select("hash", "_v.line", "_v.answer", "_v.created_at"))
 
 
 def ask_each(misses: DataFrame, ask: Ask) -> DataFrame:
@@ -78,20 +78,20 @@ def select_templates(rows: DataFrame, level: str = "ERR", fallback_format: str =
     Imported results carry no level; such a dataset without a row of the level is
     described by all its templates.
     """
-    per_set = rows.groupBy("dataset").agg(
-        F.max(F.col("level") == level).alias("_has"),
-        F.max(F.col("format") == fallback_format).alias("_import"))
-    # Counts keep the level apart, so one aggregate serves both cases.
+    # Counts keep level and format apart, so one aggregate serves both cases; it is
+    # small and read three times, hence settled.
     source = rows.withColumn("_fits", F.col("level") == level)
-    counts = template_counts(source, ("dataset", "_fits"))
+    counts = settle(template_counts(source, ("dataset", "format", "_fits")))
+    at = F.min(F.struct("file", "line_no")).alias("_at")
+
+    def merged(part: DataFrame) -> DataFrame:
+        return part.groupBy("dataset", "template").agg(
+            F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), at,
+        ).select("dataset", "template", "n", "first", "last", "_at.file", "_at.line_no")
     narrow = counts.filter("_fits")
-    loose = per_set.filter("_import AND NOT _has").select("dataset")
-    merged = counts.join(loose, "dataset", "left_semi")
-    merged = merged.groupBy("dataset", "template").agg(
-        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
-        F.min(F.struct("file", "line_no")).alias("_at")).select(
-        "dataset", "template", "n", "first", "last", "_at.file", "_at.line_no")
-    groups = narrow.drop("_fits").unionByName(merged)
+    loose = counts.filter(F.col("format") == fallback_format).join(
+        narrow.select("dataset").distinct(), "dataset", "left_anti")
+    groups = merged(narrow).unionByName(merged(loose))
     rank = F.row_number().over(Window.partitionBy("dataset").orderBy(*template_order()))
     groups = groups.withColumn("rank", rank).filter(F.col("rank") <= limit)
     return with_example(groups, rows, bounded=False).select(

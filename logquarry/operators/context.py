@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry import fixed_values as V
-from logquarry.session import lookup_join
+from logquarry.session import lookup_join, settle
 
 
 def context(lines: DataFrame, targets: DataFrame, n: int = V.CONTEXT_DEFAULT) -> DataFrame:
@@ -21,7 +21,7 @@ def context(lines: DataFrame, targets: DataFrame, n: int = V.CONTEXT_DEFAULT) ->
         F.explode(F.sequence(F.greatest(F.col("target") - n, F.lit(0)), F.col("target") + n))
         .alias("line_no"))
     # (file, line_no) repeats when targets are near each other; that only fans out.
-    around = lookup_join(lines.select("file", "line_no", "value"), want, ["file", "line_no"])
+    around = lookup_join(lines.select("file", "line_no", "value"), settle(want), ["file", "line_no"])
     place = (F.when(F.col("line_no") < F.col("target"), "before")
              .when(F.col("line_no") > F.col("target"), "after").otherwise("current"))
     return around.select("file", "target", "line_no", (F.col("line_no") + 1).alias("shown_line"),

@@ -41,7 +41,11 @@ def detect_format(lines: DataFrame, bounds: DataFrame | None = None) -> DataFram
     near = near.filter("line_no < head_to").select("file", "line_no", "value")
     shown = near.filter(F.col("value").rlike(NOT_BLANK))
     rank = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    sample = (shown.withColumn("_rank", rank).filter(F.col("_rank") <= V.DETECT_SAMPLE))
+    return judge(shown.withColumn("_rank", rank).filter(F.col("_rank") <= V.DETECT_SAMPLE))
+
+
+def judge(sample: DataFrame) -> DataFrame:
+    """Verdict per file over its sample: file, line_no, value, at most 100 lines a file."""
     value = F.col("value")
     marked = sample.select(
         "file", "line_no", "value", value.rlike(CLF_PATTERN).alias("apache"),

@@ -10,7 +10,7 @@ from logquarry.operators.filters import FilterSpec, apply_filter
 from logquarry.session import settle
 
 ORDER = ("file", "line_no")
-TOP_K_ROWS = 50_000      # up to here each task may keep the leading rows
+CANDIDATE_ROWS = 2_000_000   # leading rows of all tasks together that may meet in one
 BLOCK_BITS = 17          # lines per counting block: 131,072
 
 
@@ -23,11 +23,16 @@ def page(rows: DataFrame, spec: FilterSpec, page: int = 1, size: int = V.PAGE_SI
     start = (page - 1) * size
     found = apply_filter(rows, spec)
     shown = found.drop("search") if "search" in found.columns else found
-    if start + size <= TOP_K_ROWS:
+    if _few_candidates(shown, start + size):
         return shown.orderBy(*ORDER).offset(start).limit(size)
     return _deep_page(shown, start, size)
 
 
+def _few_candidates(rows: DataFrame, wanted: int) -> bool:
+    """A sort with a limit lets every task send its `wanted` first rows to one place."""
+    return wanted * rows.rdd.getNumPartitions() <= CANDIDATE_ROWS
+
+
 def _deep_page(found: DataFrame, start: int, size: int) -> DataFrame:
     """A page far in: count per file, then per block of lines, then rank inside the
     one or few blocks that hold the page. No task ever sorts what lies before it."""
@@ -56,14 +61,16 @@ def _deep_page(found: DataFrame, start: int, size: int) -> DataFrame:
 
 def keyset_page(rows: DataFrame, spec: FilterSpec, after: tuple[str, int] | None,
                 size: int = V.PAGE_SIZE) -> DataFrame:
-    """The page behind a given row: constant cost at any depth."""
+    """The page behind a given row: the same cost at any depth."""
     _, size = clamp(1, size)
     found = apply_filter(rows, spec)
     if after is not None:
         file, line_no = after
         found = found.filter((F.col("file") > file)
                              | ((F.col("file") == file) & (F.col("line_no") > line_no)))
-    return found.orderBy(*ORDER).limit(size)
+    if _few_candidates(found, size):
+        return found.orderBy(*ORDER).limit(size)
+    return _deep_page(found, 0, size)
 
 
 def display(rows: DataFrame, fmt: str) -> DataFrame:

@@ -202,11 +202,11 @@ def tag_lines(lines: DataFrame, formats: list[str]) -> DataFrame:
     return flat.withColumn("msg", truncate(F.col("msg")))
 
 
-def enrich(rows: DataFrame) -> DataFrame:
+def enrich(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Load-time columns: raw, template, search text, canonical and typed time."""
     # Step by step: each step's expressions read plain columns, so none is repeated
     # inside another and the generated methods stay small enough to be compiled.
-    keep = [*schema.KEYS, "format", *schema.FIELDS]
+    keep = [*schema.KEYS, "format", *schema.FIELDS, *extra]
     cut = rows.select(*keep, truncate(F.col("value")).alias("raw"), F.trim("ts").alias("_ts"))
     told = cut.select(*keep, "raw", plain_time(F.col("_ts")).alias("_ts"))
     timed = told.select(*keep, "raw", read_time(F.col("_ts")).alias("event_time"))

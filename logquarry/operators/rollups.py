@@ -84,11 +84,9 @@ def only_format_kpis(table: DataFrame) -> DataFrame:
 def summary(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row per dataset: its manifest totals, parsed rows and KPIs."""
     per_set = dataset_list(manifest)
-    found = kpis(rows, ["owner", "dataset"])
-    parsed = rows.groupBy("owner", "dataset").agg(F.count("*").alias("parsed"))
-    joined = (per_set.join(parsed, ["owner", "dataset"], "left")
-              .join(found, ["owner", "dataset"], "left")
-              .fillna(0, ["parsed", *KPI_COLUMNS]))
+    found = rows.groupBy("owner", "dataset").agg(
+        F.count("*").alias("parsed"), *[F.count_distinct(_kpi_value(k)).alias(k) for k in KPI_COLUMNS])
+    joined = (per_set.join(found, ["owner", "dataset"], "left").fillna(0, ["parsed", *KPI_COLUMNS]))
     return only_format_kpis(joined)
 
 

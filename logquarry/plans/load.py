@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from logquarry import fixed_values as V
 from logquarry import schema
 from logquarry.operators import parsers
-from logquarry.operators.detect import detect_format, head_bounds
+from logquarry.operators.detect import judge
 from logquarry.session import lookup_join, scratch_folder, settle
 from logquarry.sources import archives, listing, lines
 
@@ -27,57 +28,69 @@ def load_files(spark: SparkSession, paths: list[str], owner: str = "local",
                max_decompressed: int = V.MAX_DECOMPRESSED_BYTES) -> Loaded:
     """Read, decode, detect and parse any mix of files.
 
-    The parsed lines are written once to the shared folder, split into accepted
-    and refused ones; rows, rejects and the manifest's counts all read that.
+    The text is read twice: once to count lines and judge the encoding, once to
+    parse. Parsed lines are written to the shared folder, accepted and refused ones
+    apart; rows, rejects and the manifest's counts all read that.
     """
     names = listing.assign_names(listing.list_files(spark, *paths))
     files = settle(listing.classify_files(names.drop("dataset")).join(
         names.select("file", "dataset"), "file"))
 
+    profile, raw, splits = _profile(spark, files, max_decompressed)
+    heads = archives.read_heads(profile.filter("error = '' AND total > 0"))
+    known = settle(profile.join(judge(heads), "file", "left").withColumn(
+        "error", F.when(F.col("error") != "", F.col("error"))
+        .when(F.col("format").isNull(), "empty").otherwise("")))
+    good = known.filter("error = ''")
+
+    # Each line meets one lookup, which gives it its number, encoding and format.
+    carry = ("dataset", "format", "w3c_fields", "error")
+    parts = []
+    if raw is not None:
+        parts.append(lines.number_lines(raw, splits, known, carry).filter("error = ''").drop("error"))
+    packed = good.filter("via = 'archive'")
+    if not packed.isEmpty():
+        parts.append(lookup_join(archives.read_archives(packed), settle(packed.select(
+            "file", "dataset", "format", "w3c_fields")), ["file"]))
+    if not parts:
+        raise ValueError("no readable file")
+    text = reduce(DataFrame.unionByName, parts).withColumn("owner", F.lit(owner))
+    tagged = parsers.tag_lines(text, list(parsers.PARSERS))
+    rows = parsers.enrich(
+        tagged.withColumn("rejected_value", F.when(~F.col("accepted"), F.col("value"))),
+        ("accepted", "rejected_value"))
+    store = scratch_folder(spark, "parsed")
+    rows.withColumn("kept", F.col("accepted").cast("int")).drop("accepted").write.partitionBy(
+        "kept").parquet(store)
+    stored = spark.read.parquet(store)
+
+    counts = stored.groupBy("file").agg(F.count_if(F.col("kept") == 1).alias("parsed"),
+                                        F.count_if(F.col("kept") == 0).alias("rejected"))
+    manifest = (good.join(counts, "file", "left").withColumn("owner", F.lit(owner))
+                .withColumn("loaded_at", F.current_timestamp()).select(*schema.MANIFEST_COLUMNS))
+    rejects = stored.filter("kept = 0").select(
+        *schema.KEYS, "format", F.col("rejected_value").alias("value"), F.lit("no_match").alias("reason"))
+    return Loaded(stored.filter("kept = 1").select(*schema.ROW_COLUMNS), rejects, manifest,
+                  known.filter("error != ''").select("file", F.col("error").alias("reason")))
+
+
+def _profile(spark: SparkSession, files: DataFrame, max_decompressed: int):
+    """(files with inner, total, encoding and error; raw text lines; their splits)."""
     direct = files.filter("via = 'text'")
     # Paths, not data: the reader's own file index holds the same list.
     plain = [r["path"] for r in direct.select("path").toLocalIterator()]
-    parts, profiles = [], []
+    columns = ("inner", "total", "encoding", "error")
+    found, raw, splits = [], None, None
     if plain:
         raw = lines.scan_text(spark, plain)
         splits = settle(lines.profile_splits(raw))
-        profile = lines.file_profile(splits).join(direct.select("file", "compressed"), "file", "right")
+        seen = direct.join(lines.file_profile(splits), "file", "left")
         oversize = (F.col("compressed") != "") & (F.col("text_bytes") > max_decompressed)
-        profiles.append(settle(profile.select(
-            "file", F.lit("").alias("inner"), F.coalesce("total", F.lit(0)).alias("total"), "encoding",
-            F.when(oversize, "too_large_decompressed").otherwise("").alias("error"))))
-        parts.append(lines.number_lines(raw, splits, profiles[-1]))
+        found.append(seen.withColumns({
+            "inner": F.lit(""), "total": F.coalesce("total", F.lit(0)),
+            "error": F.when(oversize, "too_large_decompressed").otherwise("")}))
     packed = files.filter("via = 'archive'")
     if not packed.isEmpty():
-        inspected = settle(archives.inspect_archives(packed, max_decompressed))
-        profiles.append(inspected.select("file", "inner", "total", "encoding", "error"))
-        usable = archives.readable(inspected).join(packed.select("file", "compressed"), "file")
-        parts.append(archives.read_archives(usable))
-    profile, text = profiles[0], parts[0]
-    for more_profile, more_text in zip(profiles[1:], parts[1:]):
-        profile, text = profile.unionByName(more_profile), text.unionByName(more_text)
-
-    bounds = settle(head_bounds(text))
-    detected = detect_format(text, bounds)
-    known = settle(
-        files.join(profile, "file").join(bounds.select("file", "non_blank"), "file", "left")
-        .join(detected, "file", "left")
-        .withColumn("error", F.when(F.col("error") != "", F.col("error"))
-                    .when(F.coalesce("non_blank", F.lit(0)) == 0, "empty").otherwise("")))
-    refused = known.filter("error != ''").select("file", F.col("error").alias("reason"))
-    good = known.filter("error = ''")
-
-    ready = lookup_join(text, settle(good.select("file", "dataset", "format", "w3c_fields")), ["file"],
-                        spread_by="line_no").withColumn("owner", F.lit(owner))
-    tagged = parsers.tag_lines(ready, list(parsers.PARSERS))
-    store = scratch_folder(spark, "parsed")
-    tagged.withColumn("kept", F.col("accepted").cast("int")).drop("accepted").write.partitionBy(
-        "kept").parquet(store)
-    stored = spark.read.parquet(store).withColumn("accepted", F.col("kept") == 1)
-
-    counts = stored.groupBy("file").agg(F.count_if("accepted").alias("parsed"),
-                                        F.count_if(~F.col("accepted")).alias("rejected"))
-    manifest = (good.join(counts, "file", "left").withColumn("owner", F.lit(owner))
-                .withColumn("loaded_at", F.current_timestamp()).select(*schema.MANIFEST_COLUMNS))
-    return Loaded(parsers.enrich(stored.filter("accepted")), parsers.reject_rows(stored),
-                  manifest, refused)
+        found.append(packed.join(archives.inspect_archives(packed, max_decompressed), "file"))
+    kept = [f.select(*files.columns, *columns) for f in found]
+    return settle(reduce(DataFrame.unionByName, kept)), raw, splits

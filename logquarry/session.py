@@ -10,9 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may hold to be sent to every executor. The sides in question are
-# a few short columns wide (file, offset, flag), so this bounds the bytes too.
-BROADCAST_ROWS = 200_000
+# What a lookup may hold to be sent to every executor, measured before the join.
+# A million file splits, the largest lookup here (100 TB of text), take about 300 MB.
+BROADCAST_BYTES = 512 << 20
 HOT_KEY_SALTS = 32
 
 
@@ -82,18 +82,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def held_bytes(df: DataFrame) -> int:
+    """Bytes of a settled table: its text plus a fixed share per value."""
+    row = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns),
+              F.lit(16 * len(df.columns)))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                max_rows: int = BROADCAST_ROWS, spread_by: str | None = None) -> DataFrame:
-    """Join a settled lookup table (unique on `keys`) to a big one.
+                max_bytes: int = BROADCAST_BYTES, spread_by: str | None = None) -> DataFrame:
+    """Join a settled lookup table to a big one.
 
-    Within `max_rows` the lookup is broadcast. Beyond it the join shuffles on the
-    keys plus a salt taken from `spread_by`, so one hot key fills many tasks.
+    The lookup is broadcast once it is measured to fit `max_bytes`. Beyond that
+    the join shuffles on the keys plus a salt, so one hot key fills many tasks;
+    the salt comes from `spread_by` or else from the row's place in its partition.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
+    if held_bytes(small) <= max_bytes:
         return big.join(F.broadcast(small), keys, how)
-    if spread_by is None:
-        return big.join(small, keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(HOT_KEY_SALTS)))
+    place = F.xxhash64(spread_by) if spread_by else F.monotonically_increasing_id()
+    salted = big.withColumn("_salt", F.pmod(place, F.lit(HOT_KEY_SALTS)))
     copies = small.withColumn("_salt", F.explode(F.sequence(
         F.lit(0).cast("long"), F.lit(HOT_KEY_SALTS - 1).cast("long"))))
     return salted.join(copies, keys + ["_salt"], how).drop("_salt")

@@ -22,6 +22,7 @@ from logquarry import fixed_values as V
 from logquarry.sources.listing import open_input
 
 PIECE = 1 << 20
+HEAD_PIECE = 1 << 16
 UNDEFINED = V.CP1252_UNDEFINED.encode("latin-1")
 
 
@@ -46,10 +47,21 @@ def _open(raw, kind: str):
     return (opener(raw, "rb") if opener else raw), ""
 
 
-def _pieces(stream, limit: int) -> Iterator[bytes]:
+def _split(piece: bytes, encoding: str, first: bool) -> list[str]:
+    """Lines of a piece, without CR at their ends and without the byte-order mark."""
+    text = piece.decode(encoding, "replace")
+    if first and encoding == "utf-8":
+        text = text.removeprefix("\ufeff")
+    found = [t.rstrip("\r") for t in text.split("\n")]
+    if text.endswith("\n"):
+        found.pop()
+    return found
+
+
+def _pieces(stream, limit: int, size: int = PIECE) -> Iterator[bytes]:
     """Runs of whole lines, each ending in a newline but perhaps the last."""
     rest, seen = [], 0
-    while chunk := stream.read(PIECE):
+    while chunk := stream.read(size):
         seen += len(chunk)
         if seen > limit:
             raise TooLarge("too_large_decompressed")
@@ -115,12 +127,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with open_input(row["file"]) as raw:
                 stream, _ = _open(raw, row["compressed"])
                 for piece in _pieces(stream, V.MAX_DECOMPRESSED_BYTES):
-                    text = piece.decode(row["encoding"], "replace")
-                    if line_no == 0 and row["encoding"] == "utf-8":
-                        text = text.removeprefix("﻿")
-                    found = [t.rstrip("\r") for t in text.split("\n")]
-                    if text.endswith("\n"):
-                        found.pop()
+                    found = _split(piece, row["encoding"], line_no == 0)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["file"]] * len(found), pa.string()),
                          pa.array(range(line_no, line_no + len(found)), pa.int64()),
@@ -134,5 +141,33 @@ def read_archives(files: DataFrame) -> DataFrame:
         _lines, "file string, line_no long, value string")
 
 
+def _heads(sample: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, kind, encoding in zip(batch["file"], batch["compressed"], batch["encoding"]):
+                found, line_no = [], 0
+                with open_input(file) as raw:
+                    stream, _ = _open(raw, kind)
+                    for piece in _pieces(stream, V.MAX_DECOMPRESSED_BYTES, HEAD_PIECE):
+                        for line in _split(piece, encoding, line_no == 0):
+                            if line.strip() and len(found) < sample:
+                                found.append((file, line_no, line))
+                            line_no += 1
+                        if len(found) >= sample:
+                            break
+                yield pd.DataFrame(found, columns=["file", "line_no", "value"])
+    return run
+
+
+def read_heads(files: DataFrame, sample: int = V.DETECT_SAMPLE) -> DataFrame:
+    """(file, line_no, value): the first non-blank lines of each file.
+
+    `files`: file, compressed, encoding. Reads a few kilobytes per file, so formats
+    are known before the text is read whole.
+    """
+    return _spread(files.select("file", "compressed", "encoding")).mapInPandas(
+        _heads(sample), "file string, line_no long, value string")
+
+
 def readable(inspected: DataFrame) -> DataFrame:
     return inspected.filter(F.col("error") == "")

@@ -79,21 +79,22 @@ def file_profile(splits: DataFrame) -> DataFrame:
         encoding_name(F.bool_and("utf8"), F.bool_and("cp1252")).alias("encoding"))
 
 
-def number_lines(raw: DataFrame, splits: DataFrame, files: DataFrame) -> DataFrame:
-    """(file, line_no, value) with decoded text.
+def number_lines(raw: DataFrame, splits: DataFrame, files: DataFrame,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """(file, line_no, value, carry..) with decoded text; `carry` names columns of `files`.
 
     Both scans must cut the files alike. If they ever did not (say the session's
     split size changed in between), some position falls outside its split's
     range and the job fails instead of numbering lines wrongly.
     """
-    lookup = splits.join(files.select("file", "encoding"), "file").select(
-        "file", "_block", "_first", "_offset", "lines", "encoding")
+    lookup = splits.join(files.select("file", "encoding", *carry), "file").select(
+        "file", "_block", "_first", "_offset", "lines", "encoding", *carry)
     found = lookup_join(raw, settle(lookup), ["file", "_block"], how="left", spread_by="_id")
     at = F.col("_id") - F.col("_first")
     line_no = F.when((at >= 0) & (at < F.col("lines")), F.col("_offset") + at).otherwise(
         F.raise_error(F.lit("file splits changed between two scans of one load")).cast("long"))
     return found.select("file", line_no.alias("line_no"),
-                        decode_lines(F.col("value"), F.col("encoding")).alias("value"))
+                        decode_lines(F.col("value"), F.col("encoding")).alias("value"), *carry)
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:

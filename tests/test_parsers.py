@@ -155,6 +155,8 @@ def test_lookup_beyond_broadcast_gives_the_same(lines, spark):
     from logquarry.session import lookup_join
     table = lines(FILES)
     small = settle(detect.detect_format(table)).select("file", "format")
-    wide = lookup_join(table, small, ["file"], max_rows=2, spread_by="line_no")
+    wide = lookup_join(table, small, ["file"], max_bytes=2, spread_by="line_no")
+    spun = lookup_join(table, small, ["file"], max_bytes=2)
     near = lookup_join(table, small, ["file"])
+    assert spun.select(near.columns).exceptAll(near).isEmpty() and spun.count() == near.count()
     assert sorted(map(tuple, wide.select(near.columns).collect())) == sorted(map(tuple, near.collect()))
