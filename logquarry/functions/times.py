@@ -8,22 +8,21 @@ from pyspark.sql import functions as F
 from logquarry import fixed_values as V
 from logquarry.functions.patterns import whole_line
 
-ISO = (r"^\d{4}-\d{2}-\d{2}"
-       r"(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$")
+ISO = (r"^(\d{4}-\d{2}-\d{2})"
+       r"(?:[T ](\d{2}:\d{2})(:\d{2}(?:\.\d+)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$")
 LAST_SECOND = 253402300799          # 9999-12-31T23:59:59
 
 
-def plain_time(s: Column) -> Column:
-    """Trimmed text to one of: `=` ISO text, `@` yyyy-Mon-d HH:mm:ss zone:, digits.
+def plain_time(ts: Column) -> Column:
+    """Text to one of: `=` ISO text, `@` yyyy-Mon-d HH:mm:ss zone:, digits, other text.
 
-    Anything else passes through or becomes NULL and is no time to `read_time`:
-    all three kinds start with a digit, so other text cannot carry a mark.
+    The input is named once and every step nests the one before, so the expression
+    stays small when the optimizer copies it into a filter. The two marks are
+    taken out of the input first, so no other text can carry one.
     """
-    with_seconds = F.when(F.substring(s, 17, 1) == ":", F.replace(s, F.lit(","), F.lit("."))).otherwise(
-        F.regexp_replace(s, r"(T| )(\d{2}:\d{2})(Z|[+-]|$)", "$1$2:00$3"))
-    clf = F.regexp_replace(s, whole_line(V.CLF_TIME), "@$3-$2-$1 $4:$5:$6$7:$8")
-    return F.when(F.left(s, F.lit(1)).between("0", "9"), F.when(s.rlike(ISO), F.concat(
-        F.lit("="), with_seconds)).otherwise(clf))
+    s = F.translate(F.trim(F.coalesce(ts, F.lit(""))), "=@,", "xx.")
+    iso = F.regexp_replace(s, ISO, "=$1T$2$3$4")
+    return F.regexp_replace(iso, whole_line(V.CLF_TIME), "@$3-$2-$1 $4:$5:$6$7:$8")
 
 
 def read_time(p: Column, months: dict[str, int] | None = None) -> Column:
@@ -31,13 +30,12 @@ def read_time(p: Column, months: dict[str, int] | None = None) -> Column:
     number_of = F.create_map(*[x for m, i in names.items() for x in (F.lit(m.lower()), F.lit(f"{i:02d}"))])
     month = F.try_element_at(number_of, F.lower(F.substring(p, 7, 3)))
     dated = F.concat(F.substring(p, 2, 5), month, F.rtrim(F.substring(p, 10, 64), F.lit(":")))
-    number = p.try_cast("long")
-    return (F.when(p.startswith("="), F.substring(p, 2, 64).try_cast("timestamp"))
+    number, millis = p.try_cast("long"), F.char_length(p) >= 13
+    last = F.when(millis, F.lit(LAST_SECOND * 1000 + 999)).otherwise(F.lit(LAST_SECOND))
+    return (F.when(p.startswith("="), F.rtrim(F.substring(p, 2, 64), F.lit("T")).try_cast("timestamp"))
             .when(p.startswith("@"), dated.try_cast("timestamp"))
-            .when(~p.rlike("^[0-9]+$"), F.lit(None).cast("timestamp"))
-            .when((F.char_length(p) >= 13) & (number <= LAST_SECOND * 1000 + 999),
-                  F.timestamp_millis(number))
-            .when((F.char_length(p) < 13) & (number <= LAST_SECOND), F.timestamp_seconds(number)))
+            .when(p.rlike("^[0-9]+$") & (number <= last), F.timestamp_micros(
+                number * F.when(millis, F.lit(1000)).otherwise(F.lit(1000000)))))
 
 
 def event_time(ts: Column, months: dict[str, int] | None = None) -> Column:
@@ -47,20 +45,13 @@ def event_time(ts: Column, months: dict[str, int] | None = None) -> Column:
     text is matched before it is cast: a bare cast also takes `2023` or `10:00`.
     `months` adds month names (their first three letters), e.g. {"ago": 8}.
     """
-    return read_time(plain_time(F.trim(F.coalesce(ts, F.lit("")))), months)
+    return read_time(plain_time(ts), months)
 
 
 def iso_text(t: Column) -> Column:
     """yyyy-MM-ddTHH:mm:ss, plus six fraction digits only when there is a fraction."""
-    return iso_form(t.cast("string"))
-
-
-def iso_form(s: Column) -> Column:
-    whole = F.concat(F.substring(s, 1, 10), F.lit("T"), F.substring(s, 12, 8))
-    return F.coalesce(
-        F.when(F.char_length(s) > 19,
-               F.concat(whole, F.rpad(F.substring(s, 20, 7), 7, "0"))).otherwise(whole),
-        F.lit(""))
+    full = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.coalesce(F.replace(full, F.lit(".000000"), F.lit("")), F.lit(""))
 
 
 def norm_ts(ts: Column, months: dict[str, int] | None = None) -> Column:

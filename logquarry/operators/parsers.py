@@ -18,7 +18,7 @@ from logquarry import schema
 from logquarry.functions.patterns import capture, captured, whole_line
 from logquarry.functions.text import (blank, first_ipv4, make_search, make_template,
                                       norm_level, number_or_null, truncate)
-from logquarry.functions.times import iso_form, plain_time, read_time
+from logquarry.functions.times import iso_text, plain_time, read_time
 from logquarry.session import lookup_join
 
 CLF_GROUPS = 6
@@ -207,15 +207,12 @@ def enrich(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     # Step by step: each step's expressions read plain columns, so none is repeated
     # inside another and the generated methods stay small enough to be compiled.
     keep = [*schema.KEYS, "format", *schema.FIELDS, *extra]
-    cut = rows.select(*keep, truncate(F.col("value")).alias("raw"), F.trim("ts").alias("_ts"))
-    told = cut.select(*keep, "raw", plain_time(F.col("_ts")).alias("_ts"))
-    timed = told.select(*keep, "raw", read_time(F.col("_ts")).alias("event_time"))
-    shown = timed.select(*keep, "raw", "event_time", F.col("event_time").cast("string").alias("_time"),
-                         make_template(F.col("raw")).alias("template"))
-    return shown.select(
-        *keep, "raw", "template",
+    cut = rows.select(*keep, truncate(F.col("value")).alias("raw"), plain_time(F.col("ts")).alias("_ts"))
+    timed = cut.select(*keep, "raw", read_time(F.col("_ts")).alias("event_time"))
+    return timed.select(
+        *keep, "raw", make_template(F.col("raw")).alias("template"),
         make_search({f: F.col(f) for f in V.SEARCH_FIELDS}).alias("search"),
-        iso_form(F.col("_time")).alias("ts_norm"), "event_time",
+        iso_text(F.col("event_time")).alias("ts_norm"), "event_time",
         number_or_null(F.col("code"), "int").alias("code_int"),
         number_or_null(F.col("bytes"), "bigint").alias("bytes_num"))
 

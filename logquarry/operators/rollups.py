@@ -156,9 +156,9 @@ def templates(rows: DataFrame, level: str | None = None, min_count: int = 1,
 
 def histogram(rows: DataFrame, spec: FilterSpec = FilterSpec(), gran: str = "min") -> DataFrame:
     """(t, n) per minute or hour of the filtered rows that have a time."""
-    return (apply_filter(rows, spec).filter("ts_norm != ''")
-            .groupBy(bucket_label(F.col("ts_norm"), gran).alias("t"))
-            .agg(F.count("*").alias("n")).orderBy("t"))
+    buckets = (apply_filter(rows, spec).groupBy(bucket_label(F.col("ts_norm"), gran).alias("t"))
+               .agg(F.count("*").alias("n"), F.max(F.char_length("ts_norm")).alias("_long")))
+    return buckets.filter("_long > 0").select("t", "n").orderBy("t")
 
 
 def histogram_total(buckets: DataFrame) -> DataFrame:
