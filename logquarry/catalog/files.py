@@ -62,8 +62,8 @@ def decode_cp1252(spark, sf):
 
 
 def _pack(kind: str, folder: str):
-    """Write each bucket of a task as one xz, zip or misnamed gzip file."""
-    def run(batches):
+    """Write one bucket (at most 2,500 lines) as an xz, zip or misnamed gzip file."""
+    def run(part):
         import gzip
         import io
         import lzma
@@ -71,34 +71,32 @@ def _pack(kind: str, folder: str):
 
         import pandas as pd
 
-        from logquarry.streaming.tail import _resolve
-        held = {}
-        for batch in batches:
-            for bucket, part in batch.groupby("bucket"):
-                held.setdefault(bucket, []).extend(zip(part["event_id"], part["value"]))
-        for bucket, rows in held.items():
-            data = "".join(v + "\n" for _, v in sorted(rows)).encode()
-            if kind == "zip":
-                raw = io.BytesIO()
-                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("__MACOSX/a.log", "no")
-                    z.writestr("notes.md", "no")
-                    z.writestr("logs/app.log", data)
-                data = raw.getvalue()
-            else:
-                data = lzma.compress(data) if kind == "xz" else gzip.compress(data)
-            filesystem, path = _resolve(f"{folder}/bucket={bucket}")
-            filesystem.create_dir(path, recursive=True)
-            with filesystem.open_output_stream(f"{path}/part.{'log' if kind == 'gzip' else kind}") as f:
-                f.write(data)
-        yield pd.DataFrame({"n": [len(held)]})
+        from logquarry.streaming.tail import resolve
+        data = "".join(v + "\n" for v in part.sort_values("event_id")["value"]).encode()
+        if kind == "zip":
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("__MACOSX/a.log", "no")
+                z.writestr("notes.md", "no")
+                z.writestr("logs/app.log", data)
+            data = raw.getvalue()
+        else:
+            data = lzma.compress(data) if kind == "xz" else gzip.compress(data)
+        filesystem, path = resolve(f"{folder}/bucket={part['bucket'].iloc[0]}")
+        filesystem.create_dir(path, recursive=True)
+        with filesystem.open_output_stream(f"{path}/part.{'log' if kind == 'gzip' else kind}") as f:
+            f.write(data)
+        return pd.DataFrame({"n": [len(part)]})
     return run
 
 
+def by_bucket(text):
+    return text.select(F.expr(f"event_id div {PER_FILE}").alias("bucket"), "event_id", "value").groupBy("bucket")
+
+
 def packed_folder(spark, sf, kind: str) -> str:
     folder = scratch_folder(spark, kind)
-    text = form_text(spark, sf).select(F.expr(f"event_id div {PER_FILE}").alias("bucket"), "event_id", "value")
-    text.repartition("bucket").mapInPandas(_pack(kind, folder), "n long").agg(F.sum("n")).collect()
+    by_bucket(form_text(spark, sf)).applyInPandas(_pack(kind, folder), "n long").agg(F.sum("n")).collect()
     return folder
 
 

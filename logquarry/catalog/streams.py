@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from logquarry.catalog.base import EV, PARSE, event_lines, query, rows_cte
-from logquarry.catalog.files import BUCKETS, PER_FILE, bucket_of, form_text, write_buckets
+from logquarry.catalog.files import BUCKETS, PER_FILE, bucket_of, by_bucket, form_text, write_buckets
 from logquarry.operators import parsers
 from logquarry.session import scratch_folder
 from logquarry.streaming import landing, live, tail
@@ -50,32 +50,23 @@ def stream_incremental_tops(spark, sf):
                 F.lit("minutes").alias("kind"), F.lit("").alias("value"), F.col("distinct_values").alias("n"))))
 
 
-def _append(spark, sf, keep):
-    """Files that grow: each bucket's chosen events added at the end of its file."""
-    def run(folder):
-        def write(batches):
-            import pandas as pd
-
-            from logquarry.streaming.tail import _resolve
-            held = {}
-            for batch in batches:
-                for bucket, part in batch.groupby("bucket"):
-                    held.setdefault(bucket, []).extend(zip(part["event_id"], part["value"]))
-            for bucket, rows in held.items():
-                filesystem, path = _resolve(f"{folder}/{bucket:06d}.log")
-                filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                old = b""
-                if filesystem.get_file_info(path).is_file:
-                    with filesystem.open_input_stream(path) as f:
-                        old = f.read()
-                with filesystem.open_output_stream(path + "~") as f:
-                    f.write(old + "".join(v + "\n" for _, v in sorted(rows)).encode())
-                filesystem.move(path + "~", path)
-            yield pd.DataFrame({"n": [len(held)]})
-        text = form_text(spark, sf).filter(keep).select(
-            F.expr(f"event_id div {PER_FILE}").alias("bucket"), "event_id", "value")
-        text.repartition("bucket").mapInPandas(write, "n long").agg(F.sum("n")).collect()
-    return run
+def _write_files(spark, sf, keep, folder):
+    """Each bucket's chosen events as the whole content of its file, put in place at
+    once: a task that runs again leaves the same file."""
+    def write(part):
+        import uuid
+
+        import pandas as pd
+
+        from logquarry.streaming.tail import resolve
+        filesystem, path = resolve(f"{folder}/{part['bucket'].iloc[0]:06d}.log")
+        filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        unfinished = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+        with filesystem.open_output_stream(unfinished) as f:
+            f.write("".join(v + "\n" for v in part.sort_values("event_id")["value"]).encode())
+        filesystem.move(unfinished, path)
+        return pd.DataFrame({"n": [len(part)]})
+    by_bucket(form_text(spark, sf).filter(keep)).applyInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
 def _tail_once(spark, folder, tables):
@@ -86,10 +77,10 @@ def _tail_once(spark, folder, tables):
 
 @query("stream_tail_append", f"""WITH {EV} SELECT CAST(event_id // {PER_FILE} AS BIGINT) AS bucket, level, ip, exact AS ts_norm FROM ev""")
 def stream_tail_append(spark, sf):
-    """First half, then the rest appended to the same files; each line once."""
+    """Files with their first half, then grown to all of it; each line once."""
     folder, tables = scratch_folder(spark, "tail"), live.LiveTables(spark, scratch_folder(spark, "live"))
-    for keep in (F.col("event_id") % PER_FILE < PER_FILE / 2, F.col("event_id") % PER_FILE >= PER_FILE / 2):
-        _append(spark, sf, keep)(folder)
+    for keep in (F.col("event_id") % PER_FILE < PER_FILE / 2, F.lit(True)):
+        _write_files(spark, sf, keep, folder)
         _tail_once(spark, folder, tables)
     bucket = F.regexp_extract("file", r"(\d{6})\.log", 1).cast("bigint")
     return tables.rows().select(bucket.alias("bucket"), "level", "ip", "ts_norm")
@@ -100,13 +91,9 @@ def stream_tail_append(spark, sf):
 def stream_tail_truncate(spark, sf):
     """The files are replaced by shorter ones, which are read anew as generation 1."""
     folder, tables = scratch_folder(spark, "tail"), live.LiveTables(spark, scratch_folder(spark, "live"))
-    _append(spark, sf, F.lit(True))(folder)
-    _tail_once(spark, folder, tables)
-    from logquarry.streaming.tail import _resolve
-    filesystem, path = _resolve(folder)
-    filesystem.delete_dir_contents(path)
-    _append(spark, sf, F.col("value").contains(" error from "))(folder)
-    _tail_once(spark, folder, tables)
+    for keep in (F.lit(True), F.col("value").contains(" error from ")):
+        _write_files(spark, sf, keep, folder)
+        _tail_once(spark, folder, tables)
     bucket = F.regexp_extract("file", r"(\d{6})\.log", 1).cast("bigint")
     generation = F.when(F.col("file").contains("#1"), 1).otherwise(0)
     return tables.rows().select(bucket.alias("bucket"), generation.alias("generation"), "ip")

@@ -19,7 +19,7 @@ from logquarry.functions.patterns import capture, captured, whole_line
 from logquarry.functions.text import (blank, first_ipv4, make_search, make_template,
                                       norm_level, number_or_null, truncate)
 from logquarry.functions.times import iso_text, plain_time, read_time
-from logquarry.session import lookup_join
+from logquarry.session import lookup_join, settle
 
 CLF_GROUPS = 6
 CLF_PATTERN = whole_line(
@@ -267,7 +267,7 @@ def with_latest_header(lines: DataFrame, headers: DataFrame) -> DataFrame:
                  F.floor(F.col("_from") / step), F.floor((F.col("_to") - 1) / step))))
              .drop("_last"))
     cut = lines.withColumn("_step", F.floor(F.col("line_no") / step))
-    return (cut.join(spans, ["file", "_step"])
+    return (lookup_join(cut, settle(spans), ["file", "_step"])
             .filter((F.col("line_no") >= F.col("_from")) & (F.col("line_no") < F.col("_to")))
             .drop("_from", "_to", "_step"))
 
@@ -280,7 +280,6 @@ def parse_w3c(lines: DataFrame, fields: DataFrame | list[str] | None = None,
     elif repeated_headers:
         ready = with_latest_header(lines, lines.filter(F.col("value").startswith("#Fields")))
     else:
-        from logquarry.session import settle
         table = fields if fields is not None else settle(w3c_header(lines))
         ready = lookup_join(lines, table, ["file"], spread_by="line_no")
     return _parse_as(ready, "w3c")

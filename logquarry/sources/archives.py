@@ -31,10 +31,16 @@ class TooLarge(ValueError):
 
 
 def _member(archive: zipfile.ZipFile) -> str:
-    names = [n for n in archive.namelist() if not n.endswith("/") and not n.startswith("__MACOSX")]
-    if not names:
+    """The first member with a log extension, else the first file; folders and the
+    metadata twins some systems add do not count."""
+    def rank(place_and_info) -> tuple[bool, int]:
+        place, info = place_and_info
+        return not info.filename.lower().endswith(V.ZIP_MEMBER_EXTENSIONS), place
+    files = [(i, m) for i, m in enumerate(archive.infolist())
+             if not (m.is_dir() or m.filename.startswith("__MACOSX"))]
+    if not files:
         raise ValueError("empty_zip")
-    return next((n for n in names if n.lower().endswith(V.ZIP_MEMBER_EXTENSIONS)), names[0])
+    return min(files, key=rank)[1].filename
 
 
 def _open(raw, kind: str):

@@ -25,7 +25,7 @@ PIECE = 1 << 20
 LINES_PER_BATCH = 20_000
 
 
-def _resolve(uri: str) -> tuple[pafs.FileSystem, str]:
+def resolve(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -52,7 +52,7 @@ class TailReader(DataSourceStreamReader):
     def _sizes(self) -> dict[str, int]:
         sizes = {}
         for uri in self.paths:
-            filesystem, path = _resolve(uri)
+            filesystem, path = resolve(uri)
             info = filesystem.get_file_info(path)
             found = ([info] if info.type == pafs.FileType.File else
                      filesystem.get_file_info(pafs.FileSelector(path)) if info.type == pafs.FileType.Directory
@@ -66,7 +66,7 @@ class TailReader(DataSourceStreamReader):
     def _load_state(self) -> dict[str, list[int]]:
         if not self.state_path:
             return {}
-        filesystem, path = _resolve(self.state_path)
+        filesystem, path = resolve(self.state_path)
         if filesystem.get_file_info(path).type != pafs.FileType.File:
             return {}
         with filesystem.open_input_stream(path) as f:
@@ -74,7 +74,7 @@ class TailReader(DataSourceStreamReader):
 
     def _save_state(self) -> None:
         if self.state_path:
-            filesystem, path = _resolve(self.state_path)
+            filesystem, path = resolve(self.state_path)
             filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
             with filesystem.open_output_stream(path + ".new") as f:
                 f.write(json.dumps(self.seen).encode())
@@ -82,7 +82,7 @@ class TailReader(DataSourceStreamReader):
 
     def _last_newline(self, file: str, lo: int, hi: int) -> int:
         """Position behind the last newline in [lo, hi), or lo."""
-        filesystem, path = _resolve(file)
+        filesystem, path = resolve(file)
         with filesystem.open_input_file(path) as f:
             while hi > lo:
                 start = max(lo, hi - PIECE)
@@ -94,7 +94,7 @@ class TailReader(DataSourceStreamReader):
         return lo
 
     def _next_newline(self, file: str, lo: int, hi: int) -> int:
-        filesystem, path = _resolve(file)
+        filesystem, path = resolve(file)
         with filesystem.open_input_file(path) as f:
             f.seek(lo)
             while lo < hi:
@@ -148,7 +148,7 @@ class TailReader(DataSourceStreamReader):
         return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        filesystem, path = _resolve(part.file)
+        filesystem, path = resolve(part.file)
         with filesystem.open_input_file(path) as f:
             if f.size() < part.end:
                 raise IOError(f"{part.file} lost bytes before they were read")
