@@ -289,7 +289,13 @@ def tag_auto(lines: DataFrame, detected: DataFrame) -> DataFrame:
     """Lines tagged by the format of their file; `detected`: (file, format, w3c_fields)."""
     ready = lookup_join(lines, detected.select("file", "format", "w3c_fields"), ["file"],
                         spread_by="line_no")
-    return tag_lines(ready, list(PARSERS))
+    return tag_lines(ready, present_formats(detected))
+
+
+def present_formats(detected: DataFrame) -> list[str]:
+    """The known formats that occur: a handful of names, read on the driver."""
+    found = {r["format"] for r in detected.select("format").distinct().toLocalIterator()}
+    return [f for f in PARSERS if f in found] or ["raw"]
 
 
 def parse_auto(lines: DataFrame, detected: DataFrame) -> DataFrame:

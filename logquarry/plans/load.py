@@ -55,7 +55,7 @@ def load_files(spark: SparkSession, paths: list[str], owner: str = "local",
     if not parts:
         raise ValueError("no readable file")
     text = reduce(DataFrame.unionByName, parts).withColumn("owner", F.lit(owner))
-    tagged = parsers.tag_lines(text, list(parsers.PARSERS))
+    tagged = parsers.tag_lines(text, parsers.present_formats(good))
     rows = parsers.enrich(
         tagged.withColumn("rejected_value", F.when(~F.col("accepted"), F.col("value"))),
         ("accepted", "rejected_value"))

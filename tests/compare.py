@@ -49,6 +49,17 @@ def duck_result(con, sql):
     return sorted_rows([d[0] for d in cur.description], cur.fetchall())
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
+def type_difference(df, con, sql: str) -> str | None:
+    """Spark column types against the SQL's, by name."""
+    mine = {c: TYPES.get(t, t) for c, t in df.dtypes}
+    theirs = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    odd = {c: (t, theirs.get(c)) for c, t in mine.items() if theirs.get(c) != t}
+    return f"types {odd}" if odd else None
+
+
 def difference(spark_side, duck_side) -> str | None:
     if spark_side[0] != duck_side[0]:
         return f"columns {spark_side[0]} vs {duck_side[0]}"
@@ -75,7 +86,8 @@ def main(argv: list[str]) -> int:
             mine, df = spark_result(spark, queries[name], sf_dir)
             took = time.time() - start
             if name in oracle:
-                problem = difference(mine, duck_result(con, oracle[name]))
+                problem = (difference(mine, duck_result(con, oracle[name]))
+                           or type_difference(df, con, oracle[name]))
             else:
                 problem = None
             state = "DIFF " + problem if problem else f"ok {len(mine[1])} rows" + ("" if name in oracle else " (no SQL)")

@@ -19,6 +19,7 @@ def test_query(spark, duck, name):
     got, df = compare.spark_result(spark, QUERIES[name], SF)
     if name in ORACLE:
         assert compare.difference(got, compare.duck_result(duck, ORACLE[name])) is None
+        assert compare.type_difference(df, duck, ORACLE[name]) is None
     else:
         assert got[1]
 
