@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from logquarry import functions as C
-from logquarry.catalog.base import (EV, event_rows, events, lines_cte, query, rows_cte, table,
+from logquarry.catalog.base import (EV, event_lines, event_rows, events, lines_cte, query, rows_cte, table,
                                     text_lines)
 from logquarry.functions.text import PROMPT, PROMPT_LANGUAGE
 
@@ -100,3 +100,15 @@ def highlight_terms(spark, sf):
 @query("search_text", f"WITH {rows_cte('syslog')} SELECT line_no, search FROM r")
 def search_text(spark, sf):
     return event_rows(spark, sf, "syslog").select("line_no", "search")
+
+
+@query("sql_functions", f"""WITH {rows_cte('generic')} SELECT level, template, count(*) AS n, min(ts_norm) AS first
+  FROM r GROUP BY level, template""")
+def sql_functions(spark, sf):
+    """Clusters written in SQL with the registered functions."""
+    C.register_sql_functions(spark)
+    event_lines(spark, sf, "generic").createOrReplaceTempView("lq_lines")
+    return spark.sql("""
+        SELECT lq_norm_level(split(value, ' ')[2]) AS level, lq_make_template(lq_truncate(value)) AS template,
+               count(*) AS n, min(lq_norm_ts(left(value, 26))) AS first
+        FROM lq_lines GROUP BY 1, 2""")

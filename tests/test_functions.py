@@ -91,6 +91,19 @@ def test_highlight(spark):
     assert mark("<script>'\"", "", " ") == "&lt;script&gt;&#39;&quot;"
 
 
+def test_sql_functions_equal_the_column_functions(spark):
+    texts = ["", None, "2023-10-10 10:00:00,5", "2023-10-10T12:00+02:00", "2023-10-10", "21/Aug/2026:15:00:00 +0200",
+             "1/sept/2026:15:00:00", "31/Feb/2026:13:00:00", "1696948800", "1696948800123", "9" * 40, "=2023-10-10",
+             "warning", "odd", "conecto desde 10.0.0.5 al 8080 deadbeef00112233", "=1", "\tx", "é" * 601]
+    assert C.register_sql_functions(spark)
+    spark.createDataFrame([(t,) for t in texts], "s string").createOrReplaceTempView("texts")
+    same = {"lq_norm_level": C.norm_level, "lq_first_ipv4": C.first_ipv4, "lq_make_template": C.make_template,
+            "lq_truncate": C.truncate, "lq_csv_cell": C.csv_cell, "lq_event_time": C.event_time, "lq_norm_ts": C.norm_ts}
+    got = spark.sql("SELECT s, " + ", ".join(f"{n}(s) AS {n}" for n in same) + " FROM texts")
+    want = spark.table("texts").select("s", *[f(F.col("s")).alias(n) for n, f in same.items()])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_bucket_range():
     assert C.bucket_range("2023-10-10T10:05") == ("2023-10-10T10:05:00", "2023-10-10T10:06:00")
     assert C.bucket_range("2023-10-10T23") == ("2023-10-10T23:00:00", "2023-10-11T00:00:00")
