@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # A million file splits, the largest lookup here (100 TB of text), take about 300 MB.
 BROADCAST_BYTES = 512 << 20
 HOT_KEY_SALTS = 32
+LOCAL_ROOTS: dict[str, str] = {}    # application -> folder, local sessions only
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -46,8 +47,10 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="logquarry-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        if application not in LOCAL_ROOTS:
+            LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="logquarry-")
+        root = LOCAL_ROOTS[application]
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
