@@ -38,13 +38,6 @@ def parse_generic_text(spark, sf):
 
 
 # Access-log lines damaged in three ways, by event id.
-BROKEN = """CASE event_id % 4
-  WHEN 0 THEN ip || ' - - [' || stamp || '] "GET ' || path || ' HTTP/1.1" ' || code || ' ' || bytes
-  WHEN 1 THEN ip || ' - - [' || stamp || '] "GET ' || path || '" ' || code || ' ' || bytes
-  WHEN 2 THEN ip || ' - [' || stamp || '] "GET ' || path || '"'
-  ELSE ip || ' - - [' || stamp || '] "GET ' || path || ' ' || code || ' ' || bytes END"""
-
-
 @query("parse_clf_variants", f"""WITH {EV} SELECT event_id AS line_no,
   CASE event_id % 4 WHEN 0 THEN 'strict' WHEN 3 THEN 'open_quote' ELSE 'loose' END AS variant,
   ip, path, CASE WHEN event_id % 4 = 2 THEN '' ELSE code END AS code,
@@ -61,11 +54,6 @@ def parse_clf_variants(spark, sf):
                                            "bytes", "ts_norm")
 
 
-MIXED = "(" + " UNION ALL ".join(
-    f"SELECT '{f}.log' AS file, '{f}' AS form, owner, event_id AS line_no, {TEXT[f]} AS value FROM ev"
-    for f in FORMS) + ")"
-
-
 def mixed_lines(spark, sf):
     """Five files, one per form; the W3C one starts with its header."""
     out = None

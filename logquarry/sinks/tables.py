@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTITIONS = ("owner", "dataset")
-LINES_PER_RANGE = 1 << 20
 
 
 def _placed(rows: DataFrame) -> DataFrame:

@@ -22,11 +22,12 @@ def spark():
 @pytest.fixture
 def lines(spark):
     """lines(text, ...) -> line table of one file; lines({file: [text]}) of several."""
+    from logquarry import schema
+
     def make(*texts, owner="o", dataset="d"):
         files = texts[0] if texts and isinstance(texts[0], dict) else {"f": list(texts)}
         rows = [(owner, dataset, f, i, v) for f, vs in files.items() for i, v in enumerate(vs)]
-        return spark.createDataFrame(
-            rows, "owner string, dataset string, file string, line_no long, value string")
+        return spark.createDataFrame(rows, schema.LINE_SCHEMA)
     return make
 
 
