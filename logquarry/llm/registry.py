@@ -1,6 +1,6 @@
 """All queries of the training-data operators with their SQL."""
 
-from logquarry.llm import line_dedup
+from logquarry.llm import decontaminate, language_id, line_dedup
 from logquarry.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "line_dedup"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language_id", "line_dedup"]
