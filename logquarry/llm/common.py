@@ -69,3 +69,21 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFra
     """All rows and columns of docs but those whose key (null included) is in `dropped`."""
     other = dropped.select(F.col(key).alias("_lq_key")).distinct()
     return docs.join(other, same(docs[key], other["_lq_key"]), "left_anti")
+
+
+def few(df: DataFrame, most: int) -> bool:
+    """Whether a settled table has no more than `most` rows (its size is then bounded)."""
+    return df.count() <= most
+
+
+def texts_with(docs: DataFrame, extra: DataFrame) -> DataFrame:
+    """doc_id, text and what `extra` holds for (doc_id, text_key); one row per row of docs."""
+    slim = docs.select("doc_id", "text", text_key().alias("_lq_key"))
+    other = extra.withColumnsRenamed({"doc_id": "_lq_id", "text_key": "_lq_text"})
+    on = same(slim["doc_id"], other["_lq_id"]) & (slim["_lq_key"] == other["_lq_text"])
+    return slim.join(other, on, "left").drop("_lq_id", "_lq_text", "_lq_key")
+
+
+def text_key() -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64("text")

@@ -1,6 +1,6 @@
 """All queries of the training-data operators with their SQL."""
 
-from logquarry.llm import decontaminate, language_id, line_dedup, quality_rules
+from logquarry.llm import decontaminate, language_id, line_dedup, quality_rules, substring_dedup
 from logquarry.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "language_id", "line_dedup", "quality_rules"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language_id", "line_dedup", "quality_rules", "substring_dedup"]
