@@ -1,6 +1,8 @@
 """All queries of the training-data operators with their SQL."""
 
-from logquarry.llm import cotraining, decontaminate, language_id, line_dedup, quality_rules, substring_dedup
+from logquarry.llm import (cotraining, decontaminate, language_id, license_scan, line_dedup, mixing,
+                           quality_rules, substring_dedup, token_rollup)
 from logquarry.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cotraining", "decontaminate", "language_id", "line_dedup", "quality_rules", "substring_dedup"]
+__all__ = ["ORACLES", "QUERIES", "cotraining", "decontaminate", "language_id", "license_scan", "line_dedup",
+           "mixing", "quality_rules", "substring_dedup", "token_rollup"]
