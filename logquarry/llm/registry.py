@@ -1,8 +1,13 @@
 """All queries of the training-data operators with their SQL."""
 
-from logquarry.llm import (cotraining, decontaminate, language_id, license_scan, line_dedup, mixing,
-                           quality_rules, substring_dedup, token_rollup)
+import corpus_pipeline
+from logquarry.llm import (cotraining, decontaminate, jaccard_join, language_id, license_scan, line_dedup,
+                           mixing, quality_rules, substring_dedup, token_rollup)
 from logquarry.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cotraining", "decontaminate", "language_id", "license_scan", "line_dedup",
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+__all__ = ["ORACLES", "QUERIES", "cotraining", "decontaminate", "jaccard_join", "language_id", "license_scan", "line_dedup",
            "mixing", "quality_rules", "substring_dedup", "token_rollup"]
