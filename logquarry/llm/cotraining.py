@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from logquarry.llm.common import map_texts, query, same, stored, table
+from logquarry.llm.common import few, map_texts, query, same, stored, table
 from logquarry.llm.words import words
 
 WORD_BUCKETS = 1 << 18
@@ -40,6 +41,7 @@ LEAST_WORDS = 10            # shares of fewer words say nothing
 TEXT_BUCKETS = WORD_BUCKETS + (SHAPES + 2) * len(SHARES)
 META_BUCKETS = 1 << 16
 TARGETS = ("sound", "harmless")
+BROADCAST_LABELS = 1_000_000    # labelled ids sent to every task (about 40 bytes each); beyond, a shuffled join
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789",
            b".,;:'\"-()?", b"!", b"#*$%&|<>")
 
@@ -111,15 +113,24 @@ def labels_of(labels: DataFrame) -> DataFrame:
 
 @dataclass
 class View:
-    """Weights per bucket, and a line from raw score to log odds."""
+    """One view's classifier of one target: weights per bucket, and a line from raw score
+    to log odds."""
+    target: str
     column: str
-    buckets: int
     weights: np.ndarray
     slope: float = 0.0
     offset: float = 0.0
 
-    def log_odds(self, raw: Column) -> Column:
-        return raw * self.slope + self.offset
+    @property
+    def raw(self) -> str:
+        return f"raw_{self.target}_{self.column}"
+
+    def log_odds(self) -> Column:
+        return F.col(self.raw) * self.slope + self.offset
+
+
+BUCKETS = {"text_tokens": TEXT_BUCKETS, "meta_tokens": META_BUCKETS}
+Y = {(t, c): f"y_{t}_{c}" for t in TARGETS for c in BUCKETS}     # what a view learns from
 
 
 def held_back() -> Column:
@@ -127,20 +138,26 @@ def held_back() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
 
 
-def chosen(rows: DataFrame, column: str, least_z: float, most_features: int, least_docs: int = 5) -> np.ndarray:
-    """Buckets whose share differs most between the classes; y: label 0.0, 1.0 or null."""
-    good, every = rows.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count("y")).first()
-    counts = (rows.where("y IS NOT NULL").select(F.explode(column).alias("t"), "y")
-              .groupBy("t").agg(F.sum("y").alias("g"), F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") >= least_docs).toArrow())
-    if not (counts.num_rows and 0 < good < every):
-        return np.zeros(0, dtype=np.int64)
-    t, g, n = (counts.column(c).to_numpy() for c in "tgn")
-    b = n - g
-    odds = np.log((g + .5) / (good + 1)) - np.log((b + .5) / (every - good + 1))
-    z = np.abs(odds) / np.sqrt(1 / (g + .5) + 1 / (b + .5))
-    best = np.lexsort((t, -z))[:most_features]
-    return np.sort(t[best][z[best] >= least_z]).astype(np.int64)
+def chosen(rows: DataFrame, column: str, totals: dict[str, tuple[float, int]], least_z: float,
+           most_features: int, least_docs: int = 5) -> np.ndarray:
+    """Buckets whose share differs most between the classes of any target."""
+    ys = [Y[t, column] for t in TARGETS]
+    parts = [x for y in ys for x in (F.coalesce(F.sum(y), F.lit(0.0)).alias(f"g_{y}"), F.count(y).alias(f"n_{y}"))]
+    some = F.greatest(*[F.col(f"n_{y}") for y in ys]) >= least_docs
+    counts = (rows.where(F.coalesce(*ys).isNotNull()).select(F.explode(column).alias("t"), *ys)
+              .groupBy("t").agg(*parts).where(some).toArrow())
+    picked = [np.zeros(0, dtype=np.int64)]
+    for y in ys:
+        good, every = totals[y]
+        if not (counts.num_rows and 0 < good < every):
+            continue
+        t, g, n = (counts.column(c).to_numpy() for c in ("t", f"g_{y}", f"n_{y}"))
+        b = n - g
+        odds = np.log((g + .5) / (good + 1)) - np.log((b + .5) / (every - good + 1))
+        z = np.where(n >= least_docs, np.abs(odds) / np.sqrt(1 / (g + .5) + 1 / (b + .5)), 0)
+        best = np.lexsort((t, -z))[:most_features]
+        picked.append(t[best][z[best] >= least_z].astype(np.int64))
+    return np.unique(np.concatenate(picked))
 
 
 def regression(index: np.ndarray, row: np.ndarray, y: np.ndarray, features: int,
@@ -157,70 +174,90 @@ def regression(index: np.ndarray, row: np.ndarray, y: np.ndarray, features: int,
     return weights[:-1]
 
 
-def fit_weights(rows: DataFrame, column: str, buckets: int, least_z: float,
-                most_features: int, fit_rows: int) -> View:
-    """rows: doc_id, tokens in `column`, label in `y`."""
-    picked = chosen(rows, column, least_z, most_features)
-    weights = np.zeros(buckets, dtype=np.float32)
-    if not len(picked):
-        return View(column, buckets, weights)
-    n = rows.where("y IS NOT NULL").count()
-    part = min(1.0, fit_rows / n)
-    sample = rows.where(F.col("y").isNotNull() & (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) <= part * (1 << 20)))
-    place = np.full(buckets, -1, dtype=np.int32)
-    place[picked] = np.arange(len(picked))
+def sample_of(rows: DataFrame, picked: dict[str, np.ndarray], most: int, fit_rows: int) -> pa.Table:
+    """About fit_rows of the rows with a label (`most` have one), picked by the hash of the
+    id, with their chosen features."""
+    ys = list(Y.values())
+    part = int(min(1.0, fit_rows / max(most, 1)) * (1 << 20))
+    place = {c: np.full(BUCKETS[c], -1, dtype=np.int32) for c in BUCKETS}
+    for c, buckets in picked.items():
+        place[c][buckets] = np.arange(len(buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column(1)
-            spot = place[tokens.flatten().to_numpy()]
-            owner = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy())[spot >= 0]
-            offsets = np.searchsorted(owner, np.arange(len(tokens) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(spot[spot >= 0]))], names=["k", "y", "x"])
-    got = (sample.select(F.xxhash64("doc_id").alias("k"), column, "y")
-           .mapInArrow(run, "k long, y double, x array<int>").toArrow().sort_by("k"))
-    lists = got.column("x").combine_chunks()
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    weights[picked] = regression(lists.flatten().to_numpy(), row, got.column("y").to_numpy(), len(picked))
-    return View(column, buckets, weights)
-
-
-def scored(features: DataFrame, views: list[View]) -> DataFrame:
-    """features plus raw_<column> for every view."""
-    spark = features.sparkSession
-    shared = spark.sparkContext.broadcast([(v.column, v.weights) for v in views])
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    schema = StructType([*features.schema.fields,
-                         *[StructField(f"raw_{v.column}", DoubleType()) for v in views]])
+            out = []
+            for i, c in enumerate(BUCKETS):
+                tokens = batch.column(i)
+                spot = place[c][tokens.flatten().to_numpy()]
+                owner = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy())[spot >= 0]
+                offsets = np.searchsorted(owner, np.arange(len(tokens) + 1)).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(spot[spot >= 0])))
+            yield pa.RecordBatch.from_arrays([*out, *batch.columns[2:]], names=[*BUCKETS, "k", *ys])
+    schema = ", ".join([*[f"{c} array<int>" for c in BUCKETS], "k long", *[f"{y} double" for y in ys]])
+    return (rows.where(F.coalesce(*ys).isNotNull() & (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) <= part))
+            .select(*BUCKETS, F.xxhash64("doc_id").alias("k"), *ys).mapInArrow(run, schema).toArrow().sort_by("k"))
+
+
+def fit(rows: DataFrame, least_z: float, most_features: int, fit_rows: int) -> list[View]:
+    """Both views of both targets. rows: doc_id, the tokens, the labels Y."""
+    ys = list(Y.values())
+    got = rows.agg(*[x for y in ys for x in (F.coalesce(F.sum(y), F.lit(0.0)), F.count(y))]).first()
+    totals = {y: (got[2 * i], got[2 * i + 1]) for i, y in enumerate(ys)}
+    picked = {c: chosen(rows, c, totals, least_z, most_features) for c in BUCKETS}
+    table_ = sample_of(rows, picked, max(n for _, n in totals.values()), fit_rows)
+    views = []
+    for (target, column), y in Y.items():
+        view = View(target, column, np.zeros(BUCKETS[column], dtype=np.float32))
+        labelled = table_.filter(table_.column(y).is_valid())
+        truth = labelled.column(y).to_numpy()
+        if len(picked[column]) and 0 < truth.sum() < len(truth):
+            lists = labelled.column(column).combine_chunks()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            view.weights[picked[column]] = regression(lists.flatten().to_numpy(), row, truth, len(picked[column]))
+        views.append(view)
+    return views
+
+
+def scored(features: DataFrame, views: list[View], carry: list[str]) -> DataFrame:
+    """The carried columns and the raw score of every view."""
+    shared = features.sparkSession.sparkContext.broadcast([(v.column, v.weights) for v in views])
+    rows = features.select(*carry, *[F.col(c).alias(f"_lq_{c}") for c in BUCKETS])
+    schema = StructType([*rows.select(*carry).schema.fields, *[StructField(v.raw, DoubleType()) for v in views]])
+    names, kept = schema.names, len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             extra = []
             for column, weights in shared.value:
-                tokens = batch.column(batch.schema.get_field_index(column))
+                tokens = batch.column(batch.schema.get_field_index(f"_lq_{column}"))
                 sums = np.append(0, np.cumsum(weights[tokens.flatten().to_numpy()], dtype=np.float64))
-                ends = np.cumsum(tokens.value_lengths().to_numpy())
-                extra.append(pa.array(sums[ends] - sums[np.append(0, ends[:-1]).astype(np.int64)]
-                                      if len(ends) else np.zeros(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra],
-                                             names=[*batch.schema.names, *[f"raw_{c}" for c, _ in shared.value]])
-    return features.mapInArrow(run, schema)
-
-
-def calibrate(rows: DataFrame, view: View, target: str) -> View:
-    """Fit the line on held-back labels, from counts per tenth of raw score."""
-    tenth = F.round(F.greatest(F.least(F.col(f"raw_{view.column}"), F.lit(200.0)), F.lit(-200.0)) * 10)
-    got = (rows.where(held_back() & F.col(target).isNotNull()).groupBy(tenth.alias("x"))
-           .agg(F.sum(target).alias("g"), F.count(F.lit(1)).alias("n")).collect())
-    x = np.array([r["x"] / 10 for r in got])
-    g, n = np.array([r["g"] for r in got]), np.array([r["n"] for r in got], dtype=float)
+                ends = np.append(0, np.cumsum(tokens.value_lengths().to_numpy())).astype(np.int64)
+                extra.append(pa.array(sums[ends[1:]] - sums[ends[:-1]]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *extra], names=names)
+    return rows.mapInArrow(run, schema)
+
+
+def calibrated(features: DataFrame, views: list[View]) -> list[View]:
+    """Fit every view's line on held-back labels, from counts per tenth of raw score."""
+    def tenth(v: View) -> Column:
+        return F.round(F.greatest(F.least(F.col(v.raw), F.lit(200.0)), F.lit(-200.0)) * 10)
+    rows = features.where(held_back() & F.coalesce(*TARGETS).isNotNull())
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("view"), tenth(v).alias("x"), F.col(v.target).alias("y"))
+                               for i, v in enumerate(views)]))
+    got = (scored(rows, views, list(TARGETS)).select(each.alias("e")).where("e.y IS NOT NULL").groupBy("e.view", "e.x")
+           .agg(F.sum("e.y").alias("g"), F.count(F.lit(1)).alias("n")).collect())
+    for i, view in enumerate(views):
+        mine = sorted((r["x"] / 10, r["g"], r["n"]) for r in got if r["view"] == i)
+        view.slope, view.offset = line(*[np.array([m[k] for m in mine], dtype=float) for k in range(3)])
+    return views
+
+
+def line(x: np.ndarray, g: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of log odds over raw scores x: g of n labels are 1."""
     good, bad = g.sum(), n.sum() - g.sum()
     prior = math.log((good + 1) / (bad + 1))
     if not (good and bad):
-        view.slope, view.offset = 0.0, max(prior, 0.0)
-        return view
+        return 0.0, max(prior, 0.0)
     hit, miss = (good + 1) / (good + 2), 1 / (bad + 2)     # softened labels
     target = (g * hit + (n - g) * miss) / n
     a, b = 0.0, prior
@@ -234,54 +271,50 @@ def calibrate(rows: DataFrame, view: View, target: str) -> View:
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-7:
             break
-    view.slope, view.offset = max(a, 0.0), b
-    return view
+    return max(a, 0.0), b
 
 
-def sure(log_odds: Column, confidence: float) -> Column:
+def cotrained(features: DataFrame, rounds: int, confidence: float, least_z: float, most_features: int,
+              fit_rows: int) -> list[View]:
+    """The views after all rounds. A view learns from labels and, where there is none, from
+    what the other view of its target is sure of."""
     edge = math.log(confidence / (1 - confidence))
-    return F.when(log_odds >= edge, 1.0).when(log_odds <= -edge, 0.0)
-
-
-def cotrained(features: DataFrame, target: str, rounds: int, confidence: float, least_z: float,
-              most_features: int, fit_rows: int) -> list[View]:
-    """The text view and the metadata view of one target after all rounds."""
-    def fit(rows: DataFrame, column: str, buckets: int, y: Column) -> View:
-        learned = F.when(F.col(target).isNull() | ~held_back(), y)
-        view = fit_weights(rows.withColumn("y", learned), column, buckets, least_z, most_features, fit_rows)
-        return calibrate(scored(features.where(F.col(target).isNotNull()), [view]), view, target)
-
-    def both(rows: DataFrame, y_text: Column, y_meta: Column) -> list[View]:
-        return [fit(rows, "text_tokens", TEXT_BUCKETS, y_text), fit(rows, "meta_tokens", META_BUCKETS, y_meta)]
-
-    views = both(features.where(F.col(target).isNotNull()), F.col(target), F.col(target))
+    other = {"text_tokens": "meta_tokens", "meta_tokens": "text_tokens"}
+    tokens = ["doc_id", *TARGETS, *BUCKETS]
+    labels = {t: F.when(~held_back(), F.col(t)) for t in TARGETS}
+    known = features.where(F.coalesce(*TARGETS).isNotNull())
+    rows = known.select(*tokens, *[labels[t].alias(y) for (t, _), y in Y.items()])
+    views = calibrated(features, fit(rows, least_z, most_features, fit_rows))
     for _ in range(rounds):
-        by_text, by_meta = [sure(v.log_odds(F.col(f"raw_{v.column}")), confidence) for v in views]
-        views = both(scored(features, views), F.coalesce(target, by_meta), F.coalesce(target, by_text))
+        odds = {(v.target, v.column): v.log_odds() for v in views}
+        sure = {k: F.when(o >= edge, 1.0).when(o <= -edge, 0.0) for k, o in odds.items()}
+        rows = scored(features, views, tokens).select(*tokens, *[
+            F.when(F.col(t).isNotNull(), labels[t]).otherwise(sure[t, other[c]]).alias(y) for (t, c), y in Y.items()])
+        views = calibrated(features, fit(rows, least_z, most_features, fit_rows))
     return views
 
 
-def prior_odds(features: DataFrame, target: str) -> float:
-    good, every = features.agg(F.coalesce(F.sum(target), F.lit(0.0)), F.count(target)).first()
-    return max(math.log((good + 1) / (every - good + 1)), 0.0) if good == every or not good \
-        else math.log((good + 1) / (every - good + 1))
+def prior_odds(good: float, every: int) -> float:
+    odds = math.log((good + 1) / (every - good + 1))
+    return odds if 0 < good < every else max(odds, 0.0)
 
 
 def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, confidence: float = 0.98,
              least_z: float = 2.5, most_features: int = 1024, fit_rows: int = 8_000,
              threshold: float = 0.5) -> DataFrame:
     """doc_id, p_sound, p_harmless, score, kept (score >= threshold) for every row of docs."""
-    known = labels_of(labels).withColumnRenamed("doc_id", "_lq_id")
+    known = stored(labels_of(labels).withColumnRenamed("doc_id", "_lq_id"), "labels")
+    known = F.broadcast(known) if few(known, BROADCAST_LABELS) else known
     slim = docs.select("doc_id", "text", meta_tokens().alias("meta_tokens"))
     labelled = slim.join(known, same(slim["doc_id"], known["_lq_id"]), "left")
     features = stored(text_tokens(labelled.select("doc_id", "text", "meta_tokens", *TARGETS)), "view-features")
-    out = features
-    for target in TARGETS:
-        views = cotrained(features, target, rounds, confidence, least_z, most_features, fit_rows)
-        text, meta = [v.log_odds(F.col(f"raw_{v.column}")) for v in views]
-        together = text + meta - F.lit(prior_odds(features, target))
-        out = (scored(out, views).withColumn(f"p_{target}", 1 / (1 + F.exp(-together)))
-               .drop(*[f"raw_{v.column}" for v in views]))
+    views = cotrained(features, rounds, confidence, least_z, most_features, fit_rows)
+    got = features.agg(*[x for t in TARGETS for x in (F.coalesce(F.sum(t), F.lit(0.0)), F.count(t))]).first()
+    out = scored(features, views, ["doc_id"])
+    for i, target in enumerate(TARGETS):
+        text, meta = [v.log_odds() for v in views if v.target == target]
+        together = text + meta - F.lit(prior_odds(got[2 * i], got[2 * i + 1]))
+        out = out.withColumn(f"p_{target}", 1 / (1 + F.exp(-together)))
     score = F.col("p_sound") * F.col("p_harmless")
     return (out.select("doc_id", "p_sound", "p_harmless", score.alias("score"))
             .withColumn("kept", F.col("score") >= threshold))
