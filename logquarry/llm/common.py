@@ -49,7 +49,9 @@ def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     path = scratch_folder(spark, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    done._lq_settled = True
+    return done
 
 
 def map_texts(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:

@@ -15,8 +15,10 @@ computed only with sets that are not yet in its component. From the overlaps wit
 first leader L those of other pairs are bounded without reading them:
 o(L,x) + o(L,y) - |L| <= o(x,y) <= min(o(L,x) + |y| - o(L,y), o(L,y) + |x| - o(L,x)),
 which links or rejects most sets that are much like L; only what lies between is computed.
-A list ends when all its sets are in one component or have led. No link between different
-components is left out, and groups of copies cost one overlap per member.
+An overlap is first taken over the eighth of the sets with the least hashes; what is left
+of the smaller set bounds the rest, and only pairs that can still be linked are compared
+whole. A list ends when all its sets are in one component or have led. No link between
+different components is left out, and groups of copies cost one overlap per member.
 
 Shingles are told by 64-bit hashes, sets by 128 bits. Nulls: a null text, or one without
 words, has an empty set and no link; a row with a null id is linked with nothing and has a
@@ -25,6 +27,7 @@ null component. Rows with equal ids are one document, with all its sets linked.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +44,7 @@ PERCENT = 85
 HEAVY = 1 << 18                 # shingles known as frequent, 16 bytes each in every task
 BROADCAST_TOKENS = 4_000_000    # shared shingles sent to every task, 8 bytes each
 BROADCAST_ROWS = 250_000        # ids or pairs sent to every task, under 100 bytes each
+HEAD = 1 << 61                  # hashes below are compared first: an eighth of a set
 
 
 class Sets:
@@ -174,8 +178,9 @@ def index(docs: DataFrame, size: int, percent: int, broadcast_tokens: int) -> Da
     return stored(rows.distinct(), "entries")
 
 
-def contents(docs: DataFrame, shape: DataFrame, sids: DataFrame, size: int) -> DataFrame:
-    """(sid, n, tokens: sorted 64-bit values) of the wanted sets, each from one of its texts."""
+def contents(docs: DataFrame, shape: DataFrame, sids: DataFrame, size: int, head: bool) -> DataFrame:
+    """(sid, n, tokens: sorted 64-bit values, of the head alone or all) of the wanted sets,
+    each from one of its texts."""
     one = (shape.join(sids, "sid", "left_semi").groupBy("sid")
            .agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("d.doc_id", "d.text_key"))
     one = stored(one, "set-texts").withColumnsRenamed({"doc_id": "_lq_id", "text_key": "_lq_text"})
@@ -186,15 +191,18 @@ def contents(docs: DataFrame, shape: DataFrame, sids: DataFrame, size: int) -> D
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for w in words(batch.column(1), lower=True):
             s = Sets(w, size)
-            data = [s.code[a:b].tobytes() for a, b in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([blob(s.ids()), pa.array(s.n.astype(np.int64)), pa.array(data, pa.binary())],
-                                             names=["sid", "n", "tokens"])
-    found = map_texts(slim, ["doc_id", "text"], run, "sid binary, n long, tokens binary")
-    return stored(found.dropDuplicates(["sid"]), "sets")
+            each = [s.code[a:b] for a, b in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
+            each = [x[:np.searchsorted(x, np.uint64(HEAD))] for x in each] if head else each
+            yield pa.RecordBatch.from_arrays(
+                [blob(s.ids()), pa.array(s.n.astype(np.int64)), pa.array([x.tobytes() for x in each], pa.binary())],
+                names=["sid", "n", "tokens"])
+    # A row that is repeated with its id gives its set twice: its pairs then come twice, to no effect.
+    return stored(map_texts(slim, ["doc_id", "text"], run, "sid binary, n long, tokens binary"), "sets")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, o) for settled pairs (leader a, member b)."""
+def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, ra, rb, o): for settled pairs (leader a, member b) the overlap in what
+    is held of their sets, and how many shingles each has besides."""
     members = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     leaders = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     both = (F.broadcast(pairs) if few(pairs, BROADCAST_ROWS) else pairs).join(members, "b").join(leaders, "a")
@@ -202,14 +210,41 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             o = []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            for x, y in zip(batch.column(6), batch.column(7), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 p, q = (p, q) if len(p) < len(q) else (q, p)
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                o.append(int((q[at] == p).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(o, pa.int64())],
-                                             names=["a", "b", "na", "nb", "o"])
-    return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a binary, b binary, na long, nb long, o long")
+                at = np.minimum(np.searchsorted(q, p), max(len(q) - 1, 0))
+                o.append(int((q[at] == p).sum()) if len(p) else 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(o, pa.int64())],
+                                             names=["a", "b", "na", "nb", "ra", "rb", "o"])
+    outside = [(F.col(n) - F.length(t) / 8).cast("long").alias(r) for n, t, r in (("na", "ta", "ra"), ("nb", "tb", "rb"))]
+    return both.select("a", "b", "na", "nb", *outside, "ta", "tb").mapInArrow(
+        run, "a binary, b binary, na long, nb long, ra long, rb long, o long")
+
+
+def hopeful(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The settled pairs that can be linked by their heads."""
+    return stored(common(pairs, heads).where(
+        F.col("o") + F.least("ra", "rb") >= needed(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), "hopeful")
+
+
+def with_blocks(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries that some block of their list can meet. Blocks are bands of sizes, each with
+    its early entries (that still hold what a link to an equal or larger set needs) and
+    late ones; a set meets its own band and the next ones, and of two sets the smaller
+    must be early."""
+    width = math.log(100 / percent) * 1.0001
+    blocked = entries.withColumns({
+        "band": F.floor(F.log("n") / width),
+        "early": F.col("n") - F.col("i") >= needed(F.col("n"), F.col("n"), percent)})
+    counts = blocked.groupBy("token", "band").agg(F.count(F.lit(1)).alias("every"), F.count_if("early").alias("early"))
+    seen = counts.select("token", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), F.col("band").alias("own"), "every", "early")
+    met = seen.groupBy("token", "band").agg(
+        F.sum(F.when(F.col("own") >= F.col("band"), F.col("every")).otherwise(F.col("early"))).alias("_lq_any"),
+        F.sum(F.when(F.col("own") <= F.col("band"), F.col("early")).otherwise(0)).alias("_lq_early"))
+    return (blocked.join(met, ["token", "band"])
+            .where(F.when(F.col("early"), F.col("_lq_any") > 1).otherwise(F.col("_lq_early") > 0))
+            .select(*entries.columns))
 
 
 def needed(na: Column, nb: Column, percent: int) -> Column:
@@ -237,6 +272,13 @@ def open_lists(entries: DataFrame, low: int) -> DataFrame:
     return entries.join(alive, "token", "left_semi")
 
 
+def compatible(percent: int) -> Column:
+    """Whether a leader's and a member's entry are in blocks that can meet."""
+    c = F.col
+    sizes = 100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")
+    return sizes & (F.least(c("n") - c("i"), c("l_n") - c("l_i")) >= needed(c("n"), c("l_n"), percent))
+
+
 def candidates(entries: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """Pairs of the leaders of rank low .. high - 1 with later sets of their lists, but for
     blocks skipped by size and position, and pairs decided by the first leader's overlaps."""
@@ -246,11 +288,9 @@ def candidates(entries: DataFrame, low: int, high: int, percent: int) -> DataFra
     joined = entries.join(lead, "token").where("r > l_r AND c <> l_c")
     c = F.col
     least = needed(c("n"), c("l_n"), percent)
-    sizes = 100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")
-    places = F.least(c("n") - c("i"), c("l_n") - c("l_i")) >= least
     most = F.least(c("o") + c("l_n") - c("l_o"), c("l_o") + c("n") - c("o"))
     sure = c("o") + c("l_o") - c("n1") >= least
-    return (joined.where(sizes & places & (c("o").isNull() | c("l_o").isNull() | (most >= least)))
+    return (joined.where(compatible(percent) & (c("o").isNull() | c("l_o").isNull() | (most >= least)))
             .select(c("l_sid").alias("a"), c("sid").alias("b"), F.coalesce(sure, F.lit(False)).alias("sure"))
             .groupBy("a", "b").agg(F.max("sure").alias("sure")))
 
@@ -259,10 +299,12 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
               broadcast_tokens: int = BROADCAST_TOKENS) -> tuple[DataFrame, DataFrame | None]:
     """(shape of every row, component label of every linked set)."""
     shape = stored(shapes(docs, size), "set-shapes")
-    entries = index(docs, size, percent, broadcast_tokens)
-    alive = entries.groupBy("token").agg(F.min("sid").alias("leader"), F.max("sid").alias("z")).where("leader < z")
-    entries = stored(entries.join(alive.select("token", "leader"), "token"), "lists")
-    sets = contents(docs, shape, entries.select("sid").distinct(), size)
+    entries = stored(with_blocks(index(docs, size, percent, broadcast_tokens), percent), "blocks")
+    alive = entries.groupBy("token").agg(F.min(F.struct("sid", "n", "i")).alias("l"), F.max("sid").alias("z"))
+    alive = alive.where("l.sid < z").select("token", F.col("l.sid").alias("leader"), F.col("l.n").alias("l_n"),
+                                            F.col("l.i").alias("l_i"))
+    entries = stored(entries.join(alive, "token"), "lists")
+    heads = contents(docs, shape, entries.select("sid").distinct(), size, head=True)
 
     # the sets of one id belong together
     ids = shape.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("b"))
@@ -270,8 +312,11 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
              .join(ids.where("a < b").select("doc_id", "a"), "doc_id").select("a", "b")]
 
     def link(pairs: DataFrame) -> DataFrame:
-        """Overlaps of undecided pairs, settled; their links are noted."""
-        found = stored(overlaps(stored(pairs, "pairs"), sets), "overlaps")
+        """Overlaps of settled pairs that can be linked, settled; their links are noted."""
+        pairs = hopeful(pairs, heads, percent)
+        wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        sets = contents(docs, shape, wanted, size, head=False)
+        found = stored(common(pairs, sets).select("a", "b", "na", "nb", "o").distinct(), "overlaps")
         links.append(found.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
         return found
 
@@ -283,19 +328,20 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         return components(links[0])
 
     # every set with the least of its leaders, then with its other leaders
-    nearest = (entries.where("leader <> sid").groupBy(F.col("sid").alias("b")).agg(F.min("leader").alias("a")))
-    first = link(nearest.select("a", "b"))
+    led = entries.where((F.col("leader") != F.col("sid")) & compatible(percent))
+    nearest = stored(led.groupBy(F.col("sid").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "pairs")
+    first = link(nearest)
     now = labels()
-    entries = relabel(entries, now)
-    rest = entries.where("leader <> sid").join(
-        first.select(F.col("a").alias("leader"), F.col("b").alias("sid")), ["leader", "sid"], "left_anti")
+    rest = relabel(led, now).join(
+        nearest.select(F.col("a").alias("leader"), F.col("b").alias("sid")), ["leader", "sid"], "left_anti")
     owner = now.select(F.col("node").alias("leader"), F.col("label").alias("lc"))
     rest = (rest.join(owner, "leader", "left").where(F.coalesce("lc", "leader") != F.col("c"))
             .select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct())
-    second = link(rest)
+    second = link(stored(rest, "pairs"))
     now = labels()
     seen = first.unionByName(second).select(F.col("a").alias("leader"), F.col("b").alias("sid"), "o", F.col("na").alias("n1"))
-    entries = relabel(entries, now).join(seen, ["leader", "sid"], "left")
+    entries = open_lists(relabel(entries, now).withColumn("r", F.lit(2)), 1).drop("r", "l_n", "l_i")
+    entries = entries.join(seen, ["leader", "sid"], "left")
     itself = F.col("leader") == F.col("sid")
     entries = entries.withColumns({"o": F.when(itself, F.col("n")).otherwise(F.col("o")),
                                    "n1": F.when(itself, F.col("n")).otherwise(F.col("n1"))})
@@ -307,7 +353,7 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
             return shape, now
         pairs = stored(candidates(entries, low, high, percent), "candidates")
         links.append(pairs.where("sure").select("a", "b"))
-        link(pairs.where("NOT sure").select("a", "b"))
+        link(stored(pairs.where("NOT sure").select("a", "b"), "pairs"))
         now = labels()
         low, high = high, 2 * high
 
