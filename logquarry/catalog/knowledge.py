@@ -155,7 +155,7 @@ def enrich_answers_stub(spark, sf):
 
 # One dataset per source; document lines stand for imported rows without a level.
 DIAG = f"""WITH {lines_cte()}, d AS (SELECT d.source AS dataset, ln.file, ln.line_no,
-    CASE WHEN length(ln.value) > 600 THEN left(ln.value, 600) || ' ...' ELSE ln.value END AS raw
+    ln.value AS raw
     FROM ln JOIN documents d ON CAST(d.doc_id AS VARCHAR) = ln.file),
   g AS (SELECT dataset, template, count(*) AS n,
     arg_min(raw, file || chr(1) || lpad(CAST(line_no AS VARCHAR), 12, '0')) AS example

@@ -24,8 +24,7 @@ for _form in FORMS:
     _register(_form)
 
 
-@query("parse_raw", f"WITH {lines_cte()} SELECT file, line_no, 'RAW' AS level, CASE WHEN length(value) > 600"
-       " THEN left(value, 600) || ' ...' ELSE value END AS msg FROM ln")
+@query("parse_raw", f"WITH {lines_cte()} SELECT file, line_no, 'RAW' AS level, value AS msg FROM ln")
 def parse_raw(spark, sf):
     return parsers.parse_raw(text_lines(spark, sf)).select("file", "line_no", "level", "msg")
 

@@ -91,3 +91,13 @@ def keyset_page(spark, sf):
 @query("display_columns", f"WITH {rows_cte('syslog')} SELECT ts, host, app, pid, msg FROM r")
 def display_columns(spark, sf):
     return paging.display(event_rows(spark, sf, "syslog"), "syslog")
+
+
+@query("filter_text_beyond_cut", f"""WITH {lines_cte()}, w AS (SELECT file, line_no, value FROM ln WHERE length(value) > 620)
+  SELECT file, line_no, CAST(length(value) AS BIGINT) AS n_chars FROM w WHERE contains(lower(substr(value, 601)), 'tion')""")
+def filter_text_beyond_cut(spark, sf):
+    """Free text is found wherever it stands in a line, and the row holds the whole line."""
+    rows = parse_raw(text_lines(spark, sf))
+    found = filters.apply_filter(rows, FilterSpec(q="tion")).filter("char_length(msg) > 620")
+    tail = F.lower(F.substring("raw", 601, 1 << 30))
+    return found.filter(tail.contains("tion")).select("file", "line_no", F.char_length("raw").cast("long").alias("n_chars"))

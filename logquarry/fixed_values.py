@@ -51,10 +51,10 @@ ZIP_MEMBER_EXTENSIONS = (".log", ".txt", ".csv", ".json")
 MAX_FILE_BYTES = 500 * 1024 * 1024
 MAX_BATCH_BYTES = 1024 * 1024 * 1024
 MAX_DECOMPRESSED_BYTES = 2 * 1024 ** 3
-MAGIC_GZIP = "1F8B"
-MAGIC_BZIP2 = "425A68"
-MAGIC_XZ = "FD377A585A00"
-MAGIC_ZIP = "504B0304"
+MAGIC_GZIP = b"\x1f\x8b"
+MAGIC_BZIP2 = b"BZh"
+MAGIC_XZ = b"\xfd7zXZ\x00"
+MAGIC_ZIP = b"PK\x03\x04"
 # Bytes without a meaning in code page 1252.
 CP1252_UNDEFINED = "\u0081\u008d\u008f\u0090\u009d"
 

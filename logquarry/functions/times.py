@@ -9,7 +9,7 @@ from logquarry import fixed_values as V
 from logquarry.functions.patterns import whole_line
 
 ISO = (r"^(\d{4}-\d{2}-\d{2})"
-       r"(?:[T ](\d{2}:\d{2})(:\d{2}(?:\.\d+)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$")
+       r"(?:[T ](\d{2}(?::\d{2})?)(:\d{2}(?:\.\d+)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$")
 LAST_SECOND = 253402300799          # 9999-12-31T23:59:59
 
 

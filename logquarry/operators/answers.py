@@ -23,7 +23,7 @@ def cache_split(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     distinct hashes are looked up.
     """
     known = cache.select("hash", "answer")
-    hits = lookup_join(requests, known, ["hash"])
+    hits = lookup_join(requests, settle(known), ["hash"])
     wanted = requests.groupBy("hash").agg(F.min("line").alias("line"))
     return hits, wanted.join(known.select("hash"), "hash", "left_anti")
 
@@ -50,13 +50,12 @@ def enrich_answers(lines: DataFrame, cache: DataFrame, ask: Ask, model: str = "l
                    lang: str = "auto") -> tuple[DataFrame, DataFrame]:
     """(answers, fresh): one answer per distinct line, and the rows to add to the cache.
 
-    Failures are answered but never enter `fresh`. Settle or write `answers` before
-    using both results, so the function is not asked twice.
+    Failures are answered but never enter `fresh`.
     """
     keyed = lines.select("line", answer_key(F.col("line"), F.lit(model), F.lit(lang)).alias("hash"))
     requests = keyed.filter("line != ''").distinct()
     hits, misses = cache_split(requests, cache)
-    asked = ask_each(misses, ask)
+    asked = settle(ask_each(misses, ask))       # both results read it: asked once
     answers = hits.select("hash", "line", F.lit(True).alias("ok"), "answer",
                           F.lit(True).alias("cached")).unionByName(
         asked.withColumn("cached", F.lit(False)))
@@ -94,7 +93,7 @@ def select_templates(rows: DataFrame, level: str = "ERR", fallback_format: str =
     groups = merged(narrow).unionByName(merged(loose))
     rank = F.row_number().over(Window.partitionBy("dataset").orderBy(*template_order()))
     groups = groups.withColumn("rank", rank).filter(F.col("rank") <= limit)
-    return with_example(groups, rows, bounded=False).select(
+    return with_example(groups, rows).select(
         "dataset", "rank", "template", "n", "example")
 
 

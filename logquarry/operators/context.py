@@ -9,13 +9,18 @@ from logquarry import fixed_values as V
 from logquarry.session import lookup_join, settle
 
 
+def _checked(n: int) -> None:
+    if n < 0:
+        raise ValueError("n must be 0 or more")
+
+
 def context(lines: DataFrame, targets: DataFrame, n: int = V.CONTEXT_DEFAULT) -> DataFrame:
     """n lines before and after each target: (file, target, line_no, shown_line, position, value).
 
     Each target lists the line numbers it wants, so the range becomes an equality
     on (file, line_no); the join is a broadcast only for a counted set of targets.
     """
-    n = max(0, min(V.CONTEXT_MAX, n))
+    _checked(n)
     want = targets.select("file", F.col("line_no").alias("target")).distinct().select(
         "file", "target",
         F.explode(F.sequence(F.greatest(F.col("target") - n, F.lit(0)), F.col("target") + n))
@@ -34,7 +39,7 @@ def context_frame(lines: DataFrame, n: int = V.CONTEXT_DEFAULT, block_bits: int
     Lines are framed per block of 16,384; each block also gets the n lines on
     both sides of it, so a window never spans a file.
     """
-    n = max(0, min(V.CONTEXT_MAX, n))
+    _checked(n)
     own = F.shiftright("line_no", block_bits)
     low, high = (F.shiftright(F.greatest(F.col("line_no") - n, F.lit(0)), block_bits),
                  F.shiftright(F.col("line_no") + n, block_bits))

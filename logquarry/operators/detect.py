@@ -37,7 +37,7 @@ def detect_format(lines: DataFrame, bounds: DataFrame | None = None) -> DataFram
     bounds = settle(head_bounds(lines)) if bounds is None else bounds
     widest = bounds.agg(F.max("head_to")).first()[0] or 0
     near = lines.filter(F.col("line_no") < widest)          # reaches the scan
-    near = lookup_join(near, bounds.select("file", "head_to"), ["file"], spread_by="line_no")
+    near = lookup_join(near, bounds.select("file", "head_to"), ["file"])
     near = near.filter("line_no < head_to").select("file", "line_no", "value")
     shown = near.filter(F.col("value").rlike(NOT_BLANK))
     rank = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))

@@ -6,31 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry import fixed_values as V
+from logquarry.functions.text import truncate
 from logquarry.operators.filters import FilterSpec, apply_filter
 from logquarry.session import settle
 
 ORDER = ("file", "line_no")
-CANDIDATE_ROWS = 2_000_000   # leading rows of all tasks together that may meet in one
+CANDIDATE_ROWS = 20_000      # rows up to the end of a page that every task may send to one place
 BLOCK_BITS = 17          # lines per counting block: 131,072
 
 
-def clamp(page: int, size: int) -> tuple[int, int]:
-    return max(1, page), max(1, min(V.PAGE_MAX, size))
+def _checked(page: int, size: int) -> None:
+    if page < 1 or size < 1:
+        raise ValueError("page and size must be 1 or more")
 
 
 def page(rows: DataFrame, spec: FilterSpec, page: int = 1, size: int = V.PAGE_SIZE) -> DataFrame:
-    page, size = clamp(page, size)
+    _checked(page, size)
     start = (page - 1) * size
     found = apply_filter(rows, spec)
     shown = found.drop("search") if "search" in found.columns else found
-    if _few_candidates(shown, start + size):
+    if _few_candidates(start + size):
         return shown.orderBy(*ORDER).offset(start).limit(size)
     return _deep_page(shown, start, size)
 
 
-def _few_candidates(rows: DataFrame, wanted: int) -> bool:
-    """A sort with a limit lets every task send its `wanted` first rows to one place."""
-    return wanted * rows.rdd.getNumPartitions() <= CANDIDATE_ROWS
+def _few_candidates(wanted: int) -> bool:
+    """A sort with a limit lets every task send its `wanted` first rows to one place.
+    Judged by the request alone: asking a plan for its tasks would run its shuffles."""
+    return wanted <= CANDIDATE_ROWS
 
 
 def _deep_page(found: DataFrame, start: int, size: int) -> DataFrame:
@@ -41,7 +44,7 @@ def _deep_page(found: DataFrame, start: int, size: int) -> DataFrame:
         Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hit = files.withColumn("_before", before).filter(
         (F.col("_before") < start + size) & (F.col("_before") + F.col("_n") > start))
-    # A page of at most 5,000 rows touches at most 5,000 non-empty files or blocks.
+    # A page touches at most as many non-empty files or blocks as it has rows.
     hit = settle(hit)
     block = F.shiftright("line_no", BLOCK_BITS)
     near = found.withColumn("_block", block).join(F.broadcast(hit.drop("_n")), "file")
@@ -62,16 +65,18 @@ def _deep_page(found: DataFrame, start: int, size: int) -> DataFrame:
 def keyset_page(rows: DataFrame, spec: FilterSpec, after: tuple[str, int] | None,
                 size: int = V.PAGE_SIZE) -> DataFrame:
     """The page behind a given row: the same cost at any depth."""
-    _, size = clamp(1, size)
+    _checked(1, size)
     found = apply_filter(rows, spec)
     if after is not None:
         file, line_no = after
         found = found.filter((F.col("file") > file)
                              | ((F.col("file") == file) & (F.col("line_no") > line_no)))
-    if _few_candidates(found, size):
+    if _few_candidates(size):
         return found.orderBy(*ORDER).limit(size)
     return _deep_page(found, 0, size)
 
 
-def display(rows: DataFrame, fmt: str) -> DataFrame:
-    return rows.select(*V.DISPLAY_COLUMNS.get(fmt, V.DISPLAY_COLUMNS["other"]))
+def display(rows: DataFrame, fmt: str, whole: bool = False) -> DataFrame:
+    """The columns a format shows; long messages are cut for the eye unless `whole`."""
+    shown = V.DISPLAY_COLUMNS.get(fmt, V.DISPLAY_COLUMNS["other"])
+    return rows.select(*[truncate(F.col(c)).alias(c) if c == "msg" and not whole else c for c in shown])

@@ -17,7 +17,7 @@ from logquarry import fixed_values as V
 from logquarry import schema
 from logquarry.functions.patterns import capture, captured, whole_line
 from logquarry.functions.text import (blank, first_ipv4, make_search, make_template,
-                                      norm_level, number_or_null, truncate)
+                                      norm_level, number_or_null)
 from logquarry.functions.times import iso_text, plain_time, read_time
 from logquarry.session import lookup_join, settle
 
@@ -199,7 +199,7 @@ def tag_lines(lines: DataFrame, formats: list[str]) -> DataFrame:
     # A one-element inline, not a projected struct: the optimizer cannot push a
     # filter on `accepted` below it, which would run every match a second time.
     flat = packed.select(*keep, F.inline(F.array("_row")))
-    return flat.withColumn("msg", truncate(F.col("msg")))
+    return flat
 
 
 def enrich(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -207,7 +207,7 @@ def enrich(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     # Step by step: each step's expressions read plain columns, so none is repeated
     # inside another and the generated methods stay small enough to be compiled.
     keep = [*schema.KEYS, "format", *schema.FIELDS, *extra]
-    cut = rows.select(*keep, truncate(F.col("value")).alias("raw"), plain_time(F.col("ts")).alias("_ts"))
+    cut = rows.select(*keep, blank(F.col("value")).alias("raw"), plain_time(F.col("ts")).alias("_ts"))
     timed = cut.select(*keep, "raw", read_time(F.col("_ts")).alias("event_time"))
     return timed.select(
         *keep, "raw", make_template(F.col("raw")).alias("template"),
@@ -281,14 +281,13 @@ def parse_w3c(lines: DataFrame, fields: DataFrame | list[str] | None = None,
         ready = with_latest_header(lines, lines.filter(F.col("value").startswith("#Fields")))
     else:
         table = fields if fields is not None else settle(w3c_header(lines))
-        ready = lookup_join(lines, table, ["file"], spread_by="line_no")
+        ready = lookup_join(lines, table, ["file"])
     return _parse_as(ready, "w3c")
 
 
 def tag_auto(lines: DataFrame, detected: DataFrame) -> DataFrame:
     """Lines tagged by the format of their file; `detected`: (file, format, w3c_fields)."""
-    ready = lookup_join(lines, detected.select("file", "format", "w3c_fields"), ["file"],
-                        spread_by="line_no")
+    ready = lookup_join(lines, detected.select("file", "format", "w3c_fields"), ["file"])
     return tag_lines(ready, present_formats(detected))
 
 

@@ -13,7 +13,7 @@ from logquarry import fixed_values as V
 from logquarry.functions.text import level_rank
 from logquarry.functions.times import bucket_label, iso_text
 from logquarry.operators.filters import FilterSpec, apply_filter
-from logquarry.session import settle
+from logquarry.session import lookup_join, settle
 
 
 def total_rows(rows: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def total_rows(rows: DataFrame) -> DataFrame:
 
 def top_values(rows: DataFrame, field: str, limit: int = V.TOP_DEFAULT) -> DataFrame:
     """(value, n): most frequent non-blank values; an unknown field gives no rows."""
-    limit = max(1, min(V.TOP_MAX, limit))
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
     known = field in rows.columns and field in V.TOP_FIELDS
     value = F.col(field) if known else F.lit("")
     return (rows.select(value.alias("value")).filter("value != ''").groupBy("value")
@@ -71,6 +72,12 @@ def kpis(rows: DataFrame, by: list[str] | None = None, approximate: bool = False
     return rows.groupBy(*(by or [])).agg(*[count(_kpi_value(k)).alias(k) for k in KPI_COLUMNS])
 
 
+def kpi_error(rows: DataFrame, within: float) -> DataFrame:
+    """Per KPI whether its sketch is off by no more than the share `within`."""
+    both = {k: (F.count_distinct(_kpi_value(k)), F.approx_count_distinct(_kpi_value(k))) for k in KPI_COLUMNS}
+    return rows.agg(*[(F.abs(exact - about) <= within * exact).alias(k) for k, (exact, about) in both.items()])
+
+
 def only_format_kpis(table: DataFrame) -> DataFrame:
     """NULL for the KPIs the row's format does not fill."""
     fmt = F.col("format")
@@ -84,8 +91,14 @@ def only_format_kpis(table: DataFrame) -> DataFrame:
 def summary(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row per dataset: its manifest totals, parsed rows and KPIs."""
     per_set = dataset_list(manifest)
-    found = rows.groupBy("owner", "dataset").agg(
-        F.count("*").alias("parsed"), *[F.count_distinct(_kpi_value(k)).alias(k) for k in KPI_COLUMNS])
+    keys = ["owner", "dataset"]
+    pairs = F.array(*[F.struct(F.lit(k).alias("kpi"), _kpi_value(k).alias("value")) for k in KPI_COLUMNS],
+                    F.struct(F.lit("parsed").alias("kpi"), F.lit("").alias("value")))
+    seen = (rows.select(*keys, F.inline(pairs)).filter("value IS NOT NULL")
+            .groupBy(*keys, "kpi", "value").agg(F.count("*").alias("n")))
+    found = seen.groupBy(*keys).agg(
+        F.sum(F.when(F.col("kpi") == "parsed", F.col("n"))).alias("parsed"),
+        *[F.count_if(F.col("kpi") == k).alias(k) for k in KPI_COLUMNS])
     joined = (per_set.join(found, ["owner", "dataset"], "left").fillna(0, ["parsed", *KPI_COLUMNS]))
     return only_format_kpis(joined)
 
@@ -121,11 +134,25 @@ def template_counts(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
             .select(*by, "template", "n", "first", "last", "_at.file", "_at.line_no"))
 
 
-def with_example(groups: DataFrame, rows: DataFrame, bounded: bool) -> DataFrame:
-    """Fetch the raw line each group points at. The key is unique, so no skew."""
+def with_example(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """Fetch the raw line each group points at: the groups are settled and measured, so
+    the rows are not shuffled for them unless the groups outgrow a broadcast."""
     lines = rows.select("file", "line_no", F.col("raw").alias("example"))
-    groups = F.broadcast(groups) if bounded else groups
-    return lines.join(groups, ["file", "line_no"])
+    return lookup_join(lines, groups, ["file", "line_no"])
+
+
+def with_few_examples(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same for at most TEMPLATE_LIMIT groups: their keys become literals of the scan,
+    so that a stored table, sorted by them, reads little more than those lines."""
+    groups = settle(groups)
+    keys: dict[str, list[int]] = {}
+    for r in groups.select("file", "line_no").collect():
+        keys.setdefault(r["file"], []).append(r["line_no"])
+    wanted = F.lit(False)
+    for file, numbers in sorted(keys.items()):
+        wanted = wanted | ((F.col("file") == file) & F.col("line_no").isin(sorted(numbers)))
+    lines = rows.filter(wanted).select("file", "line_no", F.col("raw").alias("example"))
+    return lines.join(F.broadcast(groups), ["file", "line_no"])
 
 
 TEMPLATE_ORDER = (F.desc, "n"), (F.asc_nulls_first, "first"), (F.asc, "template")
@@ -141,11 +168,13 @@ def templates(rows: DataFrame, level: str | None = None, min_count: int = 1,
 
     `limit=None` gives all of them, unordered.
     """
-    rows = rows if level is None else rows.filter(F.col("level") == level)
+    # Imported results have no levels, so a level does not restrict them.
+    rows = rows if level is None else rows.filter((F.col("level") == level) | (F.col("format") == "results"))
     groups = template_counts(rows).filter(F.col("n") >= min_count)
     if limit is not None:
         groups = groups.orderBy(*template_order()).limit(limit)
-    shown = with_example(groups, rows, bounded=limit is not None)
+    few = limit is not None and limit <= V.TEMPLATE_LIMIT
+    shown = with_few_examples(groups, rows) if few else with_example(groups, rows)
     if limit is not None:
         shown = shown.orderBy(*template_order())
     return shown.select("template", "n", iso_text(F.col("first")).alias("first"),

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry import fixed_values as V
 from logquarry import schema
 from logquarry.operators import parsers
 from logquarry.operators.detect import judge
@@ -25,9 +24,10 @@ class Loaded:
 
 
 def load_files(spark: SparkSession, paths: list[str], owner: str = "local",
-               max_decompressed: int = V.MAX_DECOMPRESSED_BYTES) -> Loaded:
+               max_decompressed: int | None = None) -> Loaded:
     """Read, decode, detect and parse any mix of files.
 
+    `max_decompressed`: compressed files with more text are refused; None takes all.
     The text is read twice: once to count lines and judge the encoding, once to
     parse. Parsed lines are written to the shared folder, accepted and refused ones
     apart; rows, rejects and the manifest's counts all read that.
@@ -74,8 +74,23 @@ def load_files(spark: SparkSession, paths: list[str], owner: str = "local",
                   known.filter("error != ''").select("file", F.col("error").alias("reason")))
 
 
-def _profile(spark: SparkSession, files: DataFrame, max_decompressed: int):
-    """(files with inner, total, encoding and error; raw text lines; their splits)."""
+def _profile(spark: SparkSession, files: DataFrame, max_decompressed: int | None):
+    """(files with inner, total, encoding and error; raw text lines; their splits).
+
+    One damaged compressed file ends the text reader's whole scan. Then the compressed
+    files are read one by one instead, which refuses the damaged ones alone.
+    """
+    try:
+        return _profiled(spark, files, max_decompressed)
+    except Exception:
+        packed = (F.col("via") == "text") & (F.col("compressed") != "")
+        if files.filter(packed).isEmpty():
+            raise
+        return _profiled(spark, settle(files.withColumn("via", F.when(packed, "archive").otherwise(F.col("via")))),
+                         max_decompressed)
+
+
+def _profiled(spark: SparkSession, files: DataFrame, max_decompressed: int | None):
     direct = files.filter("via = 'text'")
     # Paths, not data: the reader's own file index holds the same list.
     plain = [r["path"] for r in direct.select("path").toLocalIterator()]
@@ -85,7 +100,8 @@ def _profile(spark: SparkSession, files: DataFrame, max_decompressed: int):
         raw = lines.scan_text(spark, plain)
         splits = settle(lines.profile_splits(raw))
         seen = direct.join(lines.file_profile(splits), "file", "left")
-        oversize = (F.col("compressed") != "") & (F.col("text_bytes") > max_decompressed)
+        oversize = (F.lit(False) if max_decompressed is None else
+                    (F.col("compressed") != "") & (F.col("text_bytes") > max_decompressed))
         found.append(seen.withColumns({
             "inner": F.lit(""), "total": F.coalesce("total", F.lit(0)),
             "error": F.when(oversize, "too_large_decompressed").otherwise("")}))

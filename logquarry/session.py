@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 # What a lookup may hold to be sent to every executor, measured before the join.
 # A million file splits, the largest lookup here (100 TB of text), take about 300 MB.
 BROADCAST_BYTES = 512 << 20
-HOT_KEY_SALTS = 32
 LOCAL_ROOTS: dict[str, str] = {}    # application -> folder, local sessions only
 
 
@@ -76,7 +75,9 @@ def spread(scan: DataFrame) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Compute a small derived table once, on reliable storage."""
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    done._lq_settled = True
+    return done
 
 
 def held_bytes(df: DataFrame) -> int:
@@ -87,17 +88,12 @@ def held_bytes(df: DataFrame) -> int:
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                max_bytes: int = BROADCAST_BYTES, spread_by: str | None = None) -> DataFrame:
-    """Join a settled lookup table to a big one.
+                max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a lookup table to a big one; a lookup that is not settled yet is settled first.
 
-    The lookup is broadcast once it is measured to fit `max_bytes`. Beyond that
-    the join shuffles on the keys plus a salt, so one hot key fills many tasks;
-    the salt comes from `spread_by` or else from the row's place in its partition.
+    It is broadcast once it is measured to fit `max_bytes`. Beyond that the join is
+    shuffled; adaptive execution splits the tasks of a hot key.
     """
-    if held_bytes(small) <= max_bytes:
-        return big.join(F.broadcast(small), keys, how)
-    place = F.xxhash64(spread_by) if spread_by else F.monotonically_increasing_id()
-    salted = big.withColumn("_salt", F.pmod(place, F.lit(HOT_KEY_SALTS)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.lit(HOT_KEY_SALTS - 1).cast("long"))))
-    return salted.join(copies, keys + ["_salt"], how).drop("_salt")
+    small = small if getattr(small, "_lq_settled", False) else settle(small)
+    fits = held_bytes(small) <= max_bytes
+    return big.join(F.broadcast(small) if fits else small.hint("merge"), keys, how)

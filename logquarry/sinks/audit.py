@@ -28,10 +28,6 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audit_for(trail: DataFrame, user: str | None = None, limit: int = V.AUDIT_KEPT) -> DataFrame:
-    """Newest entries first; of one user when given.
-
-    The kept number applies to the trail as a whole, before the user is picked.
-    """
-    kept = trail.orderBy(F.desc("ts"), F.desc("seq")).limit(limit)
-    kept = kept if user is None else kept.filter(F.col("user") == user)
-    return kept.orderBy(F.desc("ts"), F.desc("seq"))
+    """Newest entries first, `limit` of them; of one user when given."""
+    own = trail if user is None else trail.filter(F.col("user") == user)
+    return own.orderBy(F.desc("ts"), F.desc("seq")).limit(limit)

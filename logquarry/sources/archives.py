@@ -1,7 +1,8 @@
 """xz, zip and misnamed gzip/bzip2 files: streamed, one file per task.
 
 Such files cannot be split, so a task per file is all there is; each is read in
-pieces, never as a whole, and stops at the decompressed-size limit.
+pieces, never as a whole. A size limit, where given, is judged when a file is
+inspected; files that passed are read without one.
 """
 
 from __future__ import annotations
@@ -64,12 +65,12 @@ def _split(piece: bytes, encoding: str, first: bool) -> list[str]:
     return found
 
 
-def _pieces(stream, limit: int, size: int = PIECE) -> Iterator[bytes]:
+def _pieces(stream, limit: int | None = None, size: int = PIECE) -> Iterator[bytes]:
     """Runs of whole lines, each ending in a newline but perhaps the last."""
     rest, seen = [], 0
     while chunk := stream.read(size):
         seen += len(chunk)
-        if seen > limit:
+        if limit is not None and seen > limit:
             raise TooLarge("too_large_decompressed")
         cut = chunk.rfind(b"\n") + 1
         if cut:
@@ -89,7 +90,7 @@ def _is_utf8(data: bytes) -> bool:
         return False
 
 
-def _inspect(limit: int):
+def _inspect(limit: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -116,7 +117,7 @@ def _spread(files: DataFrame) -> DataFrame:
     return files.repartition(max(1, min(files.count(), 100_000)), "file")
 
 
-def inspect_archives(files: DataFrame, limit: int = V.MAX_DECOMPRESSED_BYTES) -> DataFrame:
+def inspect_archives(files: DataFrame, limit: int | None = None) -> DataFrame:
     """(file, inner, total, text_bytes, encoding, error) by reading each file through."""
     return _spread(files.select("file", "compressed")).mapInPandas(
         _inspect(limit), "file string, inner string, total long, text_bytes long,"
@@ -132,7 +133,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line_no = 0
             with open_input(row["file"]) as raw:
                 stream, _ = _open(raw, row["compressed"])
-                for piece in _pieces(stream, V.MAX_DECOMPRESSED_BYTES):
+                for piece in _pieces(stream):
                     found = _split(piece, row["encoding"], line_no == 0)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["file"]] * len(found), pa.string()),
@@ -154,7 +155,7 @@ def _heads(sample: int):
                 found, line_no = [], 0
                 with open_input(file) as raw:
                     stream, _ = _open(raw, kind)
-                    for piece in _pieces(stream, V.MAX_DECOMPRESSED_BYTES, HEAD_PIECE):
+                    for piece in _pieces(stream, size=HEAD_PIECE):
                         for line in _split(piece, encoding, line_no == 0):
                             if line.strip() and len(found) < sample:
                                 found.append((file, line_no, line))

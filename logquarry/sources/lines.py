@@ -89,7 +89,7 @@ def number_lines(raw: DataFrame, splits: DataFrame, files: DataFrame,
     """
     lookup = splits.join(files.select("file", "encoding", *carry), "file").select(
         "file", "_block", "_first", "_offset", "lines", "encoding", *carry)
-    found = lookup_join(raw, settle(lookup), ["file", "_block"], how="left", spread_by="_id")
+    found = lookup_join(raw, settle(lookup), ["file", "_block"], how="left")
     at = F.col("_id") - F.col("_first")
     line_no = F.when((at >= 0) & (at < F.col("lines")), F.col("_offset") + at).otherwise(
         F.raise_error(F.lit("file splits changed between two scans of one load")).cast("long"))

@@ -11,14 +11,15 @@ from logquarry.functions.text import make_search, make_template
 from logquarry.functions.times import event_time, iso_text, norm_ts
 
 
-def rows_from_results(results: DataFrame, limit: int | None = V.IMPORT_DEFAULT) -> DataFrame:
+def rows_from_results(results: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows of format `results`. `results`: owner, dataset, file, line_no, value.
 
-    The number of rows taken (1..5,000 in line order) is part of the operator;
-    None takes all.
+    `limit`: only so many rows in line order, at least one; None takes all.
     """
     if limit is not None:
-        results = results.orderBy("file", "line_no").limit(max(1, min(V.IMPORT_MAX, limit)))
+        if limit < 1:
+            raise ValueError("limit must be 1 or more")
+        results = results.orderBy("file", "line_no").limit(limit)
     # The result object is held once; everything below reads it.
     held = results.select(*schema.KEYS, F.from_json("value", "map<string,string>").alias("_all"))
     shown = F.map_filter("_all", lambda k, v: ~k.startswith("_"))

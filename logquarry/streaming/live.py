@@ -69,7 +69,9 @@ class LiveTables:
                 .orderBy(F.desc("n"), "value").limit(limit).select("value", "n"))
 
     def kpis(self) -> DataFrame:
-        return self.counts().groupBy("field").agg(F.count("*").alias("distinct_values"))
+        """Distinct values per field; a code `-` is none, as in the batch KPIs."""
+        counted = self.counts().filter("NOT (field = 'code' AND value = '-')")
+        return counted.groupBy("field").agg(F.count("*").alias("distinct_values"))
 
     def histogram(self) -> DataFrame:
         return self.counts().filter("field = 'minute'").select(F.col("value").alias("t"), "n").orderBy("t")
@@ -106,5 +108,11 @@ def error_rate(rows: DataFrame, size: str, slide: str, delay: str | None = None,
 
 
 def without_replays(rows: DataFrame, delay: str) -> DataFrame:
-    """Each (file, line) once, although a source may deliver it again within the delay."""
-    return rows.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["file", "line_no"])
+    """Each (file, line) once, although a source may deliver it again within the delay.
+
+    The delay is one of arrival, not of the lines' own times: a line without a time, or
+    one older than any seen, is new like any other and is never dropped as late.
+    """
+    arrived = rows.withColumn("_arrived", F.current_timestamp())
+    return (arrived.withWatermark("_arrived", delay)
+            .dropDuplicatesWithinWatermark(["file", "line_no"]).drop("_arrived"))

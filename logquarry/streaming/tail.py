@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from logquarry.sources.listing import resolve
+
 SCHEMA = "file string, generation int, byte_pos bigint, value string"
 BATCH = pa.schema([("file", pa.string()), ("generation", pa.int32()),
                    ("byte_pos", pa.int64()), ("value", pa.string())])
@@ -25,10 +27,6 @@ PIECE = 1 << 20
 LINES_PER_BATCH = 20_000
 
 
-def resolve(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 class Range(InputPartition):
     """Lines of one file whose first byte lies in [lo, hi); `first` marks a line start."""
 
@@ -105,13 +103,19 @@ class TailReader(DataSourceStreamReader):
                 lo += len(data)
         return hi
 
-    def _advance(self, file: str, lo: int, size: int) -> int:
+    def _advance(self, file: str, lo: int, size: int, left: int) -> int:
+        """Where a batch may read to: whole lines, and `left` bytes where there is a limit
+        (a longer line passes alone)."""
         whole = self._last_newline(file, lo, size)
-        if self.per_trigger and whole - lo > self.per_trigger:
-            capped = self._last_newline(file, lo, lo + self.per_trigger)
-            return capped if capped > lo else self._next_newline(file, lo + self.per_trigger, whole)
+        if self.per_trigger and whole - lo > left:
+            capped = self._last_newline(file, lo, lo + left)
+            return capped if capped > lo else self._next_newline(file, lo + left, whole)
         return whole
 
+    def _fair(self, sizes: dict[str, int], seen: dict[str, list[int]]) -> list[tuple[str, int]]:
+        """Files with the least read first, so a limit for all of them starves none."""
+        return sorted(sizes.items(), key=lambda f: (seen.get(f[0], [0, 0])[1], f[0]))
+
     def initialOffset(self) -> dict:
         start = {}
         if self.from_end:
@@ -123,12 +127,20 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         if self.seen is None:
             self.seen = self._load_state()
-        now = dict(self.seen)
-        for file, size in self._sizes().items():
+        now, left = dict(self.seen), self.per_trigger
+        for file, size in self._fair(self._sizes(), now):
             generation, pos = now.get(file, [0, 0])
             if size < pos:
                 generation, pos = generation + 1, 0
-            now[file] = [generation, self._advance(file, pos, size)]
+            if size == pos:                 # nothing new: the file is not opened
+                now[file] = [generation, pos]
+                continue
+            if self.per_trigger and left <= 0:
+                now[file] = [generation, pos]
+                continue
+            to = self._advance(file, pos, size, left)
+            left -= to - pos
+            now[file] = [generation, to]
         if now != self.seen:
             self.seen = now
             self._save_state()
@@ -150,8 +162,13 @@ class TailReader(DataSourceStreamReader):
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         filesystem, path = resolve(part.file)
         with filesystem.open_input_file(path) as f:
-            if f.size() < part.end:
-                raise IOError(f"{part.file} lost bytes before they were read")
+            # A file cut since the batch was planned gives what it still holds; the next
+            # trigger sees it shorter than its position and reads it as a new generation.
+            size = f.size()
+            if part.lo >= size:
+                return
+            part.end = min(part.end, size)
+            part.hi = min(part.hi, size)
             pos = part.lo
             if not part.first:
                 pos = part.lo - 1

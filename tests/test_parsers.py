@@ -99,9 +99,9 @@ def test_generic(lines):
         (2, "CRIT", "2023-10-10 13:55:36.25", "x", ""), (3, "RAW", "", "", "")]
 
 
-def test_raw_and_truncation(lines):
-    got = fields(parsers.parse_raw(lines("linea sin formato", "é" * 601)), "level", "msg", "raw")
-    assert got == [("RAW", "linea sin formato", "linea sin formato"), ("RAW", "é" * 600 + " ...", "é" * 600 + " ...")]
+def test_raw_lines_stay_whole(lines):
+    got = fields(parsers.parse_raw(lines("linea sin formato", "é" * 700)), "level", "msg", "raw")
+    assert got == [("RAW", "linea sin formato", "linea sin formato"), ("RAW", "é" * 700, "é" * 700)]
 
 
 FILES = {
@@ -155,7 +155,7 @@ def test_lookup_beyond_broadcast_gives_the_same(lines, spark):
     from logquarry.session import lookup_join
     table = lines(FILES)
     small = settle(detect.detect_format(table)).select("file", "format")
-    wide = lookup_join(table, small, ["file"], max_bytes=2, spread_by="line_no")
+    wide = lookup_join(table, small, ["file"], max_bytes=2)
     spun = lookup_join(table, small, ["file"], max_bytes=2)
     near = lookup_join(table, small, ["file"])
     assert spun.select(near.columns).exceptAll(near).isEmpty() and spun.count() == near.count()

@@ -65,7 +65,9 @@ def test_pages(rows):
     whole = [(r["file"], r["line_no"]) for r in table.orderBy("file", "line_no").collect()]
     at = lambda df: [(r["file"], r["line_no"]) for r in df.collect()]
     assert at(paging.page(table, FilterSpec(), 2, 7)) == whole[7:14]
-    assert at(paging.page(table, FilterSpec(), 0, 0)) == whole[:1]
+    for page, size in ((0, 5), (1, 0)):
+        with pytest.raises(ValueError):
+            paging.page(table, FilterSpec(), page, size)
     for start in (0, 18, 19, 55, 70):
         assert at(paging._deep_page(table, start, 10)) == whole[start:start + 10]
     assert at(paging.keyset_page(table, FilterSpec(), whole[20], 5)) == whole[21:26]
