@@ -132,12 +132,15 @@ def classify_files(spark, sf):
   CASE WHEN lower(regexp_extract(url, '[^/.][^/]*(\\.[^./]*)$', 1)) NOT IN
    ('.log', '.txt', '.csv', '.json', '.gz', '.bz2', '.xz', '.zip') THEN 'unsupported_extension,' ELSE '' END ||
   CASE WHEN (SELECT sum(length(html)) * 10000 FROM pages) > 1073741824 THEN 'batch_too_large' ELSE '' END AS reasons,
-  false AS admitted FROM pages""")
+  false AS admitted FROM pages
+  UNION ALL SELECT page_id || '.log', CAST(length(html) AS BIGINT), '', true FROM pages""")
 def admit_files(spark, sf):
-    """Page addresses as file names, page sizes blown up to meet the limits."""
-    files = table(spark, sf, "pages").select(
-        F.col("url").alias("path"), (F.char_length("html").cast("bigint") * 10000).alias("size"))
-    judged = listing.admit_files(files)
+    """Page addresses as file names, page sizes blown up to meet the limits; and a batch
+    of as many small log files, which is admitted."""
+    pages, size = table(spark, sf, "pages"), F.char_length("html").cast("bigint")
+    judged = listing.admit_files(pages.select(F.col("url").alias("path"), (size * 10000).alias("size")))
+    judged = judged.unionByName(listing.admit_files(pages.select(
+        F.concat(F.col("page_id").cast("string"), F.lit(".log")).alias("path"), size.alias("size"))))
     has = lambda r: F.array_contains("reasons", r)
     text = F.concat(F.when(has("too_large"), "too_large,").otherwise(""),
                     F.when(has("unsupported_extension"), "unsupported_extension,").otherwise(""),
@@ -259,7 +262,8 @@ def dataset_remove(spark, sf):
 
 
 @query("audit_trail", f"""WITH {EV}, k AS (SELECT day || ' ' || tm AS ts, event_id AS seq, event_type AS action,
-    'user' || user_id AS user, ip FROM ev ORDER BY ts DESC, seq DESC LIMIT 500)
+    'user' || user_id AS user, ip FROM ev
+    QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY day || ' ' || tm DESC, event_id DESC) <= 500)
   SELECT ts, seq, action, "user", ip, CASE WHEN action = 'error' THEN 'bytes' ELSE '' END AS detail
   FROM k WHERE "user" IN ('user7', 'user77', 'user107')""")
 def audit_trail(spark, sf):

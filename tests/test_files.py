@@ -146,6 +146,57 @@ def test_names(spark):
     assert [r["dataset"] for r in got.orderBy("path").collect()] == ["a.log", "a.log_1", "a.log_1_1", "b_.log"]
 
 
+def test_names_that_look_numbered(spark):
+    """As one file after the other takes the first free name."""
+    import random
+    r = random.Random(3)
+    bases = ["a", "a", "a_1", "a_1"] + [r.choice(["a", "a_1", "a_1_1", "a_2", "b", "c_7"]) for _ in range(60)]
+    taken, want = set(), []
+    for base in bases:
+        name, n = base, 0
+        while name in taken:
+            n += 1
+            name = f"{base}_{n}"
+        taken.add(name)
+        want.append(name)
+    got = listing.assign_names(spark.createDataFrame([(i, f"/{i}/{b}") for i, b in enumerate(bases)], "i int, path string"), order="i")
+    assert [x["dataset"] for x in got.orderBy("i").collect()] == want and want[:4] == ["a", "a_1", "a_1_1", "a_1_2"]
+
+
+def test_one_damaged_file_is_refused_alone(spark, tmp_path):
+    import gzip
+    from logquarry import load_files
+    whole = gzip.compress(b"2024-01-05 10:00:00 ERROR broken pipe\n" * 2000)
+    (tmp_path / "good.log.gz").write_bytes(whole)
+    (tmp_path / "bad.log.gz").write_bytes(whole[:len(whole) // 2])
+    (tmp_path / "plain.log").write_text("2024-01-05 10:00:00 ERROR other\n")
+    got = load_files(spark, [str(tmp_path)])
+    assert got.rows.count() == 2001
+    assert [(r["file"].rsplit("/", 1)[-1], r["reason"]) for r in got.refused.collect()] == [("bad.log.gz", "unreadable")]
+
+
+def test_size_limit_only_where_given(spark, tmp_path):
+    import lzma
+    from logquarry import load_files
+    (tmp_path / "a.log.xz").write_bytes(lzma.compress(b"2024-01-05 10:00:00 ERROR x\n" * 5000))
+    (tmp_path / "b.log").write_text("2024-01-05 10:00:00 ERROR y\n")
+    assert load_files(spark, [str(tmp_path)]).rows.count() == 5001
+    cut = load_files(spark, [str(tmp_path)], max_decompressed=1000)
+    assert cut.rows.count() == 1 and cut.refused.first()["reason"] == "too_large_decompressed"
+
+
+def test_cloud_paths_as_the_file_library_names_them():
+    assert listing.library_uri("s3a://logs/2024/a b.gz") == "s3://logs/2024/a b.gz"
+    assert listing.library_uri("abfss://c@acc.dfs.core.windows.net/x") == "abfs://c@acc.dfs.core.windows.net/x"
+    assert [listing.library_uri(u) for u in ("/a/b", "file:/a/b", "file:///a/b", "hdfs://n:1/a", "gs://b/a")] == [
+        "file:///a/b", "file:/a/b", "file:///a/b", "hdfs://n:1/a", "gs://b/a"]
+
+
+def test_audit_of_a_quiet_user(spark, tmp_path):
+    trail = spark.createDataFrame([(f"t{i:04d}", i, "a", "busy" if i else "quiet", None, None) for i in range(900)], audit.AUDIT_SCHEMA)
+    assert audit.audit_for(trail, "quiet").count() == 1 and audit.audit_for(trail).count() == 500
+
+
 def test_exports(spark, rows, tmp_path):
     table = rows(dict(msg='a "q", b\nc', path="=1+1", raw="r"), dict(msg=" edge ", level="ERR"), dict(msg="ñ", ip="-"))
     exports.export_csv(table, str(tmp_path / "c"))

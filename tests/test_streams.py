@@ -57,6 +57,35 @@ def test_cut_while_stopped(tmp_path):
     assert poll(forgetful, {str(log): [0, 8]})[0] == [(1, 0, "new")]
 
 
+def test_cut_between_plan_and_read(tmp_path):
+    log = tmp_path / "a.log"
+    log.write_bytes(b"one\ntwo\nthree\n")
+    r = reader(log)
+    start = r.initialOffset()
+    end = r.latestOffset()
+    log.write_bytes(b"new\n")
+    parts = r.partitions(start, end)
+    got = [x["value"] for p in parts for b in r.read(p) for x in b.to_pylist()]
+    assert got == ["new"]                                   # what the file still holds, no error
+    again = reader(log)                                     # and after a restart
+    assert [x["value"] for p in again.partitions(start, end) for b in again.read(p) for x in b.to_pylist()] == ["new"]
+    log.open("ab").write(b"more\n")
+    assert poll(r, end)[0] == [(1, 0, "new"), (1, 4, "more")]
+
+
+def test_one_limit_for_all_files(tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.log").write_bytes(b"0123456\n" * 10)
+    r, at, seen = reader(tmp_path, maxBytesPerTrigger=100), None, []
+    at = r.initialOffset()
+    for _ in range(20):
+        got, at = poll(r, at)
+        seen.append(len(got))
+        if not got:
+            break
+    assert max(seen) <= 13 and sum(seen) == 50
+
+
 def test_start_at_end(tmp_path):
     log = tmp_path / "a.log"
     log.write_bytes(b"old\n")
