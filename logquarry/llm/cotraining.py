@@ -15,7 +15,7 @@ There are two targets, each with classifiers of its own: `sound` (quality 1) and
 `harmless` (toxic 0); the score is the chance of both. With several label rows of an id
 the worst counts; a null quality or toxic is no label for that target. Nulls: a null text
 has no text features, a null source, language or length is a value of its own. A target
-without labels of both classes rejects nothing. Rows with a null id are unlabelled.
+without labels of both classes rejects nothing: its chance is 1. Rows with a null id are unlabelled.
 Repeated rows are judged alike.
 """
 
@@ -294,11 +294,6 @@ def cotrained(features: DataFrame, rounds: int, confidence: float, least_z: floa
     return views
 
 
-def prior_odds(good: float, every: int) -> float:
-    odds = math.log((good + 1) / (every - good + 1))
-    return odds if 0 < good < every else max(odds, 0.0)
-
-
 def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, confidence: float = 0.98,
              least_z: float = 2.5, most_features: int = 1024, fit_rows: int = 8_000,
              threshold: float = 0.5) -> DataFrame:
@@ -313,8 +308,12 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, confidence: fl
     out = scored(features, views, ["doc_id"])
     for i, target in enumerate(TARGETS):
         text, meta = [v.log_odds() for v in views if v.target == target]
-        together = text + meta - F.lit(prior_odds(got[2 * i], got[2 * i + 1]))
-        out = out.withColumn(f"p_{target}", 1 / (1 + F.exp(-together)))
+        good, every = got[2 * i], got[2 * i + 1]
+        if 0 < good < every:
+            together = text + meta - F.lit(math.log((good + 1) / (every - good + 1)))
+            out = out.withColumn(f"p_{target}", 1 / (1 + F.exp(-together)))
+        else:
+            out = out.withColumn(f"p_{target}", F.lit(1.0))
     score = F.col("p_sound") * F.col("p_harmless")
     return (out.select("doc_id", "p_sound", "p_harmless", score.alias("score"))
             .withColumn("kept", F.col("score") >= threshold))
