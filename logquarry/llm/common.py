@@ -43,9 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write a table once to the shared folder and go on from its files."""
+ROWS_PER_FILE = 50_000
+
+
+def stored(df: DataFrame, label: str, partition_by: str | None = None, rows: int | None = None) -> DataFrame:
+    """Write a table once to the shared folder and go on from its files. Where a bound of
+    its rows is known, `rows` keeps a small table from being written as many tiny files."""
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(1 + rows // ROWS_PER_FILE)
     path = scratch_folder(spark, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
@@ -73,11 +78,20 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFra
     return docs.join(other, same(docs[key], other["_lq_key"]), "left_anti")
 
 
+BROADCAST_ROWS = 250_000        # ids or pairs sent to every task, under 100 bytes each
+
+
 def few(df: DataFrame, most: int) -> bool:
     """Whether a settled table has no more than `most` rows (its size is then bounded)."""
     return df.count() <= most
 
 
+def lookup(df: DataFrame) -> DataFrame:
+    """A settled table of ids, to be joined to a larger one: sent to every task if it has
+    few rows, else shuffled."""
+    return F.broadcast(df) if few(df, BROADCAST_ROWS) else df
+
+
 def texts_with(docs: DataFrame, extra: DataFrame) -> DataFrame:
     """doc_id, text and what `extra` holds for (doc_id, text_key); one row per row of docs."""
     slim = docs.select("doc_id", "text", text_key().alias("_lq_key"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import few, map_texts, query, same, stored, table, text_key
+from logquarry.llm.common import few, lookup, map_texts, query, same, stored, table, text_key
 from logquarry.llm.components import components
 from logquarry.llm.words import constants, grams, inside, mixed, words
 
@@ -43,7 +43,6 @@ SHINGLE = 4
 PERCENT = 85
 HEAVY = 1 << 18                 # shingles known as frequent, 16 bytes each in every task
 BROADCAST_TOKENS = 4_000_000    # shared shingles sent to every task, 8 bytes each
-BROADCAST_ROWS = 250_000        # ids or pairs sent to every task, under 100 bytes each
 HEAD = 1 << 61                  # hashes below are compared first: an eighth of a set
 
 
@@ -184,7 +183,7 @@ def contents(docs: DataFrame, shape: DataFrame, sids: DataFrame, size: int, head
     one = (shape.join(sids, "sid", "left_semi").groupBy("sid")
            .agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("d.doc_id", "d.text_key"))
     one = stored(one, "set-texts").withColumnsRenamed({"doc_id": "_lq_id", "text_key": "_lq_text"})
-    one = F.broadcast(one) if few(one, BROADCAST_ROWS) else one
+    one = lookup(one)
     slim = readable(docs).select("doc_id", "text", text_key().alias("_lq_key"))
     slim = slim.join(one, (slim["doc_id"] == one["_lq_id"]) & (slim["_lq_key"] == one["_lq_text"]), "left_semi")
 
@@ -205,7 +204,7 @@ def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     is held of their sets, and how many shingles each has besides."""
     members = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     leaders = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    both = (F.broadcast(pairs) if few(pairs, BROADCAST_ROWS) else pairs).join(members, "b").join(leaders, "a")
+    both = lookup(pairs).join(members, "b").join(leaders, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,10 +221,10 @@ def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         run, "a binary, b binary, na long, nb long, ra long, rb long, o long")
 
 
-def hopeful(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+def hopeful(pairs: DataFrame, heads: DataFrame, percent: int, rows: int) -> DataFrame:
     """The settled pairs that can be linked by their heads."""
     return stored(common(pairs, heads).where(
-        F.col("o") + F.least("ra", "rb") >= needed(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), "hopeful")
+        F.col("o") + F.least("ra", "rb") >= needed(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), "hopeful", rows=rows)
 
 
 def with_blocks(entries: DataFrame, percent: int) -> DataFrame:
@@ -260,7 +259,7 @@ def relabel(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Entries with the component of their set in `c`."""
     if labels is None:
         return entries.withColumn("c", F.col("sid"))
-    l = labels.withColumnRenamed("node", "_lq_node")       # noqa: E741
+    l = lookup(labels.withColumnRenamed("node", "_lq_node"))       # noqa: E741
     return (entries.drop("c").join(l, entries["sid"] == l["_lq_node"], "left")
             .withColumn("c", F.coalesce("label", "sid")).drop("_lq_node", "label"))
 
@@ -313,10 +312,11 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
 
     def link(pairs: DataFrame) -> DataFrame:
         """Overlaps of settled pairs that can be linked, settled; their links are noted."""
-        pairs = hopeful(pairs, heads, percent)
+        n = pairs.count()
+        pairs = hopeful(pairs, heads, percent, n)
         wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         sets = contents(docs, shape, wanted, size, head=False)
-        found = stored(common(pairs, sets).select("a", "b", "na", "nb", "o").distinct(), "overlaps")
+        found = stored(common(pairs, sets).select("a", "b", "na", "nb", "o").distinct(), "overlaps", rows=n)
         links.append(found.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
         return found
 
@@ -324,8 +324,8 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         every = links[0]
         for x in links[1:]:
             every = every.unionByName(x)
-        links[:] = [stored(every.distinct(), "all-links")]
-        return components(links[0])
+        links[:] = [stored(every.distinct(), "all-links", rows=every.count())]
+        return components(links[0], links[0].count())
 
     # every set with the least of its leaders, then with its other leaders
     led = entries.where((F.col("leader") != F.col("sid")) & compatible(percent))
@@ -333,27 +333,30 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     first = link(nearest)
     now = labels()
     rest = relabel(led, now).join(
-        nearest.select(F.col("a").alias("leader"), F.col("b").alias("sid")), ["leader", "sid"], "left_anti")
-    owner = now.select(F.col("node").alias("leader"), F.col("label").alias("lc"))
+        lookup(nearest).select(F.col("a").alias("leader"), F.col("b").alias("sid")), ["leader", "sid"], "left_anti")
+    owner = lookup(now).select(F.col("node").alias("leader"), F.col("label").alias("lc"))
     rest = (rest.join(owner, "leader", "left").where(F.coalesce("lc", "leader") != F.col("c"))
             .select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct())
     second = link(stored(rest, "pairs"))
     now = labels()
-    seen = first.unionByName(second).select(F.col("a").alias("leader"), F.col("b").alias("sid"), "o", F.col("na").alias("n1"))
+    seen = lookup(stored(first.unionByName(second).select(
+        F.col("a").alias("leader"), F.col("b").alias("sid"), "o", F.col("na").alias("n1")), "leaders-overlaps",
+        rows=first.count() + second.count()))
     entries = open_lists(relabel(entries, now).withColumn("r", F.lit(2)), 1).drop("r", "l_n", "l_i")
     entries = entries.join(seen, ["leader", "sid"], "left")
     itself = F.col("leader") == F.col("sid")
     entries = entries.withColumns({"o": F.when(itself, F.col("n")).otherwise(F.col("o")),
                                    "n1": F.when(itself, F.col("n")).otherwise(F.col("n1"))})
-    entries = ranked(entries)
-    low, high = 1, 2
+    entries = ranked(stored(entries.drop("leader"), "led-lists"))
+    low, high, n = 1, 2, None
     while True:
-        entries = stored(open_lists(relabel(entries, now), low), "open-lists")
-        if not entries.limit(1).count():
+        entries = stored(open_lists(relabel(entries, now), low), "open-lists", rows=n)
+        n = entries.count()
+        if not n:
             return shape, now
-        pairs = stored(candidates(entries, low, high, percent), "candidates")
+        pairs = stored(candidates(entries, low, high, percent), "candidates", rows=n)
         links.append(pairs.where("sure").select("a", "b"))
-        link(stored(pairs.where("NOT sure").select("a", "b"), "pairs"))
+        link(stored(pairs.where("NOT sure").select("a", "b"), "pairs", rows=pairs.count()))
         now = labels()
         low, high = high, 2 * high
 
