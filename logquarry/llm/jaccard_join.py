@@ -179,8 +179,8 @@ def index(docs: DataFrame, size: int, percent: int, broadcast_tokens: int) -> Da
 
 def contents(docs: DataFrame, shape: DataFrame, sids: DataFrame, size: int, head: bool) -> DataFrame:
     """(sid, n, tokens: sorted 64-bit values, of the head alone or all) of the wanted sets,
-    each from one of its texts."""
-    one = (shape.join(sids, "sid", "left_semi").groupBy("sid")
+    each from one of its texts that has an id."""
+    one = (shape.where("doc_id IS NOT NULL").join(sids, "sid", "left_semi").groupBy("sid")
            .agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("d.doc_id", "d.text_key"))
     one = stored(one, "set-texts").withColumnsRenamed({"doc_id": "_lq_id", "text_key": "_lq_text"})
     one = lookup(one)

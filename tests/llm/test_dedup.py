@@ -137,3 +137,10 @@ def test_components_of_a_long_chain(ready):
     from logquarry.llm.components import components
     links = stored(ready.range(40).selectExpr("(id * 17) % 41 AS a", "((id + 1) * 17) % 41 AS b"), "test-links")
     assert {r["label"] for r in components(links).collect()} == {0}
+
+
+def test_a_copy_without_id_does_not_part_near_copies(documents, prose):
+    first = prose(11, 100)
+    near = first.rsplit(" ", 1)[0] + " other"
+    got = jaccard_join.jaccard_components(documents([(None, first), (1, first), (2, near), (3, prose(12, 100))])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {None: None, 1: 1, 2: 1, 3: 3}
