@@ -7,9 +7,10 @@ calibrated on labelled documents that were not learned from. In every round each
 labels, for the other one, the unlabelled documents it is sure of; both are then fitted
 again. The score adds both calibrated log odds to the prior's.
 
-Features of all documents are written once. The choice of features, the pseudo-labels and
-the calibration count all of them; the regression alone is fitted on about `fit_rows` of
-the (pseudo-)labelled rows, picked by the hash of their id.
+Features of all documents are written once. The choice of features, the pseudo-labels, the
+regression and the calibration count all of them. Up to `local_rows` (pseudo-)labelled rows
+are fitted on the driver; beyond, Spark sums the gradients per bucket, one pass over the
+chosen features for each step of all views.
 
 There are two targets, each with classifiers of its own: `sound` (quality 1) and
 `harmless` (toxic 0); the score is the chance of both. With several label rows of an id
@@ -120,6 +121,7 @@ class View:
     weights: np.ndarray
     slope: float = 0.0
     offset: float = 0.0
+    start: float = 0.0          # the regression's intercept
 
     @property
     def raw(self) -> str:
@@ -160,25 +162,96 @@ def chosen(rows: DataFrame, column: str, totals: dict[str, tuple[float, int]], l
     return np.unique(np.concatenate(picked))
 
 
-def regression(index: np.ndarray, row: np.ndarray, y: np.ndarray, features: int,
-               decay: float = 2e-4, steps: int = 200) -> np.ndarray:
-    """Weights of a logistic regression over set features, by Adam over all rows."""
-    weights, first, second = (np.zeros(features + 1) for _ in range(3))
-    for step in range(1, steps + 1):
-        raw = np.bincount(row, weights[index], minlength=len(y)) + weights[-1]
-        miss = 1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y
-        gradient = np.append(np.bincount(index, miss[row], minlength=features), miss.sum()) / len(y)
-        gradient[:-1] += decay * weights[:-1]
-        first, second = .9 * first + .1 * gradient, .999 * second + .001 * gradient ** 2
-        weights -= .1 * (first / (1 - .9 ** step)) / (np.sqrt(second / (1 - .999 ** step)) + 1e-8)
-    return weights[:-1]
+DECAY = 2e-4
 
 
-def sample_of(rows: DataFrame, picked: dict[str, np.ndarray], most: int, fit_rows: int) -> pa.Table:
-    """About fit_rows of the rows with a label (`most` have one), picked by the hash of the
-    id, with their chosen features."""
+class Descent:
+    """Weights of a logistic regression over set features, by L-BFGS: `at` is where loss and
+    gradient are wanted next, `done` when the gradient has all but vanished. The last weight
+    is the intercept, which does not decay."""
+
+    def __init__(self, start: np.ndarray, tolerance: float = 2e-3, memory: int = 10):
+        self.at, self.best, self.tolerance, self.memory = start.copy(), start, tolerance, memory
+        self.loss, self.gradient, self.step, self.done = math.inf, np.zeros(len(start)), 1.0, False
+        self.history: list[tuple[np.ndarray, np.ndarray]] = []
+        self.direction = np.zeros(len(start))
+
+    def tell(self, loss: float, gradient: np.ndarray) -> None:
+        """The mean loss and its gradient at `at`, both without the decay."""
+        loss += DECAY / 2 * float(self.at[:-1] @ self.at[:-1])
+        gradient = gradient + DECAY * np.append(self.at[:-1], 0.0)
+        if loss > self.loss + 1e-4 * self.step * float(self.gradient @ self.direction):
+            self.step /= 2                                        # too far
+            self.done = self.step < 1e-4
+        else:
+            moved, turned = self.at - self.best, gradient - self.gradient
+            if math.isfinite(self.loss) and moved @ turned > 1e-12:
+                self.history = [*self.history, (moved, turned)][-self.memory:]
+            self.best, self.loss, self.gradient = self.at, loss, gradient
+            self.done = float(np.linalg.norm(gradient)) <= self.tolerance
+            self.direction = self._direction()
+            self.step = 1.0 if self.history else min(1.0, 1.0 / max(float(np.abs(gradient).sum()), 1e-9))
+        self.at = self.best + self.step * self.direction
+
+    def _direction(self) -> np.ndarray:
+        out, shares = -self.gradient, []
+        for moved, turned in reversed(self.history):
+            shares.append(float(moved @ out) / float(moved @ turned))
+            out = out - shares[-1] * turned
+        if self.history:
+            moved, turned = self.history[-1]
+            out = out * (float(moved @ turned) / float(turned @ turned))
+        for (moved, turned), share in zip(self.history, reversed(shares), strict=True):
+            out = out + (share - float(turned @ out) / float(moved @ turned)) * moved
+        return out
+
+
+def slope_sums(batch: pa.RecordBatch, weights: dict[tuple[str, str], np.ndarray]) -> dict[tuple[str, str], np.ndarray]:
+    """Per view: the loss summed over the labelled rows, then its gradient."""
+    out = {}
+    for (target, column), w in weights.items():
+        tokens, y = batch.column(column), batch.column(Y[target, column])
+        if y.null_count == len(y):
+            continue
+        known = y.is_valid().to_numpy(zero_copy_only=False)
+        truth = y.fill_null(0.0).to_numpy(zero_copy_only=False)
+        index = tokens.flatten().to_numpy()
+        row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy())
+        raw = np.bincount(row, w[index], minlength=len(tokens)) + w[-1]
+        miss = np.where(known, 1 / (1 + np.exp(-np.clip(raw, -500, 500))) - truth, 0.0)
+        loss = (np.logaddexp(0.0, raw) - truth * raw)[known].sum()
+        out[target, column] = np.concatenate([[loss], np.bincount(index, miss[row], minlength=len(w) - 1), [miss.sum()]])
+    return out
+
+
+def summed_slopes(rows: DataFrame, weights: dict[tuple[str, str], np.ndarray]) -> dict[tuple[str, str], np.ndarray]:
+    """slope_sums of all rows (settled), summed per view and place by Spark."""
+    views = list(weights)
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in batches:
+            for v, part in slope_sums(batch, shared.value).items():
+                sums[v] = sums[v] + part if v in sums else part
+        for v, part in sums.items():
+            spot = np.flatnonzero(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(spot), views.index(v), np.int32)), pa.array(spot.astype(np.int32)), pa.array(part[spot])],
+                names=["view", "spot", "x"])
+    got = rows.mapInArrow(run, "view int, spot int, x double").groupBy("view", "spot").agg(F.sum("x").alias("x")).toArrow()
+    view, spot, x = (got.column(c).to_numpy() for c in ("view", "spot", "x"))
+    out = {}
+    for i, v in enumerate(views):
+        out[v] = np.zeros(len(weights[v]) + 1)
+        out[v][spot[view == i]] = x[view == i]
+    shared.destroy()
+    return out
+
+
+def chosen_tokens(rows: DataFrame, picked: dict[str, np.ndarray]) -> DataFrame:
+    """The labels Y and the places of the chosen features of every row with a label."""
     ys = list(Y.values())
-    part = int(min(1.0, fit_rows / max(most, 1)) * (1 << 20))
     place = {c: np.full(BUCKETS[c], -1, dtype=np.int32) for c in BUCKETS}
     for c, buckets in picked.items():
         place[c][buckets] = np.arange(len(buckets))
@@ -192,29 +265,46 @@ def sample_of(rows: DataFrame, picked: dict[str, np.ndarray], most: int, fit_row
                 owner = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy())[spot >= 0]
                 offsets = np.searchsorted(owner, np.arange(len(tokens) + 1)).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(spot[spot >= 0])))
-            yield pa.RecordBatch.from_arrays([*out, *batch.columns[2:]], names=[*BUCKETS, "k", *ys])
-    schema = ", ".join([*[f"{c} array<int>" for c in BUCKETS], "k long", *[f"{y} double" for y in ys]])
-    return (rows.where(F.coalesce(*ys).isNotNull() & (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) <= part))
-            .select(*BUCKETS, F.xxhash64("doc_id").alias("k"), *ys).mapInArrow(run, schema).toArrow().sort_by("k"))
+            yield pa.RecordBatch.from_arrays([*out, *batch.columns[2:]], names=[*BUCKETS, *ys])
+    schema = ", ".join([*[f"{c} array<int>" for c in BUCKETS], *[f"{y} double" for y in ys]])
+    return rows.where(F.coalesce(*ys).isNotNull()).select(*BUCKETS, *ys).mapInArrow(run, schema)
 
 
-def fit(rows: DataFrame, least_z: float, most_features: int, fit_rows: int) -> list[View]:
-    """Both views of both targets. rows: doc_id, the tokens, the labels Y."""
+def fit(rows: DataFrame, least_z: float, most_features: int, local_rows: int, before: list[View] | None = None,
+        most_steps: int = 60) -> list[View]:
+    """Both views of both targets. rows: doc_id, the tokens, the labels Y. Starts from the
+    weights of the views `before`."""
     ys = list(Y.values())
-    got = rows.agg(*[x for y in ys for x in (F.coalesce(F.sum(y), F.lit(0.0)), F.count(y))]).first()
+    got = rows.agg(*[x for y in ys for x in (F.coalesce(F.sum(y), F.lit(0.0)), F.count(y))],
+                   F.count(F.coalesce(*ys))).first()
     totals = {y: (got[2 * i], got[2 * i + 1]) for i, y in enumerate(ys)}
     picked = {c: chosen(rows, c, totals, least_z, most_features) for c in BUCKETS}
-    table_ = sample_of(rows, picked, max(n for _, n in totals.values()), fit_rows)
-    views = []
-    for (target, column), y in Y.items():
-        view = View(target, column, np.zeros(BUCKETS[column], dtype=np.float32))
-        labelled = table_.filter(table_.column(y).is_valid())
-        truth = labelled.column(y).to_numpy()
-        if len(picked[column]) and 0 < truth.sum() < len(truth):
-            lists = labelled.column(column).combine_chunks()
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            view.weights[picked[column]] = regression(lists.flatten().to_numpy(), row, truth, len(picked[column]))
-        views.append(view)
+    views = [View(t, c, np.zeros(BUCKETS[c], dtype=np.float32)) for t, c in Y]
+    old = {(v.target, v.column): v for v in before or []}
+    todo = {}
+    for key, y in Y.items():
+        good, every = totals[y]
+        buckets = picked[key[1]]
+        if len(buckets) and 0 < good < every:
+            start = old[key].weights[buckets].astype(np.float64) if key in old else np.zeros(len(buckets))
+            share = math.log(good / (every - good)) if key not in old else old[key].start
+            todo[key] = Descent(np.append(start, share))
+    if todo:
+        tokens = chosen_tokens(rows, picked)
+        local = tokens.toArrow().combine_chunks().to_batches() if got[len(got) - 1] <= local_rows else None
+        tokens = stored(tokens, "chosen-features") if local is None else tokens
+        for _ in range(most_steps):
+            weights = {k: d.at for k, d in todo.items() if not d.done}
+            if not weights:
+                break
+            sums = slope_sums(local[0], weights) if local is not None else summed_slopes(tokens, weights)
+            for k in weights:
+                n = totals[Y[k]][1]
+                todo[k].tell(sums[k][0] / n, sums[k][1:] / n)
+    for view in views:
+        d = todo.get((view.target, view.column))
+        if d is not None:
+            view.weights[picked[view.column]], view.start = d.best[:-1], float(d.best[-1])
     return views
 
 
@@ -275,7 +365,7 @@ def line(x: np.ndarray, g: np.ndarray, n: np.ndarray) -> tuple[float, float]:
 
 
 def cotrained(features: DataFrame, rounds: int, confidence: float, least_z: float, most_features: int,
-              fit_rows: int) -> list[View]:
+              local_rows: int) -> list[View]:
     """The views after all rounds. A view learns from labels and, where there is none, from
     what the other view of its target is sure of."""
     edge = math.log(confidence / (1 - confidence))
@@ -284,18 +374,18 @@ def cotrained(features: DataFrame, rounds: int, confidence: float, least_z: floa
     labels = {t: F.when(~held_back(), F.col(t)) for t in TARGETS}
     known = features.where(F.coalesce(*TARGETS).isNotNull())
     rows = known.select(*tokens, *[labels[t].alias(y) for (t, _), y in Y.items()])
-    views = calibrated(features, fit(rows, least_z, most_features, fit_rows))
+    views = calibrated(features, fit(rows, least_z, most_features, local_rows))
     for _ in range(rounds):
         odds = {(v.target, v.column): v.log_odds() for v in views}
         sure = {k: F.when(o >= edge, 1.0).when(o <= -edge, 0.0) for k, o in odds.items()}
         rows = scored(features, views, tokens).select(*tokens, *[
             F.when(F.col(t).isNotNull(), labels[t]).otherwise(sure[t, other[c]]).alias(y) for (t, c), y in Y.items()])
-        views = calibrated(features, fit(rows, least_z, most_features, fit_rows))
+        views = calibrated(features, fit(rows, least_z, most_features, local_rows, views))
     return views
 
 
 def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, confidence: float = 0.98,
-             least_z: float = 2.5, most_features: int = 1024, fit_rows: int = 8_000,
+             least_z: float = 2.5, most_features: int = 1024, local_rows: int = 8_000,
              threshold: float = 0.5) -> DataFrame:
     """doc_id, p_sound, p_harmless, score, kept (score >= threshold) for every row of docs."""
     known = stored(labels_of(labels).withColumnRenamed("doc_id", "_lq_id"), "labels")
@@ -303,7 +393,7 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, confidence: fl
     slim = docs.select("doc_id", "text", meta_tokens().alias("meta_tokens"))
     labelled = slim.join(known, same(slim["doc_id"], known["_lq_id"]), "left")
     features = stored(text_tokens(labelled.select("doc_id", "text", "meta_tokens", *TARGETS)), "view-features")
-    views = cotrained(features, rounds, confidence, least_z, most_features, fit_rows)
+    views = cotrained(features, rounds, confidence, least_z, most_features, local_rows)
     got = features.agg(*[x for t in TARGETS for x in (F.coalesce(F.sum(t), F.lit(0.0)), F.count(t))]).first()
     out = scored(features, views, ["doc_id"])
     for i, target in enumerate(TARGETS):

@@ -89,6 +89,21 @@ def test_classifier_on_labels_it_did_not_learn_from(ready):
     assert len(clean) > 200 and np.mean(clean) > 0.99 and len(bad) > 50 and np.mean(bad) < 0.2
 
 
+def test_every_label_counts_beside_many_pseudo_labels(ready):
+    """40 labels of the text's views beside 4,000 of the page's: the fit over Spark's sums uses them all."""
+    r = random.Random(3)
+    rows = []
+    for i in range(4000):
+        good = r.random() < .5
+        y = float(good) if i % 100 == 0 else None
+        rows.append((i, [int(good), 500], [r.randrange(5) * 2 + good], y, float(good), y, float(good)))
+    names = ", ".join(f"{y} double" for y in cotraining.Y.values())
+    data = stored(ready.createDataFrame(rows, f"doc_id long, text_tokens array<int>, meta_tokens array<int>, {names}"), "test-views")
+    few, all_ = (cotraining.fit(data, 2.0, 64, n) for n in (100, 10_000))
+    for a, b in zip(few, all_):
+        assert np.abs(b.weights).max() > 1 and np.allclose(a.weights, b.weights, atol=1e-3)
+
+
 def test_mixture_meets_its_targets(ready):
     docs = ready.read.parquet(f"{SF}/documents.parquet")
     labelled = mixing.labelled_domains(docs, ready.read.parquet(f"{SF}/labels.parquet"))
