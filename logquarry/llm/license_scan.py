@@ -3,12 +3,14 @@
 Text and template are compared word by word: words that stand once in both are anchors,
 the longest run of anchors in the same order is kept, and the gaps between them are
 aligned in the same way, where other words are now unique. Equal words at both ends of a
-gap are taken first. Coverage is the share of the template's words that are aligned.
+gap are taken first. Coverage is the number of aligned words over the template's words and
+the words of the text that stand between aligned ones without being aligned.
 
-A text is aligned region by region: around the words that are telling for a template
-(not among the most common ones), as far apart as `REACH` words at most. A region that
-has too few of a template's different words to reach the coverage is not aligned; the
-bound is exact. So a notice that stands twice is found twice.
+A text is aligned window by window. A match of coverage c spans at most len(template) / c
+words, so windows of that length hold every match whole. Windows without enough telling words
+(not among the most common ones), or with too few of a template's words to reach the
+coverage, are not aligned; both bounds are exact. So a notice that stands twice is found
+twice, also without a word between, and one that other words interrupt is found whole.
 
 Words are ASCII letters and digits in lower case, and non-ASCII characters. Nulls: a null
 text, or one without words, has no licence. Of templates with equal coverage the longer
@@ -17,6 +19,7 @@ one wins, then the one named first. Rows are scanned one by one.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +32,6 @@ from pyspark.sql import functions as F
 from logquarry.llm.common import map_texts, query, table
 from logquarry.llm.words import NOT_ALNUM, words
 
-REACH = 12
 LEAST_COVERAGE = 0.8
 
 # Notices as their licences word them.
@@ -146,35 +148,61 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def regions(places: list[int], size: int, reach: int = REACH) -> list[tuple[int, int]]:
-    """Spans around telling words no further apart than `reach`, widened by it."""
+def starts(hits: np.ndarray, t: Template, size: int, width: int, needed: int) -> list[tuple[int, int]]:
+    """Ranges of the first words of windows that hold enough of the template's telling words."""
+    common = len(t.codes) - sum(n for c, n in t.count.items() if c in t.telling)
+    least = max(1, needed - common)
+    if len(hits) < least:
+        return []
+    first, last = hits[:len(hits) - least + 1], hits[least - 1:]
+    near = last - first < width
     out: list[list[int]] = []
-    for p in places:
-        if out and p - out[-1][1] <= reach:
-            out[-1][1] = p
+    for a, b in zip(np.maximum(last[near] - width + 1, 0).tolist(), (first[near] + 1).tolist(), strict=True):
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
         else:
-            out.append([p, p])
-    return [(max(0, a - reach), min(size, b + 1 + reach)) for a, b in out]
+            out.append([a, b])
+    return [(a, min(b, size)) for a, b in out]
+
+
+def tightest(pairs: list[tuple[int, int]], length: int) -> tuple[float, int, int, int]:
+    """(coverage, first word, last word + 1, aligned) without ends that lower the coverage."""
+    def share(i: int, j: int) -> float:
+        return (j - i + 1) / (length + pairs[j][0] - pairs[i][0] - (j - i))
+    last = max(range(len(pairs)), key=lambda j: share(0, j))
+    first = max(range(last + 1), key=lambda i: share(i, last))
+    return share(first, last), pairs[first][0], pairs[last][0] + 1, last - first + 1
 
 
 def scan_text(text: list[int], hits: list[int], known: list[Template], least: float) -> list[tuple]:
     """(coverage, name, first word, last word + 1, aligned) of all notices in a text, best
     first; where notices overlap the best of them."""
-    found = []
+    found = set()
     for t in known:
-        mine = [p for p in hits if text[p] in t.telling]
-        for a, b in regions(mine, len(text)):
-            part = text[a:b]
-            possible = sum(min(n, t.count[c]) for c, n in Counter(part).items() if c in t.count)
-            if possible < least * len(t.codes):
-                continue
-            pairs = align(part, t.codes)
-            coverage = len(pairs) / len(t.codes)
-            if coverage >= least:
-                found.append((coverage, t.name, a + pairs[0][0], a + pairs[-1][0] + 1, len(pairs)))
+        length = len(t.codes)
+        width, needed = int(length / least + 1e-9), math.ceil(least * length - 1e-9)
+        mine = np.array([p for p in hits if text[p] in t.telling], dtype=np.int64)
+        for a, b in starts(mine, t, len(text), width, needed):
+            held = Counter(c for c in text[a:a + width] if c in t.count)
+            possible = sum(min(n, t.count[c]) for c, n in held.items())
+            for s in range(a, b):
+                c = text[s]
+                if possible >= needed and c in t.count:
+                    pairs = align(text[s:s + width], t.codes)
+                    if len(pairs) >= needed:
+                        coverage, first, end, n = tightest(pairs, length)
+                        if coverage >= least:
+                            found.add((coverage, t.name, s + first, s + end, n))
+                if c in t.count:                # leaves the window
+                    possible -= held[c] <= t.count[c]
+                    held[c] -= 1
+                e = text[s + width] if s + width < len(text) else None
+                if e in t.count:                # enters it
+                    held[e] += 1
+                    possible += held[e] <= t.count[e]
     size = {t.name: len(t.codes) for t in known}
     apart: list[tuple] = []
-    for f in sorted(found, key=lambda f: (-f[0], -size[f[1]], f[1], f[2])):
+    for f in sorted(found, key=lambda f: (-f[0], -size[f[1]], f[1], f[2], f[3])):
         if all(f[3] <= g[2] or g[3] <= f[2] for g in apart):
             apart.append(f)
     return apart

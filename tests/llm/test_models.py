@@ -198,6 +198,22 @@ def test_licences(ready, documents, text, license, matches):
     assert len(got) == matches and (got[0]["license"] if got else None) == license
 
 
+def found_in(text):
+    known = license_scan.templates(license_scan.TEMPLATES)
+    codes = license_scan.codes_of(text).tolist()
+    hits = [i for i, c in enumerate(codes) if any(c in t.telling for t in known)]
+    return [(m[1], m[0]) for m in license_scan.scan_text(codes, hits, known, license_scan.LEAST_COVERAGE)]
+
+
+def test_notices_side_by_side_and_interrupted():
+    twice = "text. Released under the MIT License. Released under the MIT License. more"
+    assert found_in(twice) == [("MIT", 1.0)] * 2
+    assert found_in(f"{MIT} {MIT}") == [("MIT text", 1.0)] * 2
+    parts = MIT.split()
+    (name, coverage), = found_in(" ".join([*parts[:45], *["zz"] * 14, *parts[45:]]))
+    assert name == "MIT text" and 0.8 <= coverage < 1
+
+
 def test_alignment_is_ordered_and_longest_runs_are_longest():
     r = random.Random(1)
     for _ in range(200):
