@@ -214,6 +214,13 @@ def test_notices_side_by_side_and_interrupted():
     assert name == "MIT text" and 0.8 <= coverage < 1
 
 
+def test_an_inserted_word_names_another_licence():
+    for name in ("LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "BSD-3-Clause", "LGPL header"):
+        assert found_in(license_scan.TEMPLATES[name]) == [(name, 1.0)]
+    (name, coverage), = found_in("This work is licensed under the GNU Sleepy General Public License, version 3.")
+    assert name.split("-")[0] in ("GPL", "LGPL", "AGPL") and coverage < 1
+
+
 def test_alignment_is_ordered_and_longest_runs_are_longest():
     r = random.Random(1)
     for _ in range(200):
