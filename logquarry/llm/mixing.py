@@ -47,30 +47,25 @@ class Domains:
         self.odds = [f"_lq_odds{k}" for k in range(len(names))]
 
 
-def learn_domains(labelled: DataFrame, known: list[str], max_rows: int = 4000, vocabulary: int = 4096,
-                  least: int = 5) -> Domains:
-    """labelled: text, domain. Fitted on about max_rows rows picked by their text's hash;
-    the vocabulary is the `vocabulary` words with most information about the domain."""
+def learn_domains(labelled: DataFrame, known: list[str], vocabulary: int = 4096, least: int = 5) -> Domains:
+    """labelled: text, domain. Words are counted per domain over all labelled rows; the
+    vocabulary is the `vocabulary` words with most information about the domain. A domain's
+    counts are filled up with half a word of the vocabulary each, in the proportions of all
+    domains, so that a domain of few words does not draw the words it never had."""
     rows = labelled.where("text IS NOT NULL AND domain IS NOT NULL")
-    n = rows.count()
-    if not n:
-        return Domains([], [], None)
-    part = int(min(1.0, max_rows / n) * (1 << 20))
     domain = F.when(F.col("domain").isin(known), F.col("domain")).otherwise(OTHER)
-    sample = stored(rows.where(F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(1 << 20)) <= part)
-                    .select(domain.alias("domain"), F.explode(all_words()).alias("word"))
-                    .groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n")), "domain-words")
-    sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
     shares = {r["domain"]: r["n"] for r in rows.groupBy(domain.alias("domain")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    names = sorted(set(sizes) & set(shares))
-    if not names:
+    counts = stored(rows.select(domain.alias("domain"), F.explode(all_words()).alias("word"))
+                    .groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n")), "domain-words")
+    sizes = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
+    if not sizes:
         return Domains([], [], None)
-    every = sum(sizes.values())
-    wide = sample.groupBy("word").agg(F.sum("n").alias("all"), *[
+    names, every = sorted(shares), sum(sizes.values())
+    wide = counts.groupBy("word").agg(F.sum("n").alias("all"), *[
         F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(names)])
-    wide = wide.where(F.col("all") >= least)
-    odds = [F.log((F.col(f"n{k}") + 0.5) / (sizes[d] + 1.0)) - F.log((F.col("all") + 0.5) / (every + 1.0))
-            for k, d in enumerate(names)]
+    wide = stored(wide.where(F.col("all") >= least), "word-counts")
+    fill, share = max(wide.count() / 2, 1.0), F.col("all") / every
+    odds = [F.log((F.col(f"n{k}") + fill * share) / (sizes.get(d, 0) + fill)) - F.log(share) for k, d in enumerate(names)]
     told = summed([F.col(f"n{k}") * o for k, o in enumerate(odds)])
     found = Domains(names, [shares[d] / sum(shares.values()) for d in names], None)
     found.words = stored(wide.orderBy(F.desc(told), "word").limit(vocabulary)

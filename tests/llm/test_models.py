@@ -118,6 +118,17 @@ def test_mixture_meets_its_targets(ready):
     assert dict(zip(got["doc_id"], got["tokens"])) == want
 
 
+def test_rare_domains_of_a_large_labelled_table(ready):
+    rare = [f"rare{k}" for k in range(8)]
+    rows = [(" ".join(f"c{(i * j) % 97}" for j in range(1, 9)) + f" x{i}", "common") for i in range(12_000)]
+    rows += [(f"r{k}a r{k}b " * 5, name) for k, name in enumerate(rare)]
+    domains = mixing.learn_domains(ready.createDataFrame(rows, "text string, domain string"), ["common", *rare])
+    assert domains.names == ["common", *rare]
+    docs = ready.createDataFrame([(1, "c1 c2 c3 c4 c5"), (2, "r3a r3b r3a"), (3, "c10 c11 c90 c7")], "doc_id long, text string")
+    got = {r["doc_id"]: [r[f"p{k}"] for k in range(9)] for r in mixing.memberships(docs, domains).collect()}
+    assert [domains.names[int(np.argmax(got[i]))] for i in (1, 2, 3)] == ["common", "rare3", "common"]
+
+
 def test_rates_of_a_small_case(ready):
     """Two documents of pure domains and one that has both: the totals are what they must be."""
     members = stored(ready.createDataFrame([(1, 100, 1.0, 0.0), (2, 50, 0.0, 1.0), (3, 40, 0.5, 0.5)],
