@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from logquarry.llm import (cotraining, decontaminate, jaccard_join, language_id, license_scan, line_dedup,
-                           mixing, quality_rules, substring_dedup, syncmers, token_rollup)
+                           mixing, quality_rules, substring_dedup, syncmers, token_alignment, token_rollup)
 from logquarry.llm.common import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -11,4 +11,4 @@ if corpus_pipeline.ORACLE_SQL is not None:
 
 __all__ = ["ORACLES", "QUERIES", "cotraining", "decontaminate", "jaccard_join", "language_id", "license_scan", "line_dedup",
            "mixing", "quality_rules", "substring_dedup", "syncmers",
-           "token_rollup"]
+           "token_alignment", "token_rollup"]
