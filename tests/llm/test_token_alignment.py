@@ -82,6 +82,15 @@ def test_the_table(ready, plain):
     assert sorted(tuple(r) for r in T.op12_token_alignment(ready, sf).collect()) == sorted(want)
 
 
+def test_both_ways_to_encode_agree():
+    """The faster library gives the ids of the one the file is for, on every code point."""
+    path = f"{T.FOLDER}/{T.BYTE_BPE}"
+    fast, slow = T.Tokenizers.get(path, f"{T.FOLDER}/{T.PIECES}").encode_a, T.Tokenizers._by_file(path)
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}1{c}{c} {c}b  {c}" for c in points[at:at + 500]) for at in range(0, len(points), 500)]
+    assert fast(texts) == slow(texts)
+
+
 def test_pairs_stay_within_the_bound_of_the_vocabularies(documents):
     encoded = T.encode(documents(list(enumerate(TEXTS))))
     tokenizers = T.Tokenizers.get(f"{T.FOLDER}/{T.BYTE_BPE}", f"{T.FOLDER}/{T.PIECES}")
