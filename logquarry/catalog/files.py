@@ -263,7 +263,7 @@ def dataset_remove(spark, sf):
 
 @query("audit_trail", f"""WITH {EV}, k AS (SELECT day || ' ' || tm AS ts, event_id AS seq, event_type AS action,
     'user' || user_id AS user, ip FROM ev
-    QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY day || ' ' || tm DESC, event_id DESC) <= 500)
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day || ' ' || tm DESC, event_id DESC) <= 500)
   SELECT ts, seq, action, "user", ip, CASE WHEN action = 'error' THEN 'bytes' ELSE '' END AS detail
   FROM k WHERE "user" IN ('user7', 'user77', 'user107')""")
 def audit_trail(spark, sf):

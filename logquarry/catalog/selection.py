@@ -1,11 +1,16 @@
 """Filters, presets and pages."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.catalog.base import event_rows, lines_cte, query, rows_cte, text_lines
+from logquarry.catalog.base import ORACLES, event_rows, lines_cte, query, rows_cte, text_lines
 from logquarry.operators import filters, paging
 from logquarry.operators.filters import FilterSpec, Presets
 from logquarry.operators.parsers import parse_raw
+from logquarry.operators.postings import PostingTable
+from logquarry.session import scratch_folder
 
 G, A = f"WITH {rows_cte('generic')}", f"WITH {rows_cte('apache')}"
 
@@ -47,6 +52,55 @@ def filter_phrase(spark, sf):
         F.col("value"), filters.parse_terms("of the,de la,!and"))).select("file", "line_no")
 
 
+def _indexed(spark, lines):
+    """A posting table of the lines, added in two parts that share blocks."""
+    index = PostingTable(spark, scratch_folder(spark, "postings"))
+    for part in (0, 1):
+        index.append(lines.filter(F.col("line_no") % 2 == part), "value")
+    return index
+
+
+@query("posting_phrase", ORACLES["filter_phrase"])
+def posting_phrase(spark, sf):
+    """The phrases of filter_phrase, answered from the posting table."""
+    lines = text_lines(spark, sf)
+    return _indexed(spark, lines).search(lines, "of the,de la,!and", "value").select("file", "line_no")
+
+
+@query("posting_phrase_conversations", f"""WITH {lines_cte('conversations')}, t AS (SELECT file, line_no, ' ' || trim(regexp_replace(
+    strip_accents(lower(value)), '[^\\pL\\pN]+', ' ', 'g')) || ' ' AS tok FROM ln)
+  SELECT file, line_no FROM t WHERE contains(tok, ' the ') OR contains(tok, ' can you ') OR contains(tok, ' how do i ')""")
+def posting_phrase_conversations(spark, sf):
+    lines = text_lines(spark, sf, "conversations")
+    return _indexed(spark, lines).search(lines, "The, can you ,how do I", "value").select("file", "line_no")
+
+
+PHRASES = ("of the", "de la", "and of the", "for the first time")
+
+
+def _looked_at_sql(phrase: str) -> str:
+    words = sorted(set(phrase.split()))
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"""SELECT '{phrase}' AS phrase,
+  (SELECT token FROM (VALUES {", ".join(f"('{w}')" for w in words)}) w(token) LEFT JOIN d USING (token)
+   ORDER BY coalesce(blocks, 0), token LIMIT 1) AS rarest,
+  (SELECT min(coalesce(blocks, 0)) FROM (VALUES {", ".join(f"('{w}')" for w in words)}) w(token) LEFT JOIN d USING (token)) AS rarest_blocks,
+  CAST((SELECT coalesce(sum(blocks), 0) FROM d WHERE token IN ({listed})) AS BIGINT) AS all_blocks,
+  CAST({len(words)} * (SELECT count(*) FROM (SELECT file, block FROM p WHERE token IN ({listed}) GROUP BY file, block
+    HAVING count(DISTINCT token) = {len(words)})) AS BIGINT) AS read_blocks"""
+
+
+@query("posting_blocks", f"""WITH {lines_cte()}, p AS (SELECT DISTINCT file, line_no // 1024 AS block, unnest(string_split(trim(regexp_replace(
+    strip_accents(lower(value)), '[^\\pL\\pN]+', ' ', 'g')), ' ')) AS token FROM ln),
+  d AS (SELECT token, count(*) AS blocks FROM p WHERE token <> '' GROUP BY token)
+  """ + " UNION ALL ".join(f"({_looked_at_sql(p)})" for p in PHRASES))
+def posting_blocks(spark, sf):
+    """What phrases look at: postings of the blocks of their rarest token, of all there are."""
+    index = PostingTable(spark, scratch_folder(spark, "postings"))
+    index.append(text_lines(spark, sf), "value")
+    return reduce(DataFrame.unionByName, [index.looked_at(p) for p in PHRASES])
+
+
 @query("count_filtered", f"{A} SELECT count(*) AS n FROM r WHERE code = '500'")
 def count_filtered(spark, sf):
     return filters.count_filtered(event_rows(spark, sf, "apache"), FilterSpec(code="500"))
