@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from logquarry.catalog.base import (event_rows, lines_cte, query, rows_cte, template_sql,
                                     text_lines)
-from logquarry.operators import rollups
+from logquarry.operators import rollups, sketches
 from logquarry.operators.filters import FilterSpec
 from logquarry.operators.parsers import parse_raw
+from logquarry.session import scratch_folder
 
 G, A = f"WITH {rows_cte('generic')}", f"WITH {rows_cte('apache')}"
 TEMPLATES = """SELECT template, count(*) AS n, min(ts_norm) AS first, max(ts_norm) AS last,
@@ -76,10 +77,52 @@ def kpi_distinct(spark, sf):
     return rollups.kpis(event_rows(spark, sf, "apache"))
 
 
-@query("kpi_approx", "SELECT true AS ips, true AS paths, true AS codes, true AS levels")
+BOTH = (f"WITH {rows_cte('generic', 'r1')}, " + rows_cte("apache", "r2").split("FROM events),", 1)[1]
+        + ", r AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)")
+
+
+def _in_parts(spark, rows, sketch):
+    """Sketches of four parts of the rows, stored part by part and read back."""
+    path = scratch_folder(spark, "sketches")
+    for part in range(4):
+        sketch(rows.filter(F.col("line_no") % 4 == part)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("kpi_approx", f"""{A} SELECT kpi, exact, true AS within, CAST({sketches.distinct_error()!r} AS DOUBLE) AS error FROM (
+  SELECT 'ips' AS kpi, count(DISTINCT ip) AS exact FROM r UNION ALL SELECT 'paths', count(DISTINCT path) FROM r
+  UNION ALL SELECT 'codes', count(DISTINCT code) FROM r)""")
 def kpi_approx(spark, sf):
-    """Whether sketch-based KPIs lie within a tenth of the exact ones, counted beside them."""
-    return rollups.kpi_error(event_rows(spark, sf, "apache"), 0.1)
+    """Distinct counts from merged sketches, and whether the exact one, counted beside them,
+    lies in the interval they state."""
+    rows = event_rows(spark, sf, "apache")
+    merged = sketches.merge_distinct(_in_parts(spark, rows, sketches.distinct_sketches))
+    exact = rollups.kpis(rows).unpivot([], list(rollups.KPI_COLUMNS), "kpi", "exact")
+    return sketches.distinct_estimates(merged).join(exact, "kpi").select(
+        "kpi", "exact", F.col("exact").between(F.col("low"), F.col("high")).alias("within"),
+        F.lit(sketches.distinct_error()).alias("error"))
+
+
+@query("kpi_sketch_by_dataset", f"""{BOTH} SELECT owner, dataset, kpi, exact, true AS within FROM (
+  SELECT owner, dataset, unnest(['ips', 'paths', 'codes', 'levels']) AS kpi, unnest([count(DISTINCT nullif(ip, '')),
+    count(DISTINCT nullif(path, '')), count(DISTINCT CASE WHEN code NOT IN ('', '-') THEN code END),
+    count(DISTINCT nullif(level, ''))]) AS exact FROM r GROUP BY owner, dataset) WHERE exact > 0""")
+def kpi_sketch_by_dataset(spark, sf):
+    """The same per dataset."""
+    rows, by = both_rows(spark, sf), ["owner", "dataset"]
+    parts = _in_parts(spark, rows, lambda part: sketches.distinct_sketches(part, by))
+    exact = rollups.kpis(rows, by).unpivot(by, list(rollups.KPI_COLUMNS), "kpi", "exact")
+    return sketches.distinct_estimates(sketches.merge_distinct(parts, by)).join(exact, [*by, "kpi"]).select(
+        *by, "kpi", "exact", F.col("exact").between(F.col("low"), F.col("high")).alias("within"))
+
+
+@query("top_sketched", f"{A} SELECT *, CAST(0 AS BIGINT) AS error, true AS certain FROM (" + " UNION ALL ".join(
+    _top_sql(f, 30) for f in ("ip", "path", "code")) + ")")
+def top_sketched(spark, sf):
+    """Tops from merged sketches: exact here, as no sketch had to give up a value."""
+    fields = ["ip", "path", "code", "level"]
+    parts = _in_parts(spark, event_rows(spark, sf, "apache"), lambda part: sketches.top_sketches(part, fields))
+    return sketches.top_estimates(sketches.merge_tops(parts), 30)
 
 
 def _histogram(name: str, gran: str, width: int) -> None:
@@ -126,10 +169,6 @@ def manifest(rows: DataFrame) -> DataFrame:
         {"encoding": F.lit("utf-8"), "compressed": F.lit("")})
 
 
-BOTH = (f"WITH {rows_cte('generic', 'r1')}, " + rows_cte("apache", "r2").split("FROM events),", 1)[1]
-        + ", r AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)")
-
-
 def both_rows(spark, sf):
     return event_rows(spark, sf).unionByName(event_rows(spark, sf, "apache"))
 

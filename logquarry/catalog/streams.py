@@ -19,8 +19,8 @@ def _numbered_rows(batch):
     return parsers.parse_generic(lines)
 
 
-def _run_landing(spark, folder, max_files=16):
-    tables = live.LiveTables(spark, scratch_folder(spark, "live"))
+def _run_landing(spark, folder, max_files=16, sketches=False):
+    tables = live.LiveTables(spark, scratch_folder(spark, "live"), sketches)
     stream = landing.watch_folder(spark, folder, max_files)
     live.run_available(stream, lambda b, i: tables.write(_numbered_rows(b), i), tables.path + "/checkpoint")
     return tables
@@ -50,6 +50,22 @@ def stream_incremental_tops(spark, sf):
                 F.lit("minutes").alias("kind"), F.lit("").alias("value"), F.col("distinct_values").alias("n"))))
 
 
+@query("stream_sketched_panel", f"""WITH {EV}, top AS (SELECT ip AS value, count(*) AS n FROM ev GROUP BY ip ORDER BY n DESC, value LIMIT 20)
+  SELECT 'ip' AS kind, value, n, true AS holds FROM top UNION ALL
+  SELECT 'level', level, count(*), true FROM ev GROUP BY level UNION ALL
+  SELECT 'distinct', 'ips', count(DISTINCT ip), true FROM ev UNION ALL SELECT 'distinct', 'levels', count(DISTINCT level), true FROM ev""")
+def stream_sketched_panel(spark, sf):
+    """Tops and distinct counts of a stream from levelled sketches, one batch per landed file;
+    `holds`: a top is certain, the exact distinct count lies in the interval."""
+    tables = _run_landing(spark, _landed(spark, sf), 1, sketches=True)
+    exact = tables.kpis().select(F.element_at(F.create_map(F.lit("ip"), F.lit("ips"), F.lit("level"), F.lit("levels")),
+                                              F.col("field")).alias("kpi"), F.col("distinct_values").alias("n"))
+    distinct = tables.kpis_sketched().join(exact, "kpi").select(
+        F.lit("distinct").alias("kind"), F.col("kpi").alias("value"), "n", F.col("n").between(F.col("low"), F.col("high")).alias("holds"))
+    tops = tables.top_sketched(20).filter("field IN ('ip', 'level')")
+    return tops.select(F.col("field").alias("kind"), "value", "n", F.col("certain").alias("holds")).unionByName(distinct)
+
+
 def _write_files(spark, sf, keep, folder):
     """Each bucket's chosen events as the whole content of its file, put in place at
     once: a task that runs again leaves the same file."""

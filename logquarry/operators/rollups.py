@@ -61,21 +61,17 @@ def level_facet(rows: DataFrame) -> DataFrame:
 KPI_COLUMNS = {"ips": "ip", "paths": "path", "codes": "code", "levels": "level"}
 
 
-def _kpi_value(kpi: str) -> Column:
+def kpi_value(kpi: str) -> Column:
     c = F.col(KPI_COLUMNS[kpi])
     return F.when(~c.isin("", "-"), c) if kpi == "codes" else F.nullif(c, F.lit(""))
 
 
-def kpis(rows: DataFrame, by: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Distinct non-blank ips, paths, codes, levels."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    return rows.groupBy(*(by or [])).agg(*[count(_kpi_value(k)).alias(k) for k in KPI_COLUMNS])
-
-
-def kpi_error(rows: DataFrame, within: float) -> DataFrame:
-    """Per KPI whether its sketch is off by no more than the share `within`."""
-    both = {k: (F.count_distinct(_kpi_value(k)), F.approx_count_distinct(_kpi_value(k))) for k in KPI_COLUMNS}
-    return rows.agg(*[(F.abs(exact - about) <= within * exact).alias(k) for k, (exact, about) in both.items()])
+def kpis(rows: DataFrame, by: list[str] | None = None, rsd: float | None = None) -> DataFrame:
+    """Distinct non-blank ips, paths, codes, levels; with `rsd` as estimates of that relative
+    standard deviation. `sketches` has estimates that can be stored and merged."""
+    def count(value: Column) -> Column:
+        return F.count_distinct(value) if rsd is None else F.approx_count_distinct(value, rsd)
+    return rows.groupBy(*(by or [])).agg(*[count(kpi_value(k)).alias(k) for k in KPI_COLUMNS])
 
 
 def only_format_kpis(table: DataFrame) -> DataFrame:
@@ -92,7 +88,7 @@ def summary(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row per dataset: its manifest totals, parsed rows and KPIs."""
     per_set = dataset_list(manifest)
     keys = ["owner", "dataset"]
-    pairs = F.array(*[F.struct(F.lit(k).alias("kpi"), _kpi_value(k).alias("value")) for k in KPI_COLUMNS],
+    pairs = F.array(*[F.struct(F.lit(k).alias("kpi"), kpi_value(k).alias("value")) for k in KPI_COLUMNS],
                     F.struct(F.lit("parsed").alias("kpi"), F.lit("").alias("value")))
     seen = (rows.select(*keys, F.inline(pairs)).filter("value IS NOT NULL")
             .groupBy(*keys, "kpi", "value").agg(F.count("*").alias("n")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logquarry.functions.times import bucket_label
-from logquarry.operators import parsers
+from logquarry.operators import parsers, sketches
 from logquarry.operators.rollups import field_values, merge_counts
 
 LIVE_FIELDS = ["ip", "path", "code", "level", "method", "host", "app", "template"]
@@ -37,49 +37,131 @@ def run_live(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpo
             .trigger(processingTime=every).start())
 
 
-class LiveTables:
-    """Rows and partial counts of each micro-batch, in folders named by its number.
+FANOUT = 16
+COUNTS = "field string, value string, n long"
+
 
-    A batch that is run again overwrites its own folders, so a restart after a
-    failure neither loses nor doubles anything.
+class LiveTables:
+    """Rows, partial counts and, if asked for, sketches of each micro-batch, in folders named
+    by its number.
+
+    A batch that is run again overwrites its own folders, so a restart after a failure neither
+    loses nor doubles anything. Every FANOUT batches their counts are merged into one folder
+    of the next level, every FANOUT of those into one of the level above; readers take the
+    highest levels that are complete, so the folders read grow with the logarithm of the
+    batches only. A folder is removed one merge after the one that took it in, so a reader
+    that has just listed it still finds it. The exact counts grow with the values that differ;
+    sketches (`sketches=True`) have a fixed size and state their error.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, sketches: bool = False):
+        self.spark, self.path, self.sketches = spark, path, sketches
+        jvm = spark.sparkContext._jvm
+        self._folder = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        self._fs = self._folder("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         folder = f"batch={batch_id}"
         rows.write.mode("overwrite").parquet(f"{self.path}/rows/{folder}")
         kept = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/{folder}")
-        values = field_values(kept, [f for f in LIVE_FIELDS if f in kept.columns])
+        fields = [f for f in LIVE_FIELDS if f in kept.columns]
         minutes = kept.filter("ts_norm != ''").select(
             F.lit("minute").alias("field"), bucket_label(F.col("ts_norm")).alias("value"))
-        counts = values.unionByName(minutes).groupBy("field", "value").agg(F.count("*").alias("n"))
-        counts.write.mode("overwrite").parquet(f"{self.path}/counts/{folder}")
+        counts = (field_values(kept, fields).unionByName(minutes)
+                  .groupBy("field", "value").agg(F.count("*").alias("n")))
+        self._put("counts", counts, batch_id)
+        if self.sketches:
+            self._put("distinct", sketches.distinct_sketches(kept), batch_id)
+            self._put("tops", sketches.top_sketches(kept, fields), batch_id)
+
+    # levels: <kind>/level=<l>/upto=<last batch>, of FANOUT ** l batches
+
+    def _merged(self, kind: str, parts: DataFrame) -> DataFrame:
+        return {"counts": lambda p: merge_counts(p, ["field", "value"]), "distinct": sketches.merge_distinct,
+                "tops": sketches.merge_tops}[kind](parts)
+
+    def _put(self, kind: str, table: DataFrame, batch_id: int) -> None:
+        table.write.mode("overwrite").parquet(f"{self.path}/{kind}/level=0/upto={batch_id}")
+        level, span = 1, FANOUT
+        while (batch_id + 1) % span == 0:
+            below = span // FANOUT
+            inputs = [i for i in self._complete(kind, level - 1) if batch_id - span < i <= batch_id]
+            if inputs:
+                self._merged(kind, self._load(kind, [(level - 1, i) for i in inputs])).write.mode("overwrite").parquet(
+                    f"{self.path}/{kind}/level={level}/upto={batch_id}")
+            for old in self._complete(kind, level - 1):
+                if old <= batch_id - span and self._covered(kind, level, old, below):
+                    self._fs.delete(self._folder(f"{kind}/level={level - 1}/upto={old}"), True)
+            level, span = level + 1, span * FANOUT
+
+    def _complete(self, kind: str, level: int) -> list[int]:
+        """Last batches of the complete folders of a level, ascending."""
+        folder = self._folder(f"{kind}/level={level}")
+        if not self._fs.exists(folder):
+            return []
+        jvm = self.spark.sparkContext._jvm
+        return sorted(int(s.getPath().getName()[5:]) for s in self._fs.listStatus(folder)
+                      if self._fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+    def _covered(self, kind: str, level: int, upto: int, below: int) -> bool:
+        """Whether a folder's batches are in a complete one of the given level."""
+        span = below * FANOUT
+        return (upto // span + 1) * span - 1 in self._complete(kind, level)
+
+    def cover(self, kind: str = "counts") -> list[tuple[int, int]]:
+        """(level, last batch) of the folders that hold every batch once, the largest first."""
+        root, levels = self._folder(kind), []
+        if self._fs.exists(root):
+            levels = sorted((int(s.getPath().getName()[6:]) for s in self._fs.listStatus(root)
+                             if s.getPath().getName().startswith("level=")), reverse=True)
+        chosen, spans = [], []
+        for level in levels:
+            size = FANOUT ** level
+            for upto in self._complete(kind, level):
+                if not any(low < upto <= high for low, high in spans):
+                    chosen.append((level, upto))
+                    spans.append((upto - size, upto))
+        return chosen
+
+    def _load(self, kind: str, folders: list[tuple[int, int]]) -> DataFrame:
+        paths = [f"{self.path}/{kind}/level={level}/upto={upto}" for level, upto in folders]
+        if kind == "counts":
+            return (self.spark.read.schema(COUNTS).parquet(*paths) if paths
+                    else self.spark.createDataFrame([], COUNTS))
+        if not paths:
+            raise ValueError(f"no {kind} sketches under {self.path}")
+        return self.spark.read.parquet(*paths)
+
+    def _whole(self, kind: str) -> DataFrame:
+        return self._merged(kind, self._load(kind, self.cover(kind)))
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rows").drop("batch")
 
     def counts(self) -> DataFrame:
         """(field, value, n) over all batches."""
-        return merge_counts(self.spark.read.parquet(f"{self.path}/counts").drop("batch"), ["field", "value"])
+        return self._whole("counts")
 
     def top(self, field: str, limit: int) -> DataFrame:
         return (self.counts().filter(F.col("field") == field)
                 .orderBy(F.desc("n"), "value").limit(limit).select("value", "n"))
 
+    def top_sketched(self, limit: int) -> DataFrame:
+        """(field, rank, value, n, error, certain) of all fields, from sketches of fixed size."""
+        return sketches.top_estimates(self._whole("tops"), limit)
+
     def kpis(self) -> DataFrame:
         """Distinct values per field; a code `-` is none, as in the batch KPIs."""
         counted = self.counts().filter("NOT (field = 'code' AND value = '-')")
         return counted.groupBy("field").agg(F.count("*").alias("distinct_values"))
 
+    def kpis_sketched(self) -> DataFrame:
+        """(kpi, estimate, low, high), from sketches of fixed size."""
+        return sketches.distinct_estimates(self._whole("distinct"))
+
     def histogram(self) -> DataFrame:
         return self.counts().filter("field = 'minute'").select(F.col("value").alias("t"), "n").orderBy("t")
 
-    def compact_counts(self, path: str) -> None:
-        """Fold all partial counts into one table elsewhere, to keep reads short."""
-        self.counts().write.mode("overwrite").parquet(path)
-
 
 # --- windows ---------------------------------------------------------------
 
