@@ -44,6 +44,20 @@ def runbook_match_conversations(spark, sf):
                                    keep=("conv_id", "turn"))
 
 
+@query("runbook_many", f"""{G} SELECT line_no, CAST(user_id AS BIGINT) AS id FROM r
+    WHERE user_id < 2000 AND right(raw, 1) = right(CAST(user_id AS VARCHAR), 1)
+  UNION ALL SELECT line_no, 5000 FROM r WHERE regexp_matches(msg, '[0-9]{{5}}$')
+  UNION ALL SELECT line_no, 5001 FROM r WHERE regexp_matches(msg, '^.*purchase.*took ..$')
+  UNION ALL SELECT line_no, 5002 FROM r WHERE regexp_matches(msg, 'error from 10.1|signup from 10.2')""")
+def runbook_many(spark, sf):
+    """Two thousand patterns with one automaton before them, some without a text to look for."""
+    many = [(i, rf"user {i} .* took \d*{i % 10}$", "regex") for i in range(2000)]
+    many += [(5000, r"\d{5}$", "regex"), (5001, "*purchase*took ??", "glob"),
+             (5002, r"(?i)(ERROR|signup (?=from 10\.2))( FROM 10\.1|from 10)", "regex"), (5003, "(never|seen) this", "regex")]
+    table = spark.createDataFrame([(*m, "", "", "", "", "") for m in many], schema.RUNBOOK_SCHEMA)
+    return runbooks.match_runbooks(event_rows(spark, sf), table, keep=("line_no",))
+
+
 @query("runbook_coverage", f"{G}, m AS ({MATCH}) SELECT CAST(p.id AS BIGINT) AS id, p.pattern, count(m.id) AS n FROM (VALUES "
        + ", ".join(f"({i}, '{p}')" for i, p, _ in PATTERNS)
        + ") p(id, pattern) LEFT JOIN m ON m.id = p.id GROUP BY p.id, p.pattern")

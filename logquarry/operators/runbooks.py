@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from logquarry.functions.literals import folded, required
 from logquarry.functions.patterns import glob_to_regex, java_regex
+from logquarry.session import lookup_join, settle
 
-# Patterns per expression: each is a literal, compiled once per task. More of
-# them are matched in further passes, so generated code keeps a sane size.
+# Patterns per expression: each is a literal, compiled once per task, and an
+# expression of this many keeps generated code at a sane size. More patterns go
+# through an automaton first.
 PATTERNS_PER_PASS = 200
 EDITABLE = ("pattern", "kind", "explicacion", "causa", "solucion", "ref")
 
@@ -19,14 +26,18 @@ def to_java(pattern: str, kind: str) -> str:
     return glob_to_regex(pattern) if kind == "glob" else java_regex(pattern)
 
 
-def pattern_error(df: DataFrame, pattern: str, kind: str = "regex") -> str | None:
+def _compiler(df: DataFrame):
+    return df.sparkSession._jvm.java.util.regex.Pattern
+
+
+def pattern_error(df: DataFrame, pattern: str, kind: str = "regex", compiler=None) -> str | None:
     """Why a pattern cannot be used, or None. Both dialects must accept a regex."""
     if not pattern:
         return "empty pattern"
     try:
         if kind != "glob":
             re.compile(pattern)
-        df.sparkSession._jvm.java.util.regex.Pattern.compile(to_java(pattern, kind))
+        (compiler or _compiler(df)).compile(to_java(pattern, kind))
     except re.error as e:
         return str(e)
     except Exception as e:      # the JVM's PatternSyntaxException arrives wrapped
@@ -36,9 +47,9 @@ def pattern_error(df: DataFrame, pattern: str, kind: str = "regex") -> str | Non
 
 def usable_patterns(runbooks: DataFrame) -> list[tuple[int, str]]:
     """(id, regex) in id order. Runbooks are written by hand, so the table is small."""
-    found = runbooks.select("id", "pattern", "kind").orderBy("id").toLocalIterator()
+    found, compiler = runbooks.select("id", "pattern", "kind").orderBy("id").toLocalIterator(), _compiler(runbooks)
     return [(r["id"], to_java(r["pattern"], r["kind"])) for r in found
-            if pattern_error(runbooks, r["pattern"] or "", r["kind"] or "regex") is None]
+            if pattern_error(runbooks, r["pattern"] or "", r["kind"] or "regex", compiler) is None]
 
 
 def hit_ids(message: Column, patterns: list[tuple[int, str]]) -> Column:
@@ -54,11 +65,58 @@ def match_runbooks(rows: DataFrame, runbooks: DataFrame, message: str = "msg",
     """(keep.., id): every row with every runbook that matches it."""
     patterns = usable_patterns(runbooks)
     source = rows.select(*keep, F.col(message).alias("_message")).filter("_message IS NOT NULL")
-    parts = [patterns[i:i + PATTERNS_PER_PASS]
-             for i in range(0, len(patterns), PATTERNS_PER_PASS)] or [[]]
-    # One scan whatever the number of patterns; parts keep the expressions small.
-    hits = F.concat(*[hit_ids(F.col("_message"), p) for p in parts])
-    return source.select(*keep, F.explode(hits).alias("id"))
+    if len(patterns) > PATTERNS_PER_PASS:
+        return match_many(source, patterns, keep)
+    return source.select(*keep, F.explode(hit_ids(F.col("_message"), patterns)).alias("id"))
+
+
+def match_many(source: DataFrame, patterns: list[tuple[int, str]], keep: tuple[str, ...]) -> DataFrame:
+    """The same for many patterns. Most patterns hold a text that no match can do without;
+    one automaton looks for all those texts in one pass over a message, and a pattern is
+    tried only where one of its texts stands. Patterns without such a text are tried on every
+    message, as few patterns are."""
+    texts: dict[str, list[int]] = {}
+    always = []
+    for rid, regex in patterns:
+        needed = required(regex.removeprefix(java_regex("")))
+        if needed is None:
+            always.append((rid, regex))
+        for text in needed or ():
+            texts.setdefault(text, []).append(rid)
+    sure = [hit_ids(F.col("_message"), always[i:i + PATTERNS_PER_PASS])
+            for i in range(0, len(always), PATTERNS_PER_PASS)] or [hit_ids(F.col("_message"), [])]
+    source = source.withColumn("_sure", F.concat(*sure))
+    found = source.mapInArrow(_candidates(texts), StructType(
+        [*source.schema.fields, StructField("_maybe", ArrayType(LongType()))]))
+    tried = found.select(*keep, "_message", F.inline(F.concat(
+        F.transform("_sure", lambda i: F.struct(i.alias("id"), F.lit(True).alias("_holds"))),
+        F.transform("_maybe", lambda i: F.struct(i.alias("id"), F.lit(False).alias("_holds"))))))
+    books = settle(source.sparkSession.createDataFrame(patterns, "id long, _regex string"))
+    return (lookup_join(tried, books, ["id"]).filter(F.col("_holds") | F.rlike("_message", F.col("_regex")))
+            .select(*keep, "id"))
+
+
+def _candidates(texts: dict[str, list[int]]):
+    """Adds `_maybe`, the ids one of whose texts stands in the message; drops rows without any."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        for text, ids in texts.items():
+            automaton.add_word(text, ids)
+        automaton.make_automaton()
+        for batch in batches:
+            at = batch.schema.get_field_index("_message")
+            maybe = []
+            for message in batch.column(at).to_pylist():
+                found: set[int] = set()
+                for _, ids in automaton.iter(folded(message)) if texts else ():
+                    found.update(ids)
+                maybe.append(sorted(found))
+            ids = pa.array(maybe, pa.list_(pa.int64()))
+            some = pc.or_(pc.greater(pc.list_value_length(ids), 0),
+                          pc.greater(pc.list_value_length(batch.column(batch.schema.get_field_index("_sure"))), 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "_maybe"]).filter(some)
+    return run
 
 
 def coverage(rows: DataFrame, runbooks: DataFrame) -> DataFrame:
