@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from logquarry.catalog.base import EV, PARSE, event_lines, query, rows_cte
-from logquarry.catalog.files import BUCKETS, PER_FILE, bucket_of, by_bucket, form_text, write_buckets
+from logquarry.catalog.files import BUCKETS, PER_FILE, bucket_of, form_text, write_buckets
 from logquarry.operators import parsers
 from logquarry.session import scratch_folder
-from logquarry.streaming import landing, live, tail
+from logquarry.streaming import following, landing, live, tail
 
 
 def _landed(spark, sf, form="generic"):
@@ -66,9 +66,9 @@ def stream_sketched_panel(spark, sf):
     return tops.select(F.col("field").alias("kind"), "value", "n", F.col("certain").alias("holds")).unionByName(distinct)
 
 
-def _write_files(spark, sf, keep, folder):
-    """Each bucket's chosen events as the whole content of its file, put in place at
-    once: a task that runs again leaves the same file."""
+def _write_files(spark, text, folder):
+    """Each bucket's lines (bucket, event_id, value) as the whole content of its file, put in
+    place at once: a task that runs again leaves the same file."""
     def write(part):
         import uuid
 
@@ -82,7 +82,11 @@ def _write_files(spark, sf, keep, folder):
             f.write("".join(v + "\n" for v in part.sort_values("event_id")["value"]).encode())
         filesystem.move(unfinished, path)
         return pd.DataFrame({"n": [len(part)]})
-    by_bucket(form_text(spark, sf).filter(keep)).applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    text.groupBy("bucket").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
+def _bucketed(spark, sf):
+    return form_text(spark, sf).withColumn("bucket", F.expr(f"event_id div {PER_FILE}"))
 
 
 def _tail_once(spark, folder, tables):
@@ -96,7 +100,7 @@ def stream_tail_append(spark, sf):
     """Files with their first half, then grown to all of it; each line once."""
     folder, tables = scratch_folder(spark, "tail"), live.LiveTables(spark, scratch_folder(spark, "live"))
     for keep in (F.col("event_id") % PER_FILE < PER_FILE / 2, F.lit(True)):
-        _write_files(spark, sf, keep, folder)
+        _write_files(spark, _bucketed(spark, sf).filter(keep), folder)
         _tail_once(spark, folder, tables)
     bucket = F.regexp_extract("file", r"(\d{6})\.log", 1).cast("bigint")
     return tables.rows().select(bucket.alias("bucket"), "level", "ip", "ts_norm")
@@ -108,13 +112,43 @@ def stream_tail_truncate(spark, sf):
     """The files are replaced by shorter ones, which are read anew as generation 1."""
     folder, tables = scratch_folder(spark, "tail"), live.LiveTables(spark, scratch_folder(spark, "live"))
     for keep in (F.lit(True), F.col("value").contains(" error from ")):
-        _write_files(spark, sf, keep, folder)
+        _write_files(spark, _bucketed(spark, sf).filter(keep), folder)
         _tail_once(spark, folder, tables)
     bucket = F.regexp_extract("file", r"(\d{6})\.log", 1).cast("bigint")
     generation = F.when(F.col("file").contains("#1"), 1).otherwise(0)
     return tables.rows().select(bucket.alias("bucket"), generation.alias("generation"), "ip")
 
 
+def _two_forms(spark, sf):
+    """bucket, event_id, value: of every 2,500 events, the even ones as a W3C file whose second
+    half renames a column, the odd ones as a plain one."""
+    even = F.col("event_id") % 2 == 0
+    plain, w3c = (event_lines(spark, sf, f).select(F.col("line_no").alias("event_id"), "value") for f in ("generic", "w3c"))
+    at = F.col("event_id") % PER_FILE
+    head = (F.when(at == 0, "#Fields: date time c-ip x cs-uri-stem sc-status sc-bytes\n")
+            .when(at == PER_FILE // 2, "#Fields: date time c-ip x cs-uri-stem cs-method sc-bytes\n").otherwise(""))
+    both = w3c.filter(even).withColumn("value", F.concat(head, "value")).unionByName(plain.filter(~even))
+    return both.select((F.expr(f"event_id div {PER_FILE}") * 2 + F.col("event_id") % 2).alias("bucket"), "event_id", "value")
+
+
+@query("stream_follow_formats", f"""WITH {EV}, f AS (SELECT *, CAST(event_id // {PER_FILE} * 2 + event_id % 2 AS BIGINT) AS bucket,
+    event_id % 2 = 0 AS w3c, event_id % {PER_FILE} >= {PER_FILE // 2} AS later FROM ev)
+  SELECT bucket, CASE WHEN w3c THEN 'w3c' ELSE 'generic' END AS format, ip,
+  row_number() OVER (PARTITION BY bucket ORDER BY event_id) - 1 + CASE WHEN NOT w3c THEN 0 WHEN later THEN 2 ELSE 1 END AS line_no,
+  CASE WHEN w3c AND NOT later THEN code ELSE '' END AS code, CASE WHEN w3c AND later THEN code ELSE '' END AS method,
+  CASE WHEN w3c THEN '' ELSE level END AS level FROM f""")
+def stream_follow_formats(spark, sf):
+    """Files of two formats followed by one stream, stopped half-way and started again."""
+    folder, tables = scratch_folder(spark, "follow"), live.LiveTables(spark, scratch_folder(spark, "live"))
+    text = _two_forms(spark, sf)
+    for keep in (F.col("event_id") % PER_FILE < PER_FILE // 2, F.lit(True)):
+        _write_files(spark, text.filter(keep), folder)
+        lines = tail.follow(spark, folder, "grown", statePath=tables.path + "/state.json", maxPartitionBytes="65536")
+        live.run_available(following.follow_rows(lines, formats=["w3c", "generic"]), tables.write, tables.path + "/checkpoint")
+    bucket = F.regexp_extract("file", r"(\d{6})\.log", 1).cast("bigint")
+    return tables.rows().select(bucket.alias("bucket"), "format", "ip", "line_no", "code", "method", "level")
+
+
 def _row_stream(spark, sf, form="generic", twice=False):
     """Parsed rows, stored and streamed back as Parquet files."""
     path = scratch_folder(spark, "rows")

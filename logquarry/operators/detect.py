@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry import fixed_values as V
@@ -44,14 +44,17 @@ def detect_format(lines: DataFrame, bounds: DataFrame | None = None) -> DataFram
     return judge(shown.withColumn("_rank", rank).filter(F.col("_rank") <= V.DETECT_SAMPLE))
 
 
+def marks(value: Column) -> dict[str, Column]:
+    """What a line looks like, by format."""
+    return {"apache": value.rlike(CLF_PATTERN), "w3c": value.startswith("#Fields"),
+            "json": JSONL.accepts(JSONL.capture(value), value),
+            "generic": value.rlike(LEVELLED_PATTERN), "syslog": value.rlike(SYSLOG_PATTERN)}
+
+
 def judge(sample: DataFrame) -> DataFrame:
     """Verdict per file over its sample: file, line_no, value, at most 100 lines a file."""
     value = F.col("value")
-    marked = sample.select(
-        "file", "line_no", "value", value.rlike(CLF_PATTERN).alias("apache"),
-        value.startswith("#Fields").alias("w3c"),
-        JSONL.accepts(JSONL.capture(value), value).alias("json"),
-        value.rlike(LEVELLED_PATTERN).alias("generic"), value.rlike(SYSLOG_PATTERN).alias("syslog"))
+    marked = sample.select("file", "line_no", "value", *[c.alias(m) for m, c in marks(value).items()])
     # Bounded groups: at most 100 lines of a file arrive here.
     notes = F.array_sort(F.collect_list(F.when(value.startswith("#"), F.struct("line_no", "value"))))
     verdicts = marked.groupBy("file").agg(
