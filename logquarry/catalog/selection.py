@@ -11,6 +11,7 @@ from logquarry.operators.filters import FilterSpec, Presets
 from logquarry.operators.parsers import parse_raw
 from logquarry.operators.postings import PostingTable
 from logquarry.session import scratch_folder
+from logquarry.sinks import ordinals, tables
 
 G, A = f"WITH {rows_cte('generic')}", f"WITH {rows_cte('apache')}"
 
@@ -135,6 +136,19 @@ def deep_page(spark, sf):
     return paging._deep_page(rows, 6300, 700).select("file", "line_no")
 
 
+@query("indexed_page", f"""WITH {rows_cte('generic')} SELECT line_no, raw, level FROM r WHERE owner = 'u1'
+  ORDER BY line_no LIMIT 200 OFFSET 200 * (SELECT count(*) // 300 FROM r WHERE owner = 'u1')""")
+def indexed_page(spark, sf):
+    """A page two thirds into a stored dataset, through the ordinal index."""
+    path = scratch_folder(spark, "rows")
+    tables.append_rows(event_rows(spark, sf), path)
+    rows = tables.read_rows(spark, path)
+    ordinals.write_ordinals(rows, path + "-ordinals")
+    number = rows.filter("owner = 'u1'").count() // 300 + 1
+    index = ordinals.read_ordinals(spark, path + "-ordinals")
+    return ordinals.indexed_page(rows, index, "u1", "generic", number, 200).select("line_no", "raw", "level")
+
+
 @query("keyset_page", f"""{A} SELECT line_no, ip, code FROM r WHERE code = '404' AND line_no > 4000
   ORDER BY line_no LIMIT 250""")
 def keyset_page(spark, sf):

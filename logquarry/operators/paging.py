@@ -36,14 +36,26 @@ def _few_candidates(wanted: int) -> bool:
     return wanted <= CANDIDATE_ROWS
 
 
+def prefix_sums(table: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Adds `out`: the sum of `value` over all rows that come before in `order`. Rows are laid
+    out by ranges; each task sums its own, and only one total per task meets the others."""
+    ranged = settle(table.repartitionByRange(*order).sortWithinPartitions(*order)
+                    .withColumn("_part", F.spark_partition_id()))
+    totals, before = [], 0
+    for r in ranged.groupBy("_part").agg(F.sum(value).alias("n")).orderBy("_part").collect():
+        totals.append((r["_part"], before))
+        before += r["n"] or 0
+    offsets = table.sparkSession.createDataFrame(totals, "_part int, _offset long")
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return (ranged.join(F.broadcast(offsets), "_part")
+            .withColumn(out, F.col("_offset") + F.coalesce(inside, F.lit(0))).drop("_part", "_offset"))
+
+
 def _deep_page(found: DataFrame, start: int, size: int) -> DataFrame:
     """A page far in: count per file, then per block of lines, then rank inside the
     one or few blocks that hold the page. No task ever sorts what lies before it."""
-    files = settle(found.groupBy("file").agg(F.count("*").alias("_n")))
-    before = F.coalesce(F.sum("_n").over(
-        Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hit = files.withColumn("_before", before).filter(
-        (F.col("_before") < start + size) & (F.col("_before") + F.col("_n") > start))
+    files = prefix_sums(found.groupBy("file").agg(F.count("*").alias("_n")), ["file"], "_n", "_before")
+    hit = files.filter((F.col("_before") < start + size) & (F.col("_before") + F.col("_n") > start))
     # A page touches at most as many non-empty files or blocks as it has rows.
     hit = settle(hit)
     block = F.shiftright("line_no", BLOCK_BITS)
