@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from logquarry.catalog.base import (EV, FORMS, TEXT, W3C_COLUMNS, event_lines, event_rows,
                                     events, query, rows_cte, table, text_lines)
 from logquarry.operators.filters import FilterSpec
-from logquarry.plans.load import load_files
+from logquarry.plans.load import Admission, load_files
 from logquarry.session import scratch_folder
 from logquarry.sinks import audit, exports, tables
 from logquarry.sources import archives, lines, listing, results
@@ -197,6 +197,24 @@ def load_manifest(spark, sf):
                                            "total", "parsed", "rejected")
 
 
+@query("load_admitted", f"""WITH {EV}, {BUCKETS}, s AS (SELECT CAST(bucket AS BIGINT) AS bucket, count(*) AS n,
+    sum(strlen({TEXT['generic']}) + 1) AS size FROM b GROUP BY bucket)
+  SELECT 'loaded' AS kind, bucket, n, '' AS reason FROM s UNION ALL
+  SELECT 'refused', bucket, CAST(size AS BIGINT), CASE WHEN size > 10000 THEN 'too_large' ELSE 'batch_refused' END FROM s""")
+def load_admitted(spark, sf):
+    """A batch judged before it is loaded: admitted by the usual bounds, refused by a small one."""
+    folder = write_buckets(spark, form_text(spark, sf), scratch_folder(spark, "admitted"))
+    loaded = load_files(spark, [folder], admission=Admission()).rows
+    got = load_files(spark, [folder], admission=Admission(max_file=10_000))
+    sizes = listing.list_files(spark, folder).select("file", "size")
+    refused = got.refused.join(sizes, "file").select(F.lit("refused").alias("kind"), bucket_of().alias("bucket"),
+                                                     F.col("size").alias("n"), "reason").unionByName(
+        got.rows.select(F.lit("rows of a refused batch").alias("kind"), bucket_of().alias("bucket"), "line_no",
+                        F.lit("").alias("reason")).withColumnRenamed("line_no", "n"))
+    return loaded.groupBy(F.lit("loaded").alias("kind"), bucket_of().alias("bucket")).agg(F.count("*").alias("n")).withColumn(
+        "reason", F.lit("")).unionByName(refused)
+
+
 # --- exports and the rows table --------------------------------------------
 
 CELLS = ", ".join(["ts", "level", "ip", "host", "app", "pid", "method", "path", "code", "bytes", "msg"])

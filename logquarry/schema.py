@@ -36,3 +36,7 @@ ANSWER_SCHEMA = T.StructType([
 
 MANIFEST_COLUMNS = ("owner", "dataset", "file", "size", "format", "encoding", "compressed",
                     "inner", "total", "parsed", "rejected", "meta", "w3c_fields", "loaded_at")
+
+MANIFEST_SCHEMA = ("owner string, dataset string, file string, size long, format string, encoding string, compressed string,"
+                   " inner string, total long, parsed long, rejected long, meta array<string>, w3c_fields array<string>,"
+                   " loaded_at timestamp")

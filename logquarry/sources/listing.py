@@ -83,12 +83,13 @@ def classify_files(files: DataFrame) -> DataFrame:
             .withColumn("via", F.when(direct, "text").otherwise("archive")))
 
 
-def admit_files(files: DataFrame, max_file: int = V.MAX_FILE_BYTES,
-                max_batch: int = V.MAX_BATCH_BYTES) -> DataFrame:
+def admit_files(files: DataFrame, max_file: int | None = V.MAX_FILE_BYTES,
+                max_batch: int | None = V.MAX_BATCH_BYTES) -> DataFrame:
     """Files with `reasons`: any entry refuses the file, and one refused file the batch.
 
-    `admitted` is the verdict for the batch as a whole.
+    `admitted` is the verdict for the batch as a whole. None: no bound of that size.
     """
+    max_file, max_batch = (2 ** 63 - 1 if n is None else n for n in (max_file, max_batch))
     ext = F.lower(F.regexp_extract("path", r"[^/.][^/]*(\.[^./]*)$", 1))
     reasons = F.array_compact(F.array(
         F.when(F.col("size") > max_file, "too_large"),

@@ -175,6 +175,57 @@ def test_one_damaged_file_is_refused_alone(spark, tmp_path):
     assert [(r["file"].rsplit("/", 1)[-1], r["reason"]) for r in got.refused.collect()] == [("bad.log.gz", "unreadable")]
 
 
+def test_several_damaged_files_of_any_name(spark, tmp_path, monkeypatch):
+    import bz2
+    import gzip
+
+    from logquarry.plans import load
+    text = b"2024-01-05 10:00:00 ERROR broken pipe\n" * 2000
+    packed, crushed = gzip.compress(text), bz2.compress(text)
+    bad = {"a b%20c.log.gz": packed[:len(packed) // 2], "crc.gz": packed[:-8] + b"12345678",
+           "d+e.bz2": crushed[:len(crushed) // 2], "g.bz2": crushed[:60] + b"XXXX" + crushed[64:]}
+    for name, data in {**bad, "good.gz": packed, "good.bz2": crushed}.items():
+        (tmp_path / name).write_bytes(data)
+    for limit in (8, 1):
+        monkeypatch.setattr(load, "DAMAGED_ONE_BY_ONE", limit)
+        got = load.load_files(spark, [str(tmp_path)])
+        assert got.rows.count() == 4000
+        assert {r["reason"] for r in got.refused.collect()} == {"unreadable"} and got.refused.count() == len(bad)
+
+
+def test_other_failures_are_not_taken_for_damage(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from logquarry.plans import load
+    (tmp_path / "a.gz").write_bytes(gzip.compress(b"x\n"))
+    calls = []
+
+    def fails(*_):
+        calls.append(1)
+        raise RuntimeError("Job aborted: ExecutorLostFailure (executor 3 exited)")
+    monkeypatch.setattr(load, "_profiled", fails)
+    with pytest.raises(RuntimeError, match="ExecutorLost"):
+        load.load_files(spark, [str(tmp_path)])
+    assert len(calls) == 1
+    assert load.damaged_file(RuntimeError("[FAILED_READ_FILE.NO_HINT] Encountered error while reading file file:///a.gz. "
+                                          " SQLSTATE: KD001 AccessControlException: Permission denied")) is None
+
+
+def test_a_batch_with_a_refused_file_is_not_loaded(spark, tmp_path):
+    from logquarry.plans.load import Admission, load_files
+    (tmp_path / "a.log").write_text("2024-01-05 10:00:00 ERROR x\n")
+    (tmp_path / "b.exe").write_text("2024-01-05 10:00:00 ERROR y\n")
+    got = load_files(spark, [str(tmp_path)], admission=Admission())
+    assert {r["file"].rsplit("/", 1)[-1]: r["reason"] for r in got.refused.collect()} == {
+        "a.log": "batch_refused", "b.exe": "unsupported_extension"}
+    assert got.rows.count() == got.rejects.count() == got.files.count() == 0
+    whole = load_files(spark, [str(tmp_path)])
+    assert whole.rows.count() == 2 and [(f.name, f.dataType) for f in whole.files.schema] == [
+        (f.name, f.dataType) for f in got.files.schema] and whole.rows.columns == got.rows.columns
+    only = load_files(spark, [str(tmp_path / "a.log")], admission=Admission(max_file=None, max_batch=10))
+    assert only.refused.first()["reason"] == "batch_too_large"
+
+
 def test_size_limit_only_where_given(spark, tmp_path):
     import lzma
     from logquarry import load_files
