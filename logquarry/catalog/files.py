@@ -7,7 +7,7 @@ from logquarry.catalog.base import (EV, FORMS, TEXT, W3C_COLUMNS, event_lines, e
 from logquarry.operators.filters import FilterSpec
 from logquarry.plans.load import Admission, load_files
 from logquarry.session import scratch_folder
-from logquarry.sinks import audit, exports, tables
+from logquarry.sinks import audit, commits, exports, tables
 from logquarry.sources import archives, lines, listing, results
 
 PER_FILE = 2500
@@ -279,6 +279,26 @@ def dataset_remove(spark, sf):
     return _sizes(spark, path)
 
 
+KEPT = "owner, dataset, line_no, level, raw"
+
+
+@query("commit_lifecycle", COUNTS + f"""SELECT 'now' AS at, {KEPT} FROM r WHERE owner = 'u0' OR (owner = 'u1' AND level = 'ERR')
+  UNION ALL SELECT 'before', {KEPT} FROM r""")
+def commit_lifecycle(spark, sf):
+    """Rows after an append, a replacement and a removal, and those of a reader that was
+    pinned before the last two."""
+    rows, shape = event_rows(spark, sf), event_rows(spark, sf).schema
+    table = commits.RowsTable(spark, scratch_folder(spark, "commits"))
+    table.append(rows.filter("owner = 'u0'"))
+    table.append(rows.filter("owner <> 'u0'"))
+    before = table.read(shape)
+    table.replace(rows.filter("owner = 'u1' AND level = 'ERR'"))
+    table.remove("u2", "generic")
+    columns = KEPT.split(", ")
+    return table.read(shape).select(F.lit("now").alias("at"), *columns).unionByName(
+        before.select(F.lit("before").alias("at"), *columns))
+
+
 @query("audit_trail", f"""WITH {EV}, k AS (SELECT day || ' ' || tm AS ts, event_id AS seq, event_type AS action,
     'user' || user_id AS user, ip FROM ev
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day || ' ' || tm DESC, event_id DESC) <= 500)
