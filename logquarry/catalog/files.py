@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from logquarry.catalog.base import (EV, FORMS, TEXT, W3C_COLUMNS, event_lines, event_rows,
                                     events, query, rows_cte, table, text_lines)
+from logquarry.operators import filters
 from logquarry.operators.filters import FilterSpec
 from logquarry.plans.load import Admission, load_files
 from logquarry.session import scratch_folder
-from logquarry.sinks import audit, commits, exports, tables
+from logquarry.sinks import audit, commits, exports, skipping, tables
 from logquarry.sources import archives, lines, listing, results
 
 PER_FILE = 2500
@@ -279,6 +280,24 @@ def dataset_remove(spark, sf):
     return _sizes(spark, path)
 
 
+@query("skipping_filters", f"""WITH {rows_cte('apache')}, f AS (
+    SELECT 'time' AS kind, * FROM r WHERE ts_norm >= '2024-01-10T00:00:00' AND ts_norm <= '2024-01-10T23:59:59'
+    UNION ALL SELECT 'code and ip', * FROM r WHERE code = '500' AND ip = '10.1.1.5' UNION ALL SELECT 'ip', * FROM r WHERE ip = '10.2.3.9')
+  SELECT kind, line_no, ip, code, (SELECT true) AS fewer_read FROM f""")
+def skipping_filters(spark, sf):
+    """Filters on a clustered table, and whether its scan gave out fewer rows than it holds."""
+    path = scratch_folder(spark, "clustered")
+    skipping.write_clustered(event_rows(spark, sf, "apache"), path, ranges=24)
+    rows = tables.read_rows(spark, path)
+    total, out = rows.count(), None
+    for kind, found in (("time", filters.apply_filter(rows, FilterSpec(dt_from="2024-01-10", dt_to="2024-01-10T23:59:59"))),
+                        ("code and ip", rows.filter("code = '500' AND ip = '10.1.1.5'")), ("ip", rows.filter("ip = '10.2.3.9'"))):
+        part = found.select(F.lit(kind).alias("kind"), "line_no", "ip", "code",
+                            F.lit(skipping.rows_read(found)[1] < total).alias("fewer_read"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 KEPT = "owner, dataset, line_no, level, raw"
 
 
