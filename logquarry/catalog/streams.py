@@ -6,7 +6,7 @@ from logquarry.catalog.base import EV, PARSE, event_lines, query, rows_cte
 from logquarry.catalog.files import BUCKETS, PER_FILE, bucket_of, form_text, write_buckets
 from logquarry.operators import parsers
 from logquarry.session import scratch_folder
-from logquarry.streaming import following, landing, live, tail
+from logquarry.streaming import bursts, following, landing, live, tail
 
 
 def _landed(spark, sf, form="generic"):
@@ -200,6 +200,45 @@ def stream_error_rate(spark, sf):
     return _to_table(spark, rate, "complete").select(_stamp(), "total", "errors", "rate")
 
 
+# Twelve copies of every event of one hour in a hundred, by the hour's number.
+BURSTS = f"""WITH RECURSIVE {EV}, c AS (SELECT owner, date_trunc('hour', ts) AS st,
+    CAST(sum(CASE WHEN epoch(date_trunc('hour', ts)) // 3600 % 100 = 57 THEN 12 ELSE 1 END) AS BIGINT) AS n FROM ev GROUP BY 1, 2),
+  k AS (SELECT owner, min(st) AS lo, max(st) AS hi FROM c {{closed}} GROUP BY owner),
+  h AS (SELECT owner, st, row_number() OVER (PARTITION BY owner ORDER BY st) AS i, coalesce(n, 0) AS n FROM
+    (SELECT owner, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS st FROM k) LEFT JOIN c USING (owner, st)),
+  w AS (SELECT owner, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS st, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS mean,
+    0.0::DOUBLE AS cusum, 0.0::DOUBLE AS score, false AS burst FROM k
+    UNION ALL SELECT owner, i, st, n, CASE WHEN i <= 8 THEN mean + (n - mean) / i WHEN s > 8 THEN mean ELSE mean + 0.05::DOUBLE * (n - mean) END,
+      CASE WHEN s > 8 THEN 0.0::DOUBLE ELSE s END, s, s > 8 FROM (SELECT w.owner, h.i, h.st, h.n, w.mean,
+        CASE WHEN h.i <= 8 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, w.cusum + (h.n - w.mean) / sqrt(greatest(w.mean, 1.0::DOUBLE)) - 0.5::DOUBLE) END AS s
+      FROM w JOIN h ON h.owner = w.owner AND h.i = w.i + 1))
+  SELECT owner, strftime(st, '%Y-%m-%dT%H:%M') AS t, n, round(score, 6) AS score FROM w WHERE burst"""
+CLOSED = "WHERE st + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE"
+
+
+def _with_bursts(rows):
+    hour = F.expr("unix_seconds(date_trunc('HOUR', event_time)) div 3600 % 100")
+    return rows.select("owner", "event_time", F.explode(F.array_repeat(F.lit(1), F.when(hour == 57, 12).otherwise(1))).alias("_")).drop("_")
+
+
+def _shown_bursts(found):
+    return found.select("owner", _stamp(), "n", F.round("score", 6).alias("score"))
+
+
+@query("bursts", BURSTS.format(closed=""))
+def bursts_of_rows(spark, sf):
+    """Hours whose counts rise against the owner's baseline."""
+    rows = PARSE["generic"](event_lines(spark, sf, "generic"))
+    return _shown_bursts(bursts.find_bursts(_with_bursts(rows), "1 hour", ("owner",)))
+
+
+@query("stream_bursts", BURSTS.format(closed=CLOSED))
+def stream_bursts(spark, sf):
+    """The same as the windows of a stream close."""
+    rows = _with_bursts(_row_stream(spark, sf))
+    return _shown_bursts(_to_table(spark, bursts.stream_bursts(rows, "1 hour", "10 minutes", ("owner",))))
+
+
 @query("stream_dedup", f"WITH {rows_cte('generic')} SELECT line_no, ip, level FROM r")
 def stream_dedup(spark, sf):
     """Lines delivered twice, over two runs on one checkpoint, each kept once. Some have no
