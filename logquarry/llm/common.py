@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ def prepared(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on: small Arrow batches, so that a worker's memory
     does not follow the length of the texts."""
     configure(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")   # a shuffle goes with its query
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
@@ -44,6 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 ROWS_PER_FILE = 50_000
+_recording: list[list[DataFrame]] = []
 
 
 def stored(df: DataFrame, label: str, partition_by: str | None = None, rows: int | None = None) -> DataFrame:
@@ -55,10 +58,34 @@ def stored(df: DataFrame, label: str, partition_by: str | None = None, rows: int
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     done = spark.read.schema(df.schema).parquet(path)
-    done._lq_settled = True
+    done._lq_settled, done._lq_path = True, path
+    for made in _recording:
+        made.append(done)
     return done
 
 
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """Collects the tables that `stored` writes meanwhile."""
+    made: list[DataFrame] = []
+    _recording.append(made)
+    try:
+        yield made
+    finally:
+        _recording[:] = [x for x in _recording if x is not made]
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of stored tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_lq_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            df._lq_path = None
+
+
 def map_texts(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
     """fn(batch) -> batches over the named columns only; one pass, no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,13 +99,39 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """All rows and columns of docs but those whose key (null included) is in `dropped`."""
-    other = dropped.select(F.col(key).alias("_lq_key")).distinct()
-    return docs.join(other, same(docs[key], other["_lq_key"]), "left_anti")
-
-
 BROADCAST_ROWS = 250_000        # ids or pairs sent to every task, under 100 bytes each
+FILTER_BITS = 1 << 28           # a filter of ids in every task, 32 MB
+
+
+def bitmaps(wanted: DataFrame, key: Column) -> DataFrame:
+    """One bit per hash of the keys, in maps of 4 kilobytes: FILTER_BITS in all, however
+    many keys there are."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    return (wanted.select(place.alias("_lq_spot")).groupBy(F.bitmap_bucket_number("_lq_spot").alias("_lq_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_lq_spot")).alias("_lq_bits")))
+
+
+def maybe_in(rows: DataFrame, key: Column, maps: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose key may be among those of `bitmaps`, without a shuffle of the rows; with
+    left_anti those whose key is surely not. None that is there goes missing."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(maps["_lq_bits"], (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = (F.bitmap_bucket_number(place) == maps["_lq_bucket"]) & (F.getbit(byte, (bit % 8).cast("int")) == 1)
+    return rows.join(F.broadcast(maps), on, how)
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", most: int = BROADCAST_ROWS) -> DataFrame:
+    """All rows and columns of docs but those whose key (null included) is in `dropped`. Up
+    to `most` keys go to every task; beyond, only rows that a filter of the keys cannot
+    clear are shuffled to them."""
+    other = stored(dropped.select(F.col(key).alias("_lq_key")).distinct(), "dropped-keys")
+    if few(other, most):
+        return docs.join(F.broadcast(other), same(docs[key], other["_lq_key"]), "left_anti")
+    maps = stored(bitmaps(other, F.col("_lq_key")), "dropped-filter")
+    unclear = maybe_in(docs, F.col(key), maps)
+    judged = unclear.join(other.hint("merge"), same(unclear[key], other["_lq_key"]), "left_anti")
+    return maybe_in(docs, F.col(key), maps, "left_anti").unionByName(judged)
 
 
 def few(df: DataFrame, most: int) -> bool:

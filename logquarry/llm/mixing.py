@@ -13,20 +13,24 @@ Nulls: a null text has no tokens and the prior's chances; a labelled row with a
 domain or text is left out; domains without a target are one domain, `other`, of weight 0;
 targets without a labelled document are dropped and the others keep their proportion.
 Without any labelled document all rates are 1. An empty table gives an empty result.
-Rows are fitted one by one; repeated rows get equal rates.
+Rows are fitted one by one; repeated rows get equal rates. Texts are read whole, however
+long; extra columns are not read. Words are told by 64-bit hashes. Targets that are not met
+within the steps allowed give a warning with what they miss.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import query, stored, table
+from logquarry.llm.common import bitmaps, few, maybe_in, query, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 OTHER = "other"
+BROADCAST_LABELS = 2_000_000    # labelled ids sent to every task, about 40 bytes each
 # Shares of the mixture; documents of low quality and toxic ones belong to no target.
 TARGETS = {"en/high": 0.4, "de/high": 0.2, "fr/high": 0.2, "es/high": 0.2}
 
@@ -40,7 +44,7 @@ def summed(parts: list[Column]) -> Column:
 
 
 class Domains:
-    """Names, log priors, and per word the log odds of each domain against all."""
+    """Names, log priors, and per word (its hash) the log odds of each domain against all."""
 
     def __init__(self, names: list[str], priors: list[float], words: DataFrame | None):
         self.names, self.priors, self.words = names, priors, words
@@ -55,14 +59,19 @@ def learn_domains(labelled: DataFrame, known: list[str], vocabulary: int = 4096,
     rows = labelled.where("text IS NOT NULL AND domain IS NOT NULL")
     domain = F.when(F.col("domain").isin(known), F.col("domain")).otherwise(OTHER)
     shares = {r["domain"]: r["n"] for r in rows.groupBy(domain.alias("domain")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = stored(rows.select(domain.alias("domain"), F.explode(all_words()).alias("word"))
-                    .groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n")), "domain-words")
-    sizes = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
+    names = sorted(shares)
+    if not names:
+        return Domains([], [], None)
+    number = F.array_position(F.array(*[F.lit(d) for d in names]), domain).cast("int") - 1
+    each = rows.select(number.alias("k"), F.explode(all_words()).alias("word"))
+    counts = stored(each.select("k", F.xxhash64("word").alias("word")).groupBy("k", "word")
+                    .agg(F.count(F.lit(1)).alias("n")), "domain-words")
+    sizes = {names[r["k"]]: r["n"] for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}
     if not sizes:
         return Domains([], [], None)
-    names, every = sorted(shares), sum(sizes.values())
+    every = sum(sizes.values())
     wide = counts.groupBy("word").agg(F.sum("n").alias("all"), *[
-        F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(names)])
+        F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(names))])
     wide = stored(wide.where(F.col("all") >= least), "word-counts")
     fill, share = max(wide.count() / 2, 1.0), F.col("all") / every
     odds = [F.log((F.col(f"n{k}") + fill * share) / (sizes.get(d, 0) + fill)) - F.log(share) for k, d in enumerate(names)]
@@ -77,7 +86,8 @@ def memberships(docs: DataFrame, domains: Domains, evidence: int = 40) -> DataFr
     """doc_id, tokens, p (chance per domain). Words are not independent, so the evidence
     of a text counts as that of at most `evidence` words."""
     rows = docs.select(F.monotonically_increasing_id().alias("_lq_row"), "doc_id", all_words().alias("_lq_words"))
-    each = rows.select("_lq_row", "doc_id", F.explode_outer("_lq_words").alias("word"))
+    each = rows.select("_lq_row", "doc_id", F.explode_outer("_lq_words").alias("word")).withColumn(
+        "word", F.when(F.col("word").isNotNull(), F.xxhash64("word")))
     # at most `vocabulary` words by the number of targets: a bound that no corpus moves
     joined = each.join(F.broadcast(domains.words), "word", "left")
     sums = joined.groupBy("_lq_row", "doc_id").agg(
@@ -114,6 +124,9 @@ def fit_rates(members: DataFrame, shares: list[float], budget: float | None = No
         state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
         if step % settle_every == 0:
             state = stored(state, "rates")
+    else:
+        warnings.warn(f"mixing: after {most_steps} steps a domain was {max(map(abs, miss)) / budget:.4f} of the "
+                      "tokens away from its target", stacklevel=2)
     return state
 
 
@@ -139,12 +152,19 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
                         copies.alias("copies"))
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and domain (language/high or language/low) of the labelled documents."""
+def labelled_domains(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_LABELS) -> DataFrame:
+    """text and domain (language/high or language/low) of the labelled documents. Up to
+    `most` labelled ids go to every task; beyond, only texts that a filter of the ids lets
+    through are shuffled to them."""
     high = F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0))
     known = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
              .groupBy(F.col("doc_id").alias("_lq_id")).agg(high.alias("_lq_high")))
+    known = stored(known, "verdicts")
     slim = docs.select("doc_id", "text", "lang")
+    if few(known, most):
+        known = F.broadcast(known)
+    else:
+        slim = maybe_in(slim, F.col("doc_id"), stored(bitmaps(known, F.col("_lq_id")), "verdicts-filter"))
     return slim.join(known, slim["doc_id"] == known["_lq_id"]).select("text", F.concat(
         F.coalesce("lang", F.lit("und")), F.when(F.col("_lq_high") == 1, "/high").otherwise("/low")).alias("domain"))
 

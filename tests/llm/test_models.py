@@ -254,3 +254,9 @@ def test_no_notice_is_lost_by_the_choice_of_regions(ready):
         codes = license_scan.codes_of(row["text"]).tolist()
         exact = {t.name for t in known for i in range(len(codes)) if codes[i:i + len(t.codes)] == t.codes}
         assert exact <= got[row["doc_id"]] and bool(exact) == bool(got[row["doc_id"]])
+
+
+def test_labelled_texts_beyond_the_broadcast(ready):
+    docs, labels = ready.read.parquet(f"{SF}/documents.parquet"), ready.read.parquet(f"{SF}/labels.parquet")
+    few = mixing.labelled_domains(docs, labels).collect()
+    assert few and sorted(map(str, few)) == sorted(map(str, mixing.labelled_domains(docs, labels, most=0).collect()))
