@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import stored
+from logquarry.llm.common import discard, stored
 
 
 def components(links: DataFrame, rows: int | None = None) -> DataFrame:
@@ -26,6 +26,9 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
         ends = least.select(F.col("node").alias("_lq_end"), F.col("new").alias("_lq_jump"))
         jumped = stored(least.join(ends, least["new"] == ends["_lq_end"]).select(
             "node", F.col("_lq_jump").alias("new"), (F.col("_lq_jump") != F.col("label")).alias("moved")), "labels", rows=nodes)
+        discard(least, labels)
         labels = jumped.select("node", F.col("new").alias("label"))
+        labels._lq_path = jumped._lq_path
         if not jumped.where("moved").limit(1).count():
+            discard(links)
             return labels

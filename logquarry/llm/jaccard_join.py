@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import few, lookup, map_texts, query, same, stored, table, text_key
+from logquarry.llm.common import (BROADCAST_ROWS, bitmaps, discard, few, lookup, map_texts, maybe_in, query, stored,
+                                  table, text_key)
 from logquarry.llm.components import components
 from logquarry.llm.words import constants, grams, inside, mixed, words
 
@@ -177,34 +178,43 @@ def index(docs: DataFrame, size: int, percent: int, broadcast_tokens: int) -> Da
     return stored(rows.distinct(), "entries")
 
 
-def contents(docs: DataFrame, shape: DataFrame, sids: DataFrame, size: int, head: bool) -> DataFrame:
-    """(sid, n, tokens: sorted 64-bit values, of the head alone or all) of the wanted sets,
-    each from one of its texts that has an id."""
+def contents(docs: DataFrame, shape: DataFrame, sids: DataFrame, size: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(sid, n, head, rest: sorted 64-bit values, those below HEAD apart) of the wanted sets,
+    each once, from one of its texts that has an id. Written once; all overlaps read this."""
     one = (shape.where("doc_id IS NOT NULL").join(sids, "sid", "left_semi").groupBy("sid")
            .agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("d.doc_id", "d.text_key"))
     one = stored(one, "set-texts").withColumnsRenamed({"doc_id": "_lq_id", "text_key": "_lq_text"})
-    one = lookup(one)
     slim = readable(docs).select("doc_id", "text", text_key().alias("_lq_key"))
+    if few(one, most):
+        one = F.broadcast(one)
+    else:                       # only texts that a filter of the wanted ones lets through are shuffled
+        maps = stored(bitmaps(one, F.struct("_lq_id", "_lq_text")), "set-filter")
+        slim = maybe_in(slim, F.struct("doc_id", "_lq_key"), maps)
     slim = slim.join(one, (slim["doc_id"] == one["_lq_id"]) & (slim["_lq_key"] == one["_lq_text"]), "left_semi")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for w in words(batch.column(1), lower=True):
             s = Sets(w, size)
             each = [s.code[a:b] for a, b in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
-            each = [x[:np.searchsorted(x, np.uint64(HEAD))] for x in each] if head else each
+            cuts = [int(np.searchsorted(x, np.uint64(HEAD))) for x in each]
             yield pa.RecordBatch.from_arrays(
-                [blob(s.ids()), pa.array(s.n.astype(np.int64)), pa.array([x.tobytes() for x in each], pa.binary())],
-                names=["sid", "n", "tokens"])
+                [blob(s.ids()), pa.array(s.n.astype(np.int64)),
+                 pa.array([x[:k].tobytes() for x, k in zip(each, cuts, strict=True)], pa.binary()),
+                 pa.array([x[k:].tobytes() for x, k in zip(each, cuts, strict=True)], pa.binary())],
+                names=["sid", "n", "head", "rest"])
     # A row that is repeated with its id gives its set twice: its pairs then come twice, to no effect.
-    return stored(map_texts(slim, ["doc_id", "text"], run, "sid binary, n long, tokens binary"), "sets")
+    return stored(map_texts(slim, ["doc_id", "text"], run, "sid binary, n long, head binary, rest binary"), "sets")
 
 
-def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, ra, rb, o): for settled pairs (leader a, member b) the overlap in what
-    is held of their sets, and how many shingles each has besides."""
-    members = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    leaders = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    both = lookup(pairs).join(members, "b").join(leaders, "a")
+def common(pairs: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
+    """(a, b, na, nb, ra, rb, o): for settled pairs (leader a, member b) the overlap of their
+    heads, or of the whole sets, and how many shingles each has besides. Few pairs go to the
+    sets, so that only the wanted sets move to each other."""
+    held = F.concat("head", "rest") if whole else F.col("head")
+    members = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), held.alias("tb"))
+    leaders = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), held.alias("ta"))
+    leaders = leaders.join(lookup(pairs.select("a").distinct()), "a", "left_semi")
+    both = members.join(lookup(pairs), "b").join(leaders, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,12 +231,35 @@ def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         run, "a binary, b binary, na long, nb long, ra long, rb long, o long")
 
 
-def hopeful(pairs: DataFrame, heads: DataFrame, percent: int, rows: int) -> DataFrame:
+def hopeful(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
     """The settled pairs that can be linked by their heads."""
-    return stored(common(pairs, heads).where(
+    return stored(common(pairs, sets, whole=False).where(
         F.col("o") + F.least("ra", "rb") >= needed(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), "hopeful", rows=rows)
 
 
+def merged(labels: DataFrame | None, links: list[DataFrame]) -> DataFrame:
+    """(node, label) after more links: only components that a new link touches are worked on."""
+    fresh = links[0]
+    for x in links[1:]:
+        fresh = fresh.unionByName(x)
+    if labels is not None:
+        ends = lookup(labels).withColumnsRenamed({"node": "_lq_node", "label": "_lq_label"})
+        for side in ("a", "b"):
+            fresh = (fresh.join(ends, F.col(side) == F.col("_lq_node"), "left")
+                     .withColumn(side, F.coalesce("_lq_label", side)).select("a", "b"))
+    fresh = stored(fresh.where("a <> b").distinct(), "fresh-links")
+    step = components(fresh, fresh.count())
+    discard(fresh)
+    if labels is None:
+        return step
+    known = lookup(step).withColumnsRenamed({"node": "_lq_node", "label": "_lq_label"})
+    moved = (labels.join(known, labels["label"] == known["_lq_node"], "left")
+             .select("node", F.coalesce("_lq_label", "label").alias("label")))
+    out = stored(moved.unionByName(step.join(labels, "node", "left_anti")), "set-labels")
+    discard(labels, step)
+    return out
+
+
 def with_blocks(entries: DataFrame, percent: int) -> DataFrame:
     """Entries that some block of their list can meet. Blocks are bands of sizes, each with
     its early entries (that still hold what a link to an equal or larger set needs) and
@@ -295,69 +328,72 @@ def candidates(entries: DataFrame, low: int, high: int, percent: int) -> DataFra
 
 
 def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
-              broadcast_tokens: int = BROADCAST_TOKENS) -> tuple[DataFrame, DataFrame | None]:
-    """(shape of every row, component label of every linked set)."""
+              broadcast_tokens: int = BROADCAST_TOKENS, most: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(shape of every row, component label of every linked set). What a step wrote is
+    removed once the next one no longer reads it."""
     shape = stored(shapes(docs, size), "set-shapes")
-    entries = stored(with_blocks(index(docs, size, percent, broadcast_tokens), percent), "blocks")
-    alive = entries.groupBy("token").agg(F.min(F.struct("sid", "n", "i")).alias("l"), F.max("sid").alias("z"))
+    every = index(docs, size, percent, broadcast_tokens)
+    blocked = stored(with_blocks(every, percent), "blocks")
+    alive = blocked.groupBy("token").agg(F.min(F.struct("sid", "n", "i")).alias("l"), F.max("sid").alias("z"))
     alive = alive.where("l.sid < z").select("token", F.col("l.sid").alias("leader"), F.col("l.n").alias("l_n"),
                                             F.col("l.i").alias("l_i"))
-    entries = stored(entries.join(alive, "token"), "lists")
-    heads = contents(docs, shape, entries.select("sid").distinct(), size, head=True)
+    entries = stored(blocked.join(alive, "token"), "lists")
+    discard(every, blocked)
+    sets = contents(docs, shape, entries.select("sid").distinct(), size, most)
 
     # the sets of one id belong together
     ids = shape.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("b"))
-    links = [shape.select("doc_id", F.col("sid").alias("b")).where("doc_id IS NOT NULL")
-             .join(ids.where("a < b").select("doc_id", "a"), "doc_id").select("a", "b")]
+    of_ids = (shape.select("doc_id", F.col("sid").alias("b")).where("doc_id IS NOT NULL")
+              .join(ids.where("a < b").select("doc_id", "a"), "doc_id").select("a", "b"))
 
-    def link(pairs: DataFrame) -> DataFrame:
-        """Overlaps of settled pairs that can be linked, settled; their links are noted."""
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        """Whole overlaps of those settled pairs that can be linked, settled."""
         n = pairs.count()
-        pairs = hopeful(pairs, heads, percent, n)
-        wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        sets = contents(docs, shape, wanted, size, head=False)
-        found = stored(common(pairs, sets).select("a", "b", "na", "nb", "o").distinct(), "overlaps", rows=n)
-        links.append(found.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
+        close = hopeful(pairs, sets, percent, n)
+        found = stored(common(close, sets, whole=True).select("a", "b", "na", "nb", "o").distinct(), "overlaps", rows=n)
+        discard(close, pairs)
         return found
 
-    def labels() -> DataFrame:
-        every = links[0]
-        for x in links[1:]:
-            every = every.unionByName(x)
-        links[:] = [stored(every.distinct(), "all-links", rows=every.count())]
-        return components(links[0], links[0].count())
+    def links(found: DataFrame) -> DataFrame:
+        return found.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
     # every set with the least of its leaders, then with its other leaders
     led = entries.where((F.col("leader") != F.col("sid")) & compatible(percent))
-    nearest = stored(led.groupBy(F.col("sid").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "pairs")
-    first = link(nearest)
-    now = labels()
+    least = led.groupBy(F.col("sid").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    nearest = stored(least, "nearest")
+    first = overlaps(stored(nearest, "pairs"))
+    now = merged(None, [of_ids, links(first)])
     rest = relabel(led, now).join(
         lookup(nearest).select(F.col("a").alias("leader"), F.col("b").alias("sid")), ["leader", "sid"], "left_anti")
     owner = lookup(now).select(F.col("node").alias("leader"), F.col("label").alias("lc"))
     rest = (rest.join(owner, "leader", "left").where(F.coalesce("lc", "leader") != F.col("c"))
             .select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct())
-    second = link(stored(rest, "pairs"))
-    now = labels()
-    seen = lookup(stored(first.unionByName(second).select(
+    second = overlaps(stored(rest, "pairs"))
+    now = merged(now, [links(second)])
+    seen = stored(first.unionByName(second).select(
         F.col("a").alias("leader"), F.col("b").alias("sid"), "o", F.col("na").alias("n1")), "leaders-overlaps",
-        rows=first.count() + second.count()))
-    entries = open_lists(relabel(entries, now).withColumn("r", F.lit(2)), 1).drop("r", "l_n", "l_i")
-    entries = entries.join(seen, ["leader", "sid"], "left")
+        rows=first.count() + second.count())
+    opened = open_lists(relabel(entries, now).withColumn("r", F.lit(2)), 1).drop("r", "l_n", "l_i")
+    opened = opened.join(lookup(seen), ["leader", "sid"], "left")
     itself = F.col("leader") == F.col("sid")
-    entries = entries.withColumns({"o": F.when(itself, F.col("n")).otherwise(F.col("o")),
-                                   "n1": F.when(itself, F.col("n")).otherwise(F.col("n1"))})
-    entries = ranked(stored(entries.drop("leader"), "led-lists"))
+    opened = opened.withColumns({"o": F.when(itself, F.col("n")).otherwise(F.col("o")),
+                                 "n1": F.when(itself, F.col("n")).otherwise(F.col("n1"))})
+    lists = stored(opened.drop("leader"), "led-lists")
+    discard(entries, nearest, first, second, seen)
+    current = ranked(lists)
+    discard(lists)
     low, high, n = 1, 2, None
     while True:
-        entries = stored(open_lists(relabel(entries, now), low), "open-lists", rows=n)
-        n = entries.count()
+        before, current = current, stored(open_lists(relabel(current, now), low), "open-lists", rows=n)
+        discard(before)
+        n = current.count()
         if not n:
+            discard(current, sets)
             return shape, now
-        pairs = stored(candidates(entries, low, high, percent), "candidates")
-        links.append(pairs.where("sure").select("a", "b"))
-        link(stored(pairs.where("NOT sure").select("a", "b"), "pairs", rows=pairs.count()))
-        now = labels()
+        pairs = stored(candidates(current, low, high, percent), "candidates")
+        found = overlaps(stored(pairs.where("NOT sure").select("a", "b"), "pairs", rows=pairs.count()))
+        now = merged(now, [pairs.where("sure").select("a", "b"), links(found)])
+        discard(pairs, found)
         low, high = high, 2 * high
 
 
@@ -373,15 +409,18 @@ def ranked(entries: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("token").orderBy("_lq_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = inside_part.select("token", "_lq_part", "_lq_first",
                                  F.coalesce(F.sum("_lq_n").over(earlier), F.lit(0)).alias("_lq_before"))
-    return (ordered.withColumn("_lq_part", part).join(offsets, ["token", "_lq_part"])
-            .withColumn("r", F.col("_lq_before") + F.col("_lq_at") - F.col("_lq_first"))
-            .drop("_lq_part", "_lq_at", "_lq_first", "_lq_before"))
+    out = stored(ordered.withColumn("_lq_part", part).join(offsets, ["token", "_lq_part"])
+                 .withColumn("r", F.col("_lq_before") + F.col("_lq_at") - F.col("_lq_first"))
+                 .drop("_lq_part", "_lq_at", "_lq_first", "_lq_before"), "ranked-lists")
+    discard(ordered)
+    return out
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
-                       broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
-    shape, labels = join_sets(docs, size, percent, broadcast_tokens)
+                       broadcast_tokens: int = BROADCAST_TOKENS, most: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs. Up to `broadcast_tokens` shared
+    shingles and `most` wanted texts are sent to every task; beyond, they are joined."""
+    shape, labels = join_sets(docs, size, percent, broadcast_tokens, most)
     l = labels.withColumnRenamed("node", "_lq_node")       # noqa: E741
     placed = stored(shape.join(l, shape["sid"] == l["_lq_node"], "left").select(
         "doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("label", "sid")).alias("c")), "placed")

@@ -118,7 +118,7 @@ def test_line_runs_are_levelled(ready, documents):
             for line in t.split("\n"):
                 seen[line].add(d)
         run = runs.add(line_dedup.document_keys(documents(docs)))
-        assert run.where("fresh").count() == (4 if not batch else 1)
+        assert run.entries.count() == (4 if not batch else 1) and run.increments.count() == (3 if batch else 0)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     want = {line_dedup.key_hash(k.encode()) for k, ds in seen.items() if len(ds) >= 5}
     assert {(r["h1"], r["h2"]) for r in runs.frequent(5).collect()} == want
@@ -144,3 +144,36 @@ def test_a_copy_without_id_does_not_part_near_copies(documents, prose):
     near = first.rsplit(" ", 1)[0] + " other"
     got = jaccard_join.jaccard_components(documents([(None, first), (1, first), (2, near), (3, prose(12, 100))])).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {None: None, 1: 1, 2: 1, 3: 3}
+
+
+def test_the_query_compacts_a_level(ready, documents, prose):
+    """More batches than the fanout: on the query's own path a level is merged, and a key has one entry."""
+    docs = {d: f"shared line\nodd {d % 2}\nown {d}" for d in range(60)}
+    keys, frequent, runs = line_dedup.frequent_lines(documents(docs), min_docs=10)
+    assert [len(level) for level in runs.levels] == [1, 1]
+    entries = line_dedup.united([r.entries for r in runs.runs()])
+    assert entries.count() == entries.select("h1", "h2").distinct().count() == keys.select("h1", "h2").distinct().count()
+    want = {line_dedup.key_hash(k) for k in (b"shared line", b"odd 0", b"odd 1")}
+    assert {(r["h1"], r["h2"]) for r in frequent.collect()} == want
+
+
+def test_many_frequent_lines_are_joined(documents):
+    docs = documents([(1, "a\nb\nc"), (2, "A \nb\nd"), (None, "a\nb"), (3, None), (3, "")])
+    sent = line_dedup.dedup_lines(docs, min_docs=3).collect()
+    joined = line_dedup.dedup_lines(docs, min_docs=3, most=0).collect()
+    assert sorted(map(str, sent)) == sorted(map(str, joined)) and sum(r["n_dropped"] for r in sent) == 6
+
+
+def test_jaccard_beyond_the_broadcast(ready, documents, prose):
+    docs = variants(5, prose)
+    got = jaccard_join.jaccard_components(documents(docs), most=0).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == groups(docs, 4, 85)
+
+
+def test_without_many_keys(ready, documents):
+    from logquarry.llm.common import without
+    docs = documents([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None)])
+    for ids, left in (([1, None], ["2", "3"]), ([2], ["1", "1", "3", "None"]), ([], ["1", "1", "2", "3", "None"])):
+        dropped = ready.createDataFrame([(i,) for i in ids], "doc_id long")
+        for most in (0, 10):
+            assert sorted(str(r["doc_id"]) for r in without(docs, dropped, most=most).collect()) == left
