@@ -204,12 +204,23 @@ def starts(hits: np.ndarray, t: Template, size: int, width: int, needed: int) ->
 
 
 def tightest(pairs: list[tuple[int, int]], length: int) -> tuple[float, int, int, int]:
-    """(coverage, first word, last word + 1, aligned) without ends that lower the coverage."""
+    """(coverage, first word, last word + 1, aligned) of the run of pairs with the best
+    coverage. Found by steps that each take the run that gains most over the ratio at hand;
+    when none gains, the ratio is the best of all runs."""
     def share(i: int, j: int) -> float:
         return (j - i + 1) / (length + pairs[j][0] - pairs[i][0] - (j - i))
-    last = max(range(len(pairs)), key=lambda j: share(0, j))
-    first = max(range(last + 1), key=lambda i: share(i, last))
-    return share(first, last), pairs[first][0], pairs[last][0] + 1, last - first + 1
+    first, last = 0, len(pairs) - 1
+    while True:
+        best = share(first, last)
+        low, low_at, top = math.inf, 0, (-math.inf, 0, 0)
+        for k, (p, _) in enumerate(pairs):
+            x = k + best * (k - p)
+            if x < low:
+                low, low_at = x, k
+            top = max(top, (x - low, -low_at, -k))
+        if share(-top[1], -top[2]) <= best:
+            return best, pairs[first][0], pairs[last][0] + 1, last - first + 1
+        first, last = -top[1], -top[2]
 
 
 def scan_text(text: list[int], hits: list[int], known: list[Template], least: float) -> list[tuple]:
@@ -220,17 +231,20 @@ def scan_text(text: list[int], hits: list[int], known: list[Template], least: fl
         length = len(t.codes)
         width, needed = int(length / least + 1e-9), math.ceil(least * length - 1e-9)
         mine = np.array([p for p in hits if text[p] in t.telling], dtype=np.int64)
+        whole = 0               # end of the last match of full coverage: none inside it is better
         for a, b in starts(mine, t, len(text), width, needed):
             held = Counter(c for c in text[a:a + width] if c in t.count)
             possible = sum(min(n, t.count[c]) for c, n in held.items())
             for s in range(a, b):
                 c = text[s]
-                if possible >= needed and c in t.count:
+                if s >= whole and possible >= needed and c in t.count:
                     pairs = align(text[s:s + width], t.codes)
                     if len(pairs) >= needed:
                         coverage, first, end, n = tightest(pairs, length)
                         if coverage >= least:
                             found.add((coverage, t.name, s + first, s + end, n))
+                        if coverage == 1.0:
+                            whole = s + end
                 if c in t.count:                # leaves the window
                     possible -= held[c] <= t.count[c]
                     held[c] -= 1
@@ -240,8 +254,11 @@ def scan_text(text: list[int], hits: list[int], known: list[Template], least: fl
                     possible += held[e] <= t.count[e]
     size = {t.name: len(t.codes) for t in known}
     apart: list[tuple] = []
+    taken: list[tuple[int, int]] = []           # spans of the matches that stay, ascending
     for f in sorted(found, key=lambda f: (-f[0], -size[f[1]], f[1], f[2], f[3])):
-        if all(f[3] <= g[2] or g[3] <= f[2] for g in apart):
+        k = bisect_left(taken, (f[2], f[2]))
+        if (not k or taken[k - 1][1] <= f[2]) and (k == len(taken) or taken[k][0] >= f[3]):
+            taken.insert(k, (f[2], f[3]))
             apart.append(f)
     return apart
 
