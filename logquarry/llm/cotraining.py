@@ -59,7 +59,7 @@ BYTE_CLASS = _class_of_byte()
 
 
 def text_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, text_tokens: sorted buckets of words, shapes' shares and repetition."""
+    """doc_id, meta_tokens, text_tokens: sorted buckets of words, shapes' shares and repetition."""
     def run(batch: pa.RecordBatch):
         values, counts = [], []
         for w in words(batch.column(1)):
@@ -87,12 +87,11 @@ def text_tokens(docs: DataFrame) -> DataFrame:
         offsets = np.append(0, np.cumsum(np.concatenate(counts))) if counts else np.zeros(1)
         flat = np.concatenate(values) if values else np.zeros(0, np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)],
-             pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))],
-            names=["doc_id", "meta_tokens", *TARGETS, "text_tokens"])
+            [batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))],
+            names=["doc_id", "meta_tokens", "text_tokens"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs, ["doc_id", "text", "meta_tokens", *TARGETS], run,
-                     f"doc_id {kind}, meta_tokens array<int>, {' double, '.join(TARGETS)} double, text_tokens array<int>")
+    return map_texts(docs, ["doc_id", "text", "meta_tokens"], run,
+                     f"doc_id {kind}, meta_tokens array<int>, text_tokens array<int>")
 
 
 def meta_tokens() -> Column:
@@ -386,16 +385,18 @@ def cotrained(features: DataFrame, rounds: int, confidence: float, least_z: floa
 
 def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, confidence: float = 0.98,
              least_z: float = 2.5, most_features: int = 1024, local_rows: int = 8_000,
-             threshold: float = 0.5) -> DataFrame:
-    """doc_id, p_sound, p_harmless, score, kept (score >= threshold) for every row of docs."""
+             threshold: float = 0.5, clean_loss: float = 0.01) -> DataFrame:
+    """doc_id, p_sound, p_harmless, score, kept for every row of docs. A document is kept
+    from the score `threshold` on, or from a lower one if the threshold would lose more than
+    the share `clean_loss` of the documents labelled sound and harmless."""
     known = stored(labels_of(labels).withColumnRenamed("doc_id", "_lq_id"), "labels")
     known = F.broadcast(known) if few(known, BROADCAST_LABELS) else known
-    slim = docs.select("doc_id", "text", meta_tokens().alias("meta_tokens"))
+    slim = text_tokens(docs.select("doc_id", "text", meta_tokens().alias("meta_tokens")))
     labelled = slim.join(known, same(slim["doc_id"], known["_lq_id"]), "left")
-    features = stored(text_tokens(labelled.select("doc_id", "text", "meta_tokens", *TARGETS)), "view-features")
+    features = stored(labelled.drop("_lq_id"), "view-features")
     views = cotrained(features, rounds, confidence, least_z, most_features, local_rows)
     got = features.agg(*[x for t in TARGETS for x in (F.coalesce(F.sum(t), F.lit(0.0)), F.count(t))]).first()
-    out = scored(features, views, ["doc_id"])
+    out = scored(features, views, ["doc_id", *TARGETS])
     for i, target in enumerate(TARGETS):
         text, meta = [v.log_odds() for v in views if v.target == target]
         good, every = got[2 * i], got[2 * i + 1]
@@ -405,8 +406,11 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, confidence: fl
         else:
             out = out.withColumn(f"p_{target}", F.lit(1.0))
     score = F.col("p_sound") * F.col("p_harmless")
-    return (out.select("doc_id", "p_sound", "p_harmless", score.alias("score"))
-            .withColumn("kept", F.col("score") >= threshold))
+    clean = (F.col("sound") == 1) & (F.col("harmless") == 1)
+    out = stored(out.select("doc_id", "p_sound", "p_harmless", score.alias("score"), clean.alias("clean")), "scores")
+    lowest = out.where("clean").agg(F.percentile_approx("score", clean_loss, 10_000)).first()[0]
+    cut = threshold if lowest is None else min(threshold, lowest)
+    return out.drop("clean").withColumn("kept", F.col("score") >= cut)
 
 
 @query("op4_quality_classifier")
