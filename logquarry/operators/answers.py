@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,16 +50,63 @@ def ask_each(misses: DataFrame, ask: Ask) -> DataFrame:
             .mapInPandas(run, "hash string, line string, ok boolean, answer string"))
 
 
+LOG_BUCKETS = 256
+
+
+def ask_once(misses: DataFrame, ask: Ask, log: str, per_second: float | None = None,
+             buckets: int = LOG_BUCKETS) -> DataFrame:
+    """(hash, line, ok, answer) like `ask_each`, with every good answer put under the shared
+    folder `log` as it arrives, in the folder of its hash's bucket. A task that is lost and
+    run again, or a later job, reads what is logged and asks only the rest. An answer is put
+    in place whole, by a move. All tasks together ask at most `per_second` times a second:
+    there are at most `buckets` of them, each with its share. Failures are not logged.
+    """
+    pause = buckets / per_second if per_second else 0.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = fs.FileSystem.from_uri(log)
+        free_at = 0.0
+        for batch in batches:
+            got = []
+            for key, line, bucket in zip(batch["hash"], batch["line"], batch["bucket"], strict=True):
+                folder = f"{root}/{bucket:05d}"
+                place = f"{folder}/{hashlib.sha256(key.encode()).hexdigest()}"
+                if files.get_file_info(place).type == fs.FileType.File:
+                    with files.open_input_stream(place) as f:
+                        got.append((True, f.read().decode()))
+                    continue
+                time.sleep(max(free_at - time.monotonic(), 0.0))
+                free_at = time.monotonic() + pause
+                ok, answer = ask(line)
+                if ok:
+                    files.create_dir(folder, recursive=True)
+                    part = f"{place}.{uuid.uuid4().hex}"
+                    with files.open_output_stream(part) as f:
+                        f.write(answer.encode())
+                    files.move(part, place)
+                got.append((ok, answer))
+            yield pd.DataFrame({"hash": batch["hash"], "line": batch["line"],
+                                "ok": [g[0] for g in got], "answer": [g[1] for g in got]})
+    bucket = F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int")
+    return (misses.select("hash", "line", bucket.alias("bucket")).repartition(buckets, "bucket")
+            .mapInPandas(run, "hash string, line string, ok boolean, answer string"))
+
+
 def enrich_answers(lines: DataFrame, cache: DataFrame, ask: Ask, model: str = "local",
-                   lang: str = "auto") -> tuple[DataFrame, DataFrame]:
+                   lang: str = "auto", log: str | None = None,
+                   per_second: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, fresh): one answer per distinct line, and the rows to add to the cache.
 
-    Failures are answered but never enter `fresh`.
+    Failures are answered but never enter `fresh`. With a `log` folder no answer is paid
+    twice, whatever task is lost (see `ask_once`).
     """
+    if per_second and log is None:
+        raise ValueError("a rate needs a log folder: tasks run again would exceed it")
     keyed = lines.select("line", answer_key(F.col("line"), F.lit(model), F.lit(lang)).alias("hash"))
     requests = keyed.filter("line != ''").distinct()
     hits, misses = cache_split(requests, cache)
-    asked = settle(ask_each(misses, ask))       # both results read it: asked once
+    asked = ask_each(misses, ask) if log is None else ask_once(misses, ask, log, per_second)
+    asked = settle(asked)                       # both results read it: asked once
     answers = hits.select("hash", "line", F.lit(True).alias("ok"), "answer",
                           F.lit(True).alias("cached")).unionByName(
         asked.withColumn("cached", F.lit(False)))
