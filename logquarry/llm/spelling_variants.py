@@ -3,8 +3,8 @@ r"""Spelling variants grouped through Bloom-guided neighbourhoods (operator 13).
 Words are counted over all documents; those long and frequent enough are the vocabulary.
 All its words are laid into blocked Bloom filters, one per word length: a word sets bits of
 one 512-bit block. The filters are sent to every task, which generates a word's edits (each
-letter left out, each replaced by a greater letter of the alphabet, so that every pair is
-generated once) and probes the filter of the edit's length. Only positives are shuffled, to
+letter left out, each replaced by a greater letter that words of its length have, so that every
+pair is generated once) and probes the filter of the edit's length. Only positives are shuffled, to
 an exact join with the vocabulary that drops the false ones.
 
 The filters take about 16 bits a word up to `MOST_BLOCKS` blocks (64 MB for all lengths
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from logquarry.llm.common import query, stored, table
 from logquarry.llm.words import constants, mixed
 
-RUN = r"[A-Za-z\x{C0}-\x{FF}]+"
+LETTERS = r"[A-Za-z\x{C0}-\x{FF}]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABET = np.array([*LOWER.encode(), *range(0xC0, 0x100)], dtype=np.uint8)
 DELETE_EVERY = 199
@@ -44,6 +44,7 @@ BLOCK_BITS, LANES = 512, 8              # a block: eight lanes of 64 bits
 BITS_A_WORD, BITS_SET = 16, 6
 MOST_BLOCKS = 1 << 20                   # 64 MB
 EDITS_AT_ONCE = 1 << 20
+WORDS_A_TASK = 10_000                   # a word has some hundred edits, so few bytes are much work
 BASE = int(constants(1, 21)[0])
 LETTER = constants(256, 22)
 
@@ -59,8 +60,8 @@ def lowered(run: Column) -> Column:
 def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_n: int = LEAST_N) -> DataFrame:
     """word, n of the words of at least least_length code points and least_n occurrences."""
     runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
-                       F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("_run"))
-    runs = runs.where(F.char_length("_run") >= least_length).select("_id", lowered(F.col("_run")).alias("_run"))
+                       F.explode(F.regexp_extract_all("text", F.lit(LETTERS + "{%d,}" % least_length), F.lit(0))).alias("_run"))
+    runs = runs.select("_id", lowered(F.col("_run")).alias("_run"))
     h = F.crc32(F.concat("_id", F.lit(":"), "_run").cast("binary"))
     at = (h % F.char_length("_run")).cast("int")
     without = F.concat(F.substring(F.col("_run"), F.lit(1), at), F.substring(F.col("_run"), at + 2, F.char_length("_run")))
@@ -83,17 +84,27 @@ def word_hash(letters: np.ndarray) -> np.ndarray:
     return (LETTER[letters] * powers).sum(axis=1, dtype=np.uint64)
 
 
-def bits_of(code: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each hash, and its mask: LANES words of 64 bits."""
+def block_of(code: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block of each hash, and a number that holds its bits' places there."""
     spread = mixed(code)
     block = ((spread >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    more, mask = mixed(spread + np.uint64(1)), np.zeros((len(code), LANES), dtype=np.uint64)
-    rows = np.arange(len(code))
+    return block.astype(np.int64), mixed(spread + np.uint64(1))
+
+
+def bit_of(places: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lane of the i-th bit, and the lane with that bit alone."""
+    bit = (places >> np.uint64(9 * i)) & np.uint64(BLOCK_BITS - 1)
+    return (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63))
+
+
+def bits_of(code: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block of each hash, and its mask: LANES words of 64 bits."""
+    block, places = block_of(code, blocks)
+    mask, rows = np.zeros((len(code), LANES), dtype=np.uint64), np.arange(len(code))
     for i in range(BITS_SET):
-        bit = (more >> np.uint64(9 * i)) & np.uint64(BLOCK_BITS - 1)
-        lane = (bit >> np.uint64(6)).astype(np.int64)
-        mask[rows, lane] |= np.uint64(1) << (bit & np.uint64(63))
-    return block.astype(np.int64), mask
+        lane, bit = bit_of(places, i)
+        mask[rows, lane] |= bit
+    return block, mask
 
 
 def by_length(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -105,17 +116,25 @@ def by_length(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 
 class Filters:
-    """Blocked Bloom filters by word length."""
+    """Blocked Bloom filters by word length, and the letters that words of a length have."""
 
-    def __init__(self, blocks: dict[int, np.ndarray]):
-        self.blocks = blocks
+    def __init__(self, blocks: dict[int, np.ndarray], letters: dict[int, np.ndarray] | None = None):
+        self.blocks, self.letters = blocks, letters or {}
 
     def holds(self, size: int, code: np.ndarray) -> np.ndarray:
-        held = self.blocks.get(size)
+        """Whether the filter of a length may hold each hash. A bit is looked up only for
+        hashes that had all bits before it."""
+        out, held = np.zeros(len(code), dtype=bool), self.blocks.get(size)
         if held is None:
-            return np.zeros(len(code), dtype=bool)
-        block, mask = bits_of(code, len(held))
-        return ((held[block] & mask) == mask).all(axis=1)
+            return out
+        block, places = block_of(code, len(held))
+        at = np.arange(len(code))
+        for i in range(BITS_SET):
+            lane, bit = bit_of(places, i)
+            there = np.flatnonzero(held[block, lane] & bit)
+            at, block, places = at[there], block[there], places[there]
+        out[at] = True
+        return out
 
 
 def block_counts(sizes: dict[int, int], most: int = MOST_BLOCKS) -> dict[int, int]:
@@ -145,14 +164,24 @@ def build_filters(vocabulary: DataFrame, most_blocks: int = MOST_BLOCKS) -> Filt
     data = np.stack([found[c].to_numpy().astype(np.int64).view(np.uint64) for c in lanes], axis=1)
     for each in blocks:
         blocks[each][block[size == each]] = data[size == each]
-    return Filters(blocks)
+    return Filters(blocks, letters_of(vocabulary))
+
+
+def letters_of(vocabulary: DataFrame) -> dict[int, np.ndarray]:
+    """The letters, in order, that words of each length have: no other letter makes a word of
+    that length. At most the alphabet for each length reaches the driver."""
+    found = vocabulary.select(F.char_length("word").alias("size"), F.explode(F.array_distinct(F.split("word", ""))).alias("letter"))
+    out: dict[int, list[int]] = {}
+    for r in found.where("letter <> ''").distinct().collect():
+        out.setdefault(r["size"], []).append(r["letter"].encode("latin-1")[0])
+    return {size: np.array(sorted(held), dtype=np.uint8) for size, held in out.items()}
 
 
 # --- neighbours --------------------------------------------------------------
 
-def edits(letters: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def edits(letters: np.ndarray, alphabet: np.ndarray = ALPHABET) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(length, word, place, letter, hash) of the edits of words of one length: each letter
-    left out (letter 0), each replaced by each greater one. A letter left out of a run of
+    left out (letter 0), each replaced by each greater one of the alphabet. A letter left out of a run of
     equal ones is tried once."""
     n, size = letters.shape
     powers = np.full(size, np.uint64(BASE))
@@ -171,7 +200,7 @@ def edits(letters: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         first[:, 1:] = letters[:, 1:] != letters[:, :-1]
         word, place = np.nonzero(first)
         yield size - 1, word, place, np.zeros(len(word), dtype=np.uint8), gone[word, place]
-    for letter in ALPHABET:
+    for letter in alphabet:
         word, place = np.nonzero(letters < letter)
         code = total[word] + (LETTER[letter] - value[word, place]) * powers[place]
         yield size, word, place, np.full(len(word), letter, dtype=np.uint8), code
@@ -180,17 +209,17 @@ def edits(letters: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
 def candidates(vocabulary: DataFrame, filters: Filters) -> DataFrame:
     """word, n, near: edits that the filters hold, false positives included."""
     spark = vocabulary.sparkSession
-    shared = spark.sparkContext.broadcast(filters.blocks)
+    shared = spark.sparkContext.broadcast((filters.blocks, filters.letters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = Filters(shared.value)
+        filters = Filters(*shared.value)
         for batch in batches:
             words, n = bytes_of(batch.column(0)), batch.column(1).to_numpy()
             for size, at, letters in by_length(words):
                 step = max(1, EDITS_AT_ONCE // size)
                 for low in range(0, len(at), step):
                     part = letters[low:low + step]
-                    for to, word, place, letter, code in edits(part):
+                    for to, word, place, letter, code in edits(part, filters.letters.get(size, ALPHABET)):
                         hit = np.flatnonzero(filters.holds(to, code))
                         if not len(hit):
                             continue
@@ -200,7 +229,7 @@ def candidates(vocabulary: DataFrame, filters: Filters) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([words[w].decode("latin-1") for w in which.tolist()]), pa.array(n[which]),
                              pa.array([x.decode("latin-1") for x in near])], names=["word", "n", "near"])
-    spread = vocabulary.select("word", "n").repartition(F.col("word"))
+    spread = vocabulary.select("word", "n").repartition(1 + vocabulary.count() // WORDS_A_TASK, "word")
     return spread.mapInArrow(run, "word string, n long, near string")
 
 
