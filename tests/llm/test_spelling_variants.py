@@ -121,3 +121,9 @@ def test_odd_and_empty_tables(odd, documents):
     assert sorted(tuple(r) for r in S.group_variants(odd).collect()) == plain_rows(docs)
     assert S.group_variants(odd.limit(0)).count() == 0
     assert S.group_variants(documents({1: None, 2: "", 3: "12 34 ab"})).count() == 0
+
+
+def test_letters_by_length(ready):
+    words = ready.createDataFrame([("lantern", 5), ("zealous", 7), ("cafés", 9), ("ab", 5)], "word string, n long")
+    found = S.letters_of(words)
+    assert {size: bytes(held).decode("latin-1") for size, held in found.items()} == {7: "aelnorstuz", 5: "acfsé", 2: "ab"}
