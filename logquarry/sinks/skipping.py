@@ -47,21 +47,24 @@ def step_bounds(rows: DataFrame) -> dict[str, list[int]]:
 def with_curve(rows: DataFrame, bounds: dict[str, list[int]]) -> DataFrame:
     """Adds `_z`, the interleaved bits of the three steps."""
     names = list(dimensions())
-    for name, value in dimensions().items():
-        rows = rows.withColumn(f"_{name}", value)
-        rows = rows.withColumn(f"_{name}", _step(F.col(f"_{name}"), bounds[name]))
+    rows = rows.withColumns({f"_{n}": value for n, value in dimensions().items()})
+    rows = rows.withColumns({f"_{n}_step": F.lit(0).cast("long") for n in names})
+    for bit in reversed(range(BITS)):
+        rows = rows.withColumns({f"_{n}_step": _further(F.col(f"_{n}"), F.col(f"_{n}_step"), bounds[n], 1 << bit) for n in names})
     z = F.lit(0).cast("long")
     for k, name in enumerate(names):
         for bit in range(BITS):
-            one = F.shiftright(F.col(f"_{name}"), bit).bitwiseAND(F.lit(1).cast("long"))
+            one = F.shiftright(F.col(f"_{name}_step"), bit).bitwiseAND(F.lit(1).cast("long"))
             z = z.bitwiseOR(F.shiftleft(one, bit * len(names) + k))
-    return rows.withColumn("_z", z).drop(*[f"_{n}" for n in names])
+    return rows.withColumn("_z", z).drop(*[f"_{n}{x}" for n in names for x in ("", "_step")])
 
 
-def _step(value: Column, bounds: list[int]) -> Column:
-    """How many bounds the value has reached."""
+def _further(value: Column, step: Column, bounds: list[int], by: int) -> Column:
+    """A step of the binary search for how many bounds the value has reached: `by` more if
+    it has reached those too. Plain columns, which are compiled; a lambda over the bounds
+    took longer than all the parsing of the row."""
     held = F.array(*[F.lit(b).cast("long") for b in bounds]).cast("array<bigint>")
-    return F.size(F.filter(held, lambda bound: bound <= value)).cast("long")
+    return step + F.when(F.get(held, step.cast("int") + (by - 1)) <= value, by).otherwise(0)
 
 
 def write_clustered(rows: DataFrame, path: str, blooms: dict[str, int] | None = None, group_bytes: int = GROUP_BYTES,

@@ -66,3 +66,18 @@ def test_an_empty_table_and_one_value(spark, both, tmp_path):
     skipping.write_clustered(plain.limit(0).unionByName(plain.filter("line_no = 5")), str(tmp_path / "one"))
     assert tables.read_rows(spark, str(tmp_path / "one")).count() == 1
     assert set(skipping.step_bounds(plain.limit(0)).values().__iter__().__next__()) == set()
+
+
+def test_the_curve_runs_no_lambda_over_the_bounds(spark, both):
+    """A row's steps are found by a binary search in compiled code, and are as many bounds as
+    its value has reached."""
+    rows = both[0].limit(2_000).localCheckpoint()
+    bounds = skipping.step_bounds(both[0])
+    curve = skipping.with_curve(rows, bounds)
+    assert "lambda" not in curve._jdf.queryExecution().optimizedPlan().toString()
+    dims = rows.select("line_no", *[c.alias(n) for n, c in skipping.dimensions().items()]).collect()
+    names = list(skipping.dimensions())
+    steps = {r["line_no"]: [sum(b <= r[n] for b in bounds[n]) for n in names] for r in dims}
+    for r in curve.select("line_no", "_z").collect():
+        got = [sum((r["_z"] >> (bit * len(names) + k) & 1) << bit for bit in range(skipping.BITS)) for k in range(len(names))]
+        assert got == steps[r["line_no"]]
