@@ -20,9 +20,9 @@ def bucket_of():
     return F.regexp_extract("file", r"bucket=(\d+)", 1).cast("bigint")
 
 
-def write_buckets(spark, text, folder: str, codec: str | None = None) -> str:
-    """One text file per 2,500 events. `text`: event_id, value."""
-    buckets = text.select(F.expr(f"event_id div {PER_FILE}").alias("bucket"), "event_id", "value")
+def write_buckets(spark, text, folder: str, codec: str | None = None, per_file: int = PER_FILE) -> str:
+    """One text file per 2,500 events, or as many as are asked for. `text`: event_id, value."""
+    buckets = text.select(F.expr(f"event_id div {per_file}").alias("bucket"), "event_id", "value")
     placed = buckets.repartition("bucket").sortWithinPartitions("bucket", "event_id").drop("event_id")
     writer = placed.write.partitionBy("bucket").option("lineSep", "\n")
     (writer.option("compression", codec) if codec else writer).text(folder)

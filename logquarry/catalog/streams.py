@@ -2,15 +2,26 @@
 
 from pyspark.sql import functions as F
 
-from logquarry.catalog.base import EV, PARSE, event_lines, query, rows_cte
+from logquarry.catalog.base import EV, PARSE, event_lines, query, rows_cte, table
 from logquarry.catalog.files import BUCKETS, PER_FILE, bucket_of, form_text, write_buckets
 from logquarry.operators import parsers
 from logquarry.session import scratch_folder
 from logquarry.streaming import bursts, following, landing, live, tail
 
 
-def _landed(spark, sf, form="generic"):
-    return write_buckets(spark, form_text(spark, sf, form), scratch_folder(spark, "landing"))
+MOST_FILES = 40
+
+
+def _landed(spark, sf, form="generic", per_file=PER_FILE):
+    return write_buckets(spark, form_text(spark, sf, form), scratch_folder(spark, "landing"), per_file=per_file)
+
+
+def _events_per_file(spark, sf):
+    """2,500, or more where that would make over MOST_FILES files: a micro-batch takes its
+    fixed time whatever is in it, so files of one size would make the time of a whole run
+    grow with their number. Only where no result names a file."""
+    ends = table(spark, sf, "events").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    return PER_FILE if ends["lo"] is None else max(PER_FILE, (ends["hi"] - ends["lo"]) // (MOST_FILES - 1) + 1)
 
 
 def _numbered_rows(batch):
@@ -40,7 +51,7 @@ def stream_landing_parse(spark, sf):
   UNION ALL SELECT 'distinct', 'ip', count(DISTINCT ip) FROM ev
   UNION ALL SELECT 'minutes', '', count(DISTINCT substr(exact, 1, 16)) FROM ev""")
 def stream_incremental_tops(spark, sf):
-    tables = _run_landing(spark, _landed(spark, sf), 10)
+    tables = _run_landing(spark, _landed(spark, sf, per_file=_events_per_file(spark, sf)), 10)
     kind = lambda df, k: df.select(F.lit(k).alias("kind"), "value", "n")
     kpis = tables.kpis()
     return (kind(tables.top("ip", 30), "ip").unionByName(kind(tables.top("level", 30), "level"))
@@ -57,7 +68,7 @@ def stream_incremental_tops(spark, sf):
 def stream_sketched_panel(spark, sf):
     """Tops and distinct counts of a stream from levelled sketches, one batch per landed file;
     `holds`: a top is certain, the exact distinct count lies in the interval."""
-    tables = _run_landing(spark, _landed(spark, sf), 1, sketches=True)
+    tables = _run_landing(spark, _landed(spark, sf, per_file=_events_per_file(spark, sf)), 1, sketches=True)
     exact = tables.kpis().select(F.element_at(F.create_map(F.lit("ip"), F.lit("ips"), F.lit("level"), F.lit("levels")),
                                               F.col("field")).alias("kpi"), F.col("distinct_values").alias("n"))
     distinct = tables.kpis_sketched().join(exact, "kpi").select(

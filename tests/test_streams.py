@@ -149,3 +149,37 @@ def test_stream_parses_like_batch(spark, lines, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 2 and got.exceptAll(batch.select(got.columns)).isEmpty()
     assert got.filter(F.col("code") == "500").count() == 1
+
+
+def test_files_of_a_large_landing_grow_instead_of_their_number(spark, tmp_path):
+    """The micro-batches of the top queries stay as many, however many events there are."""
+    from logquarry.catalog import streams
+    from logquarry.session import configure
+    configure(spark)
+
+    def files(of, name):
+        folder = str(tmp_path / name)
+        spark.range(0, 300_000, 1000).select(
+            F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"),
+            (F.col("id") % 7).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.5).alias("value")).limit(of).write.parquet(
+                f"{folder}/events.parquet")
+        landed = streams._landed(spark, folder, per_file=streams._events_per_file(spark, folder))
+        return len([d for d in os.listdir(landed) if d.startswith("bucket=")]), spark.read.text(landed).count()
+    buckets, lines = files(300, "many")
+    assert buckets <= streams.MOST_FILES and lines == 300
+    assert files(3, "few") == (1, 3)
+
+
+def test_top_queries_make_few_batches(spark, tmp_path):
+    from logquarry.catalog import streams
+    spark.range(0, 2_000_000, 20_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.5).alias("value")).write.parquet(
+            str(tmp_path / "events.parquet"))
+    seen, write = [], live.LiveTables.write
+    live.LiveTables.write = lambda self, rows, i: (seen.append(i), write(self, rows, i))[1]
+    try:
+        got = {(r["kind"], r["value"]): r["n"] for r in streams.stream_incremental_tops(spark, str(tmp_path)).collect()}
+    finally:
+        live.LiveTables.write = write
+    assert got["level", "ERR"] == 100 and len(set(seen)) <= streams.MOST_FILES // 10
