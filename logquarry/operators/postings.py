@@ -14,8 +14,12 @@ the rows by (file, line_no).
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +44,80 @@ def moved_back(places: Column, by: int) -> Column:
     return F.transform(places, lambda p: p - by)
 
 
+def gathered(rows: DataFrame, column: str = "search") -> DataFrame:
+    """token, file, block, at of the lines of each Arrow batch. Tokens are gathered where
+    they are cut: a task sorts one batch at a time, and what is shuffled has a row per token
+    of a block, not per place."""
+    block = F.shiftright("line_no", BLOCK_BITS)
+    line = F.col("line_no") - F.shiftleft(block, BLOCK_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _gather(*batch.columns)
+    return rows.select("file", block.alias("block"), line.alias("line"), tokens_of(column).alias("tokens")).mapInArrow(run, SCHEMA)
+
+
+def _gather(file: pa.Array, block: pa.Array, line: pa.Array, tokens: pa.Array) -> pa.RecordBatch:
+    n = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(n)), n)
+    word = tokens.flatten().dictionary_encode()
+    known = line.is_valid().to_numpy(zero_copy_only=False)[row]
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = (pc.fill_null(line, 0).to_numpy()[row] << PLACE_BITS) + place
+    keys = [x.dictionary_encode(null_encoding="encode").indices.to_numpy()[row] for x in (file, block)]
+    keys.insert(0, word.indices.to_numpy())
+    order = np.lexsort((at, *reversed(keys)))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    first = order[fresh]
+    before = np.append(0, np.cumsum(known[order]))
+    ends = before[np.append(np.flatnonzero(fresh), len(order))]
+    places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[order][known[order]]))
+    return pa.RecordBatch.from_arrays([word.dictionary.take(pa.array(word.indices.to_numpy()[first])), file.take(pa.array(row[first])),
+                                       block.take(pa.array(row[first])), places], names=["token", *KEYS, "at"])
+
+
+def whole(dealt: DataFrame) -> DataFrame:
+    """One row per token and block of what batches have gathered, in their order; `dealt`:
+    rows of one key are in one partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None             # the last key so far, which may go on
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if batch.num_rows:
+                first = _first_rows(batch)
+                if len(first) > 1:
+                    yield _joined(batch.slice(0, first[-1]), first[:-1])
+                held = batch.slice(first[-1])
+        if held is not None:
+            yield _joined(held, np.zeros(1, np.int64))
+    return dealt.sortWithinPartitions("token", *KEYS).mapInArrow(run, SCHEMA)
+
+
+def _first_rows(batch: pa.RecordBatch) -> np.ndarray:
+    """Where another key begins in sorted rows."""
+    fresh = np.ones(batch.num_rows, dtype=bool)
+    codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in batch.columns[:3]]
+    fresh[1:] = np.any([k[1:] != k[:-1] for k in codes], axis=0)
+    return np.flatnonzero(fresh)
+
+
+def _joined(batch: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+    """The rows of each key, which begin at `first`, as one."""
+    if len(first) == batch.num_rows:
+        return batch
+    at = batch.column(3)
+    ends = at.offsets.to_numpy()[np.append(first, batch.num_rows)]
+    places, ends = at.values.to_numpy()[ends[0]:ends[-1]], ends - ends[0]
+    order = np.lexsort((places, np.repeat(np.arange(len(first)), np.diff(ends))))
+    held = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places[order]))
+    return pa.RecordBatch.from_arrays([*[c.take(pa.array(first)) for c in batch.columns[:3]], held], names=["token", *KEYS, "at"])
+
+
 def postings(rows: DataFrame, column: str = "search") -> DataFrame:
     """token, file, block, at of all rows (file, line_no, column)."""
-    line = F.col("line_no") - F.shiftleft(F.shiftright("line_no", BLOCK_BITS), BLOCK_BITS)
-    spread = rows.select("file", "line_no", F.posexplode(tokens_of(column)).alias("_pos", "token"))
-    return (spread.groupBy("token", "file", F.shiftright("line_no", BLOCK_BITS).alias("block"))
-            .agg(F.sort_array(F.collect_list(F.shiftleft(line, PLACE_BITS) + F.col("_pos"))).alias("at")))
+    return whole(gathered(rows, column).repartition("token", *KEYS))
 
 
 class PostingTable:
@@ -56,7 +128,8 @@ class PostingTable:
         self.spark, self.path = spark, path.rstrip("/")
 
     def append(self, rows: DataFrame, column: str = "search") -> None:
-        found = postings(rows, column).repartitionByRange("token", *KEYS).sortWithinPartitions("token", *KEYS)
+        # Dealt out once: equal keys are in one range, where they are put together.
+        found = whole(gathered(rows, column).repartitionByRange("token", *KEYS))
         part = f"{self.path}/postings/part={uuid.uuid4().hex}"
         found.write.options(**PARQUET).parquet(part)
         counts = self.spark.read.schema(SCHEMA).parquet(part).groupBy("token").agg(

@@ -75,3 +75,31 @@ def test_the_filter_on_a_token_reaches_the_scan(spark, texts, tmp_path):
     index.append(texts)
     plan = index.blocks("red")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(token,red)" in plan
+
+
+def test_postings_are_dealt_out_once(spark, lines, tmp_path, monkeypatch):
+    """Lines of a block come from several tasks and batches, some without a number or file; a
+    token's places in a block are one ascending row, and one shuffle brings them there."""
+    from logquarry.operators import postings as p
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = spark.range(40, numPartitions=4).select(
+            F.when(F.col("id") != 7, F.concat(F.lit("f"), F.col("id") % 3)).alias("file"),
+            F.when(F.col("id") != 8, F.col("id") * 100).alias("line_no"),
+            F.when(F.col("id") != 9, F.concat_ws(" ", F.lit("Ab cd, ab"), F.col("id") % 4)).alias("value"))
+        cut = rows.select("file", "line_no", F.posexplode(p.tokens_of("value")).alias("pos", "token")).collect()
+        want = {}
+        for r in cut:
+            none = r["line_no"] is None
+            places = want.setdefault((r["token"], r["file"], None if none else r["line_no"] >> 10), [])
+            places += [] if none else [((r["line_no"] & 1023) << 40) + r["pos"]]
+        index = PostingTable(spark, str(tmp_path / "index"))
+        index.append(rows, "value")
+        for found in (index.read(), p.postings(rows, "value")):
+            got = [((r["token"], r["file"], r["block"]), r["at"]) for r in found.select(*p.SCHEMA.replace(",", "").split()[0:6:2], "at").collect()]
+            assert len(got) == len(want) and dict(got) == {k: sorted(v) for k, v in want.items()}
+        plan = p.whole(p.gathered(rows, "value").repartitionByRange("token", *p.KEYS))
+        assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert p.postings(rows.limit(0), "value").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
