@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.operators import parsers
-from logquarry.session import configure, needs_spreading, spread
+from logquarry.session import configure, spread, tasks_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-SPREAD: dict[tuple[str, str], bool] = {}     # per application and table
+SPREAD: dict[tuple[str, str], int | None] = {}     # per application and table
 
 
 def query(name: str, sql: str | None = None):
@@ -37,8 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     found = spark.read.parquet(path)
     key = (spark.sparkContext.applicationId, path)
     if key not in SPREAD:
-        SPREAD[key] = needs_spreading(found)
-    return spread(found) if SPREAD[key] else found
+        SPREAD[key] = tasks_for(found)
+    return spread(found, SPREAD[key]) if SPREAD[key] else found
 
 
 # --- derived lines, Spark side ---------------------------------------------

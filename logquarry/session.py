@@ -65,11 +65,23 @@ def needs_spreading(scan: DataFrame) -> bool:
     return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """One task per core. A file of one row group is one task, however many cores
-    wait for it; use this only where `needs_spreading`, so a scan that keeps all
-    cores busy is never shuffled."""
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+ROWS_PER_TASK = 250_000     # parsed lines of about 1.5 kB: what a sort of a task's rows holds
+
+
+def tasks_for(scan: DataFrame) -> int | None:
+    """Into how many tasks to spread a scan: one per core at least, and none with many more
+    than ROWS_PER_TASK rows. None where its own tasks are as many."""
+    bounded = -(-scan.count() // ROWS_PER_TASK)
+    if needs_spreading(scan) or scan.rdd.getNumPartitions() < bounded:
+        return max(scan.sparkSession.sparkContext.defaultParallelism, bounded)
+    return None
+
+
+def spread(scan: DataFrame, tasks: int) -> DataFrame:
+    """A file of one row group is one task, however many cores wait for it, and a small file
+    may hold many rows; use this only with `tasks_for`, so a scan that keeps all cores busy
+    with tasks of a bounded size is never shuffled."""
+    return scan.repartition(tasks)
 
 
 def settle(df: DataFrame) -> DataFrame:

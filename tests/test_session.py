@@ -36,3 +36,21 @@ def test_measured_bytes(spark):
 def test_spreading_only_small_scans(spark):
     assert session.needs_spreading(spark.range(10, numPartitions=1))
     assert not session.needs_spreading(spark.range(10, numPartitions=64))
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert session.tasks_for(spark.range(10, numPartitions=1)) == cores
+    assert session.tasks_for(spark.range(10, numPartitions=64)) is None
+    many = spark.range(20 * session.ROWS_PER_TASK + 1, numPartitions=cores)
+    assert session.tasks_for(many) == max(cores, 21)
+
+
+def test_a_large_table_is_read_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    """However many rows a file has, a task that parses, sorts and writes them gets a few."""
+    from logquarry.catalog import base
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 1000)
+    spark.range(0, 40_000, numPartitions=2).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    found = base.table(spark, str(tmp_path), "events")
+    sizes = [len(p) for p in found.rdd.glom().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) <= 1100
