@@ -10,7 +10,8 @@ only one set lists are dropped. An entry knows its set's size and its position.
 a list are skipped by size (beyond a factor t) and by position: from there on the smaller
 set must still hold the overlap that a link needs, so late entries of two sets never meet.
 
-Answers. In each list one set leads, then the next 1, 2, 4 ...; a leader's overlaps are
+Answers. In each list one set leads, then the next 1, 2, 4 ..., and all others at once when
+the pairs they can still meet are no more than some per entry; a leader's overlaps are
 computed only with sets that are not yet in its component. From the overlaps with the
 first leader L those of other pairs are bounded without reading them:
 o(L,x) + o(L,y) - |L| <= o(x,y) <= min(o(L,x) + |y| - o(L,y), o(L,y) + |x| - o(L,x)),
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logquarry.llm.common import (BROADCAST_ROWS, bitmaps, discard, few, lookup, map_texts, maybe_in, query, stored,
@@ -44,6 +45,8 @@ SHINGLE = 4
 PERCENT = 85
 HEAVY = 1 << 18                 # shingles known as frequent, 16 bytes each in every task
 BROADCAST_TOKENS = 4_000_000    # shared shingles sent to every task, 8 bytes each
+PAIRS_AT_ONCE = 8               # pairs of entries per entry that one round may join
+ALL_LEADERS = 1 << 62           # beyond the rank of any
 HEAD = 1 << 61                  # hashes below are compared first: an eighth of a set
 
 
@@ -260,23 +263,28 @@ def merged(labels: DataFrame | None, links: list[DataFrame]) -> DataFrame:
     return out
 
 
-def with_blocks(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries that some block of their list can meet. Blocks are bands of sizes, each with
-    its early entries (that still hold what a link to an equal or larger set needs) and
-    late ones; a set meets its own band and the next ones, and of two sets the smaller
-    must be early."""
+def led_lists(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries that some block of their list can meet, with `leader`, `l_n`, `l_i`: the first
+    of them in their list. Blocks are bands of sizes, each with its early entries (that still
+    hold what a link to an equal or larger set needs) and late ones; a set meets its own band
+    and the next ones, and of two sets the smaller must be early. One shuffle by the list."""
     width = math.log(100 / percent) * 1.0001
     blocked = entries.withColumns({
-        "band": F.floor(F.log("n") / width),
-        "early": F.col("n") - F.col("i") >= needed(F.col("n"), F.col("n"), percent)})
-    counts = blocked.groupBy("token", "band").agg(F.count(F.lit(1)).alias("every"), F.count_if("early").alias("early"))
-    seen = counts.select("token", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), F.col("band").alias("own"), "every", "early")
-    met = seen.groupBy("token", "band").agg(
-        F.sum(F.when(F.col("own") >= F.col("band"), F.col("every")).otherwise(F.col("early"))).alias("_lq_any"),
-        F.sum(F.when(F.col("own") <= F.col("band"), F.col("early")).otherwise(0)).alias("_lq_early"))
-    return (blocked.join(met, ["token", "band"])
-            .where(F.when(F.col("early"), F.col("_lq_any") > 1).otherwise(F.col("_lq_early") > 0))
-            .select(*entries.columns))
+        "_lq_band": F.floor(F.log("n") / width),
+        "_lq_early": F.col("n") - F.col("i") >= needed(F.col("n"), F.col("n"), percent)})
+    part = Window.partitionBy("token")
+    bands = part.orderBy("_lq_band")
+    early = F.count_if("_lq_early")
+    met = blocked.withColumns({
+        "_lq_large": F.count(F.lit(1)).over(bands.rangeBetween(0, 1)),
+        "_lq_small": early.over(bands.rangeBetween(-1, -1)),
+        "_lq_earlier": early.over(bands.rangeBetween(-1, 0))})
+    met = met.where(F.when(F.col("_lq_early"), F.col("_lq_large") + F.col("_lq_small") > 1)
+                    .otherwise(F.col("_lq_earlier") > 0))
+    first = F.min(F.struct("sid", "n", "i")).over(part)
+    return met.withColumn("_lq_first", first).select(
+        *entries.columns, F.col("_lq_first.sid").alias("leader"), F.col("_lq_first.n").alias("l_n"),
+        F.col("_lq_first.i").alias("l_i"))
 
 
 def needed(na: Column, nb: Column, percent: int) -> Column:
@@ -332,13 +340,9 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     """(shape of every row, component label of every linked set). What a step wrote is
     removed once the next one no longer reads it."""
     shape = stored(shapes(docs, size), "set-shapes")
-    every = index(docs, size, percent, broadcast_tokens)
-    blocked = stored(with_blocks(every, percent), "blocks")
-    alive = blocked.groupBy("token").agg(F.min(F.struct("sid", "n", "i")).alias("l"), F.max("sid").alias("z"))
-    alive = alive.where("l.sid < z").select("token", F.col("l.sid").alias("leader"), F.col("l.n").alias("l_n"),
-                                            F.col("l.i").alias("l_i"))
-    entries = stored(blocked.join(alive, "token"), "lists")
-    discard(every, blocked)
+    listed_sets = index(docs, size, percent, broadcast_tokens)
+    entries = stored(led_lists(listed_sets, percent), "lists")
+    discard(listed_sets)
     sets = contents(docs, shape, entries.select("sid").distinct(), size, most)
 
     # the sets of one id belong together
@@ -383,6 +387,7 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     current = ranked(lists)
     discard(lists)
     low, high, n = 1, 2, None
+    every = current.count()
     while True:
         before, current = current, stored(open_lists(relabel(current, now), low), "open-lists", rows=n)
         discard(before)
@@ -390,6 +395,8 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         if not n:
             discard(current, sets)
             return shape, now
+        if pairs_left(current, low) <= PAIRS_AT_ONCE * every:
+            high = ALL_LEADERS
         pairs = stored(candidates(current, low, high, percent), "candidates")
         found = overlaps(stored(pairs.where("NOT sure").select("a", "b"), "pairs", rows=pairs.count()))
         now = merged(now, [pairs.where("sure").select("a", "b"), links(found)])
@@ -397,10 +404,16 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         low, high = high, 2 * high
 
 
+def pairs_left(entries: DataFrame, low: int) -> int:
+    """Pairs of different components, list by list, that leaders of rank `low` on can still meet."""
+    sizes = entries.where(F.col("r") >= low).groupBy("token", "c").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    lists = sizes.groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
+    return lists.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.lit(0))).first()[0]
+
+
 def ranked(entries: DataFrame) -> DataFrame:
     """Entries with their place `r` in their list; the leader has 0. Places come from the
     order of all entries at once, so a long list is spread over many tasks."""
-    from pyspark.sql import Window
     ordered = stored(entries.repartitionByRange("token", "sid").sortWithinPartitions("token", "sid")
                      .withColumn("_lq_at", F.monotonically_increasing_id()), "ordered-lists")
     part = F.shiftright("_lq_at", 33)

@@ -1,7 +1,8 @@
 """Words of Arrow text columns as numpy arrays: offsets, rows and 64-bit hashes.
 
-A batch is cut into pieces of a few megabytes (one text at least), so memory does
-not follow the batch. All word classes here are sets of ASCII bytes that separate,
+A batch is cut into pieces of a quarter of a megabyte (one text at least), so memory does
+not follow the batch: the arrays over a piece take up to sixty times its size, in every
+worker. All word classes here are sets of ASCII bytes that separate,
 so texts are handled as UTF-8 bytes; every byte of a longer character is a word byte.
 Hashes depend on the word's bytes alone: they are equal on every executor.
 """
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 256 << 10
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 # ASCII letters and digits stay, and every byte of a non-ASCII character.
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])

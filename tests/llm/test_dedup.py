@@ -110,6 +110,45 @@ def test_jaccard_of_a_large_group_of_near_copies(ready, documents, prose):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: g for d, (_, g) in groups(docs, 4, 85).items()}
 
 
+@pytest.mark.parametrize("at_once,rounds", [(0, 5), (8, 1)])
+def test_jaccard_leads_few_pairs_at_once(ready, documents, prose, monkeypatch, at_once, rounds):
+    """Rounds of 1, 2, 4 .. leaders while many pairs are left, else one; the same groups."""
+    base, docs, seen = prose("base", 60, 5000).split(), {}, []
+    for d in range(40):
+        w, r = list(base), random.Random(d)
+        for k in range(r.randrange(12)):
+            w[r.randrange(60)] = f"x{d}/{k}"
+        docs[d] = " ".join(w)
+    plain = jaccard_join.candidates
+    monkeypatch.setattr(jaccard_join, "candidates", lambda *a: seen.append(a[1:3]) or plain(*a))
+    monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", at_once, raising=False)
+    got = jaccard_join.jaccard_components(documents(docs)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: g for d, (_, g) in groups(docs, 4, 85).items()}
+    assert 1 <= len(seen) <= rounds
+
+
+def test_jaccard_lists_and_leaders_in_one_shuffle(ready):
+    r = random.Random(4)
+    rows = [(t, bytes([s]), n, min(r.randrange(n), r.randrange(n))) for t in range(40) for s in range(r.randrange(1, 5))
+            for n in [r.randrange(8, 30)]]
+    lists = jaccard_join.led_lists(ready.createDataFrame(rows, "token long, sid binary, n long, i long"), 85)
+    got = {(x["token"], bytes(x["sid"])): (bytes(x["leader"]), x["l_n"], x["l_i"]) for x in lists.collect()}
+
+    def meet(x, y):
+        (_, _, n, i), (_, _, m, j) = sorted((x, y), key=lambda e: e[2])
+        need = -(-85 * (n + m) // 185)
+        return 100 * n >= 85 * m and min(n - i, m - j) >= need
+    for x in rows:
+        others = [y for y in rows if y[0] == x[0] and y[1] != x[1]]
+        if any(meet(x, y) for y in others):
+            assert x[:2] in got
+    for token in {t for t, _ in got}:
+        kept = [x for x in rows if x[:2] in got and x[0] == token]
+        assert len(kept) > 1 and {got[x[:2]] for x in kept} == {min(x[1:] for x in kept)}
+    plan = lists._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
 def test_line_runs_are_levelled(ready, documents):
     runs, seen = line_dedup.LineRuns(ready, fanout=2), defaultdict(set)
     for batch in range(5):

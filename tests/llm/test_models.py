@@ -16,6 +16,19 @@ from logquarry.llm.words import NOT_ALNUM, SPACE, words
 SF = "/root/testdata/sf0.01"
 
 
+def test_memory_of_a_worker_does_not_follow_the_batch(prose):
+    import tracemalloc
+
+    from logquarry.llm.jaccard_join import Sets
+    texts = pa.array([prose(1, 400)] * 3000)
+    tracemalloc.start()
+    for w in words(texts, lower=True):
+        Sets(w, 4).ids()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 4 << 20 and peak < 48 << 20
+
+
 @pytest.mark.parametrize("separators,pattern", [(SPACE, r"[^\x20\x09-\x0D]+"), (NOT_ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
 @pytest.mark.parametrize("piece", [1, 40, 1 << 20])
 def test_words(separators, pattern, piece):
