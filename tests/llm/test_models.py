@@ -26,7 +26,7 @@ def test_memory_of_a_worker_does_not_follow_the_batch(prose):
         Sets(w, 4).ids()
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert texts.nbytes > 4 << 20 and peak < 48 << 20
+    assert texts.nbytes > 4 << 20 and peak < 24 << 20
 
 
 @pytest.mark.parametrize("separators,pattern", [(SPACE, r"[^\x20\x09-\x0D]+"), (NOT_ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
