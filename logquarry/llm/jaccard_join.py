@@ -4,18 +4,27 @@ Two documents are linked when their sets of shingles have a Jaccard similarity o
 least `percent` hundredths; a document's component is the smallest id it can be reached
 from. Equal sets are one node, so copies never meet as pairs.
 
-Index. All shingles have one order, the most frequent ones last, and a set is listed
-under its first n - ceil(t * n) + 1 shingles: linked sets share one of them. Shingles that
-only one set lists are dropped. An entry knows its set's size and its position. Blocks of
-a list are skipped by size (beyond a factor t) and by position: from there on the smaller
-set must still hold the overlap that a link needs, so late entries of two sets never meet.
-
-Answers. In each list one set leads, then the next 1, 2, 4 ..., and all others at once when
+Index. Hashes deal the shingles to cells, more cells than two linked sets can differ by in
+shingles; what a set has in one cell is a segment. Of the segments with two shingles or more,
+in the order of the cells, a set lists the first d + 1, where d is what any link of it can
+differ by: linked sets share one of them, and the first one shared has no more than d before
+it in either. A set with too few such segments lists those of one shingle too, then segments
+by other hashes, and at last one token of its level, so it needs no luck. The number of cells
+comes from a ladder of levels by the size of the larger set; a set lists itself on all levels
+of the sets it can link to, mostly one or two. A segment is equal only where sets agree in
+all of it, so sets that merely share some frequent shingles do not meet, however many there
+are. Segments that only one set lists are dropped, and of lists with the same sets the first
+one stays. An entry knows its set's size and its place. Blocks of a list are skipped by size
+(beyond a factor t) and by place: the larger of two sets must be early, see `led_lists`.
+
+Answers. In each list one set leads, then the next 1, 7, 56 ..., and all others at once when
 the pairs they can still meet are no more than some per entry; a leader's overlaps are
 computed only with sets that are not yet in its component. From the overlaps with the
 first leader L those of other pairs are bounded without reading them:
 o(L,x) + o(L,y) - |L| <= o(x,y) <= min(o(L,x) + |y| - o(L,y), o(L,y) + |x| - o(L,x)),
 which links or rejects most sets that are much like L; only what lies between is computed.
+Before, 256 bits of either set, each the parity of the shingles that fall on it, tell most
+pairs that differ in too much apart.
 An overlap is first taken over the eighth of the sets with the least hashes; what is left
 of the smaller set bounds the rest, and only pairs that can still be linked are compared
 whole. A list ends when all its sets are in one component or have led. No link between
@@ -43,13 +52,27 @@ from logquarry.llm.words import constants, grams, inside, mixed, words
 
 SHINGLE = 4
 PERCENT = 85
-HEAVY = 1 << 18                 # shingles known as frequent, 16 bytes each in every task
-BROADCAST_TOKENS = 4_000_000    # shared shingles sent to every task, 8 bytes each
-PAIRS_AT_ONCE = 8               # pairs of entries per entry that one round may join
+SEEDS = 2                       # ways to deal shingles to cells
+BROADCAST_TOKENS = 1_000_000    # shared segments sent to every task, 8 bytes each
+BITS = ["b0", "b1", "b2", "b3"]
+PAIRS_AT_ONCE = 1000            # pairs of entries per entry that one round may look at
 ALL_LEADERS = 1 << 62           # beyond the rank of any
 HEAD = 1 << 61                  # hashes below are compared first: an eighth of a set
 
 
+def levels(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last level of sets of n shingles (none: the last is -1), and of every level
+    the most that linked sets can differ by and the number of its cells."""
+    largest = 100 * n // percent
+    own, most = (2 * x * (100 - percent) // (100 + percent) for x in (n, largest))
+    caps = [1]
+    while caps[-1] < most.max(initial=0):
+        caps.append(max(caps[-1] + 1, caps[-1] * 8 // 5))
+    caps = np.array(caps, dtype=np.int64)
+    return (np.searchsorted(caps, np.maximum(own, 1)), np.where(most > 0, np.searchsorted(caps, most), -1),
+            caps, caps + 2 + caps // 8)
+
+
 class Sets:
     """Sorted shingle sets of the texts of one piece."""
 
@@ -80,24 +103,57 @@ class Sets:
             out[:, k] = mixed(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.n.astype(np.uint64))
         return out
 
-    def prefixes(self, heavy: tuple[np.ndarray, np.ndarray], percent: int):
-        """(text, shingle, position) of the listed shingles."""
-        tokens, ranks = heavy
-        light = np.ones(len(self.code), dtype=bool)
-        spot = np.zeros(len(self.code), dtype=np.int64)
-        if len(tokens):
-            spot = np.minimum(np.searchsorted(tokens, self.code), len(tokens) - 1)
-            light = tokens[spot] != self.code
-        before = np.append(0, np.cumsum(light))
-        position = before[:-1] - before[self.bounds[self.row]]
-        frequent = np.flatnonzero(~light)
-        frequent = frequent[np.lexsort((ranks[spot[frequent]] if len(tokens) else frequent, self.row[frequent]))]
-        owner = self.row[frequent]
-        lights = before[self.bounds[owner + 1]] - before[self.bounds[owner]]
-        position[frequent] = lights + np.arange(len(frequent)) - np.searchsorted(owner, owner)
-        length = self.n - -(-percent * self.n // 100) + 1
-        pick = np.flatnonzero(position < length[self.row])
-        return self.row[pick], self.code[pick], position[pick]
+    def segments(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, token, place) of the listed segments. The first byte of a token tells its
+        level, the way of dealing, and whether segments hold one shingle."""
+        low, high, caps, cells = levels(self.n, percent)
+        reach = (self.n + 100 * self.n // percent) * (100 - percent) // (100 + percent)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+        def listing(row, token, place, step):
+            found.append((row, token >> np.uint64(8) | step.astype(np.uint64)[row] << np.uint64(56), place))
+        for up in range(int((high - low).max(initial=-1)) + 1):
+            wanting = low + up <= high
+            level = np.minimum(low + up, len(caps) - 1)
+            differ = np.minimum(caps[level], reach)
+            for seed in range(SEEDS):
+                row, token, load = self._cells(wanting, cells[level], seed)
+                filled = np.zeros(self.rows, dtype=np.int64)
+                for single in (0, 1):
+                    pick = np.flatnonzero(((load == 1) == single) & wanting[row])
+                    r = row[pick]
+                    place = np.arange(len(r)) - np.searchsorted(r, r)
+                    filled += np.bincount(r, minlength=self.rows)
+                    early = place <= differ[r]
+                    listing(r[early], token[pick[early]], place[early], (2 * SEEDS + 1) * level + 2 * seed + single)
+                    wanting = wanting & (filled <= differ)
+            last = np.flatnonzero(wanting)
+            listing(last, np.zeros(len(last), np.uint64), np.zeros(len(last), np.int64),
+                    (2 * SEEDS + 1) * level + 2 * SEEDS)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def bits(self) -> np.ndarray:
+        """Four numbers per text, whose 256 bits tell whether an odd number of its shingles falls on them."""
+        place = self.row * 256 + (self.code & np.uint64(255)).astype(np.int64)
+        odd = (np.bincount(place, minlength=256 * self.rows) & 1).astype(np.uint8)
+        return np.packbits(odd, bitorder="little").view("<i8").reshape(self.rows, 4)
+
+    def _cells(self, wanted: np.ndarray, cells: np.ndarray, seed: int):
+        """(text, token, number of shingles) of the filled cells of the wanted texts, in order."""
+        pick = np.flatnonzero(wanted[self.row])
+        code, row = self.code[pick], self.row[pick]
+        if not len(row):
+            return row, code, np.zeros(0, np.int64)
+        deal = code
+        if seed:
+            deal = mixed(code + constants(SEEDS, 700)[seed])
+            order = np.lexsort((deal, row))
+            code, row, deal = code[order], row[order], deal[order]
+        cell = (deal >> np.uint64(32)) * cells[row].astype(np.uint64) >> np.uint64(32)
+        edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])))
+        a, b = constants(2, 800)
+        token = mixed(np.add.reduceat(mixed(code * a + a), edge) + mixed(cell[edge] * b + b))
+        return row[edge], token, np.diff(np.append(edge, len(row)))
 
 
 def blob(ids: np.ndarray) -> pa.Array:
@@ -124,41 +180,22 @@ def shapes(docs: DataFrame, size: int) -> DataFrame:
                      run, f"doc_id {kind}, text_key long, n long, sid binary")
 
 
-def frequent_shingles(docs: DataFrame, size: int, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles by the sum of their counts in batches where `least`
-    documents or more have them, sorted, with their ranks. Any choice gives a right join:
-    it only decides which shingles are listed last."""
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = [Sets(w, size).code for w in words(batch.column(1), lower=True)]
-        code = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        edge = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-        n = np.diff(np.append(edge, len(code)))
-        yield pa.RecordBatch.from_arrays([pa.array(code[edge][n >= least].view(np.int64)), pa.array(n[n >= least])],
-                                         names=["token", "n"])
-    counts = (map_texts(readable(docs), ["doc_id", "text"], run, "token long, n long")
-              .groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).toArrow())
-    tokens = counts.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], (len(tokens) - np.arange(len(tokens)))[order]
-
-
-def listed(docs: DataFrame, size: int, percent: int, heavy) -> DataFrame:
-    """(token, sid) of all prefixes, the set by half of its id."""
+def listed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(token, half) of all listed segments, the set by half of its id."""
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for w in words(batch.column(1), lower=True):
             s = Sets(w, size)
-            row, code, _ = s.prefixes(heavy.value, percent)
+            row, token, _ = s.segments(percent)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code.view(np.int64)), pa.array(s.ids()[row, 0].view(np.int64))], names=["token", "half"])
+                [pa.array(token.view(np.int64)), pa.array(s.ids()[row, 0].view(np.int64))], names=["token", "half"])
     return map_texts(readable(docs), ["doc_id", "text"], run, "token long, half long")
 
 
 def index(docs: DataFrame, size: int, percent: int, broadcast_tokens: int) -> DataFrame:
-    """Entries (token, sid, n, i) under shingles that two different sets list."""
+    """Entries (token, sid, n, i, bits) under segments that two different sets list."""
     spark = docs.sparkSession
-    heavy = spark.sparkContext.broadcast(frequent_shingles(docs, size))
-    shared = stored(listed(docs, size, percent, heavy).groupBy("token").agg(
-        F.min("half").alias("a"), F.max("half").alias("b")).where("a < b").select("token"), "shared-shingles")
+    shared = stored(listed(docs, size, percent).groupBy("token").agg(
+        F.min("half").alias("a"), F.max("half").alias("b")).where("a < b").select("token"), "shared-segments")
     known = None
     if few(shared, broadcast_tokens):
         known = spark.sparkContext.broadcast(np.sort(shared.toArrow().column("token").to_numpy().view(np.uint64)))
@@ -166,21 +203,37 @@ def index(docs: DataFrame, size: int, percent: int, broadcast_tokens: int) -> Da
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for w in words(batch.column(1), lower=True):
             s = Sets(w, size)
-            row, code, position = s.prefixes(heavy.value, percent)
+            row, token, place = s.segments(percent)
             if known is not None:
                 values = known.value
-                hit = (values[np.minimum(np.searchsorted(values, code), len(values) - 1)] == code
-                       if len(values) else np.zeros(len(code), bool))
-                row, code, position = row[hit], code[hit], position[hit]
+                hit = (values[np.minimum(np.searchsorted(values, token), len(values) - 1)] == token
+                       if len(values) else np.zeros(len(token), bool))
+                row, token, place = row[hit], token[hit], place[hit]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code.view(np.int64)), blob(s.ids()[row]), pa.array(s.n[row].astype(np.int64)),
-                 pa.array(position.astype(np.int64))], names=["token", "sid", "n", "i"])
-    rows = map_texts(readable(docs), ["doc_id", "text"], run, "token long, sid binary, n long, i long")
+                [pa.array(token.view(np.int64)), blob(s.ids()[row]), pa.array(s.n[row].astype(np.int64)),
+                 pa.array(place.astype(np.int64)), *map(pa.array, np.ascontiguousarray(s.bits()[row].T))],
+                names=["token", "sid", "n", "i", *BITS])
+    rows = map_texts(readable(docs), ["doc_id", "text"], run, "token long, sid binary, n long, i long, "
+                     + ", ".join(f"{b} long" for b in BITS))
     if known is None:
-        rows = rows.join(shared, "token", "left_semi")
+        maps = stored(bitmaps(shared, F.col("token")), "segment-filter")
+        rows = maybe_in(rows, F.col("token"), maps).join(shared, "token", "left_semi")
     return stored(rows.distinct(), "entries")
 
 
+def different_lists(entries: DataFrame) -> DataFrame:
+    """Entries without the lists that hold the same sets as another one. The first stays, by
+    the first byte of its token and by place: where any two of its sets first meet."""
+    lists = entries.groupBy("token").agg(
+        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y"), F.min(F.struct("sid", "i")).alias("first"))
+    kept = stored(lists.groupBy("m", "x", "y").agg(
+        F.min(F.struct(F.shiftright("token", 56), "first.i", "token")).alias("l")).select("l.token"), "different-lists")
+    out = stored(entries.join(lookup(kept), "token", "left_semi"), "entries")
+    discard(kept, entries)
+    return out
+
+
 def contents(docs: DataFrame, shape: DataFrame, sids: DataFrame, size: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """(sid, n, head, rest: sorted 64-bit values, those below HEAD apart) of the wanted sets,
     each once, from one of its texts that has an id. Written once; all overlaps read this."""
@@ -265,22 +318,23 @@ def merged(labels: DataFrame | None, links: list[DataFrame]) -> DataFrame:
 
 def led_lists(entries: DataFrame, percent: int) -> DataFrame:
     """Entries that some block of their list can meet, with `leader`, `l_n`, `l_i`: the first
-    of them in their list. Blocks are bands of sizes, each with its early entries (that still
-    hold what a link to an equal or larger set needs) and late ones; a set meets its own band
-    and the next ones, and of two sets the smaller must be early. One shuffle by the list."""
+    of them in their list. Blocks are bands of sizes, each with its early entries (with no more
+    segments before than what a link to an equal or smaller set can differ by) and late ones; a
+    set meets its own band and the next ones, and of two sets the larger must be early. One
+    shuffle by the list."""
     width = math.log(100 / percent) * 1.0001
     blocked = entries.withColumns({
         "_lq_band": F.floor(F.log("n") / width),
-        "_lq_early": F.col("n") - F.col("i") >= needed(F.col("n"), F.col("n"), percent)})
+        "_lq_early": (100 + percent) * F.col("i") <= 2 * (100 - percent) * F.col("n")})
     part = Window.partitionBy("token")
     bands = part.orderBy("_lq_band")
     early = F.count_if("_lq_early")
     met = blocked.withColumns({
-        "_lq_large": F.count(F.lit(1)).over(bands.rangeBetween(0, 1)),
-        "_lq_small": early.over(bands.rangeBetween(-1, -1)),
-        "_lq_earlier": early.over(bands.rangeBetween(-1, 0))})
-    met = met.where(F.when(F.col("_lq_early"), F.col("_lq_large") + F.col("_lq_small") > 1)
-                    .otherwise(F.col("_lq_earlier") > 0))
+        "_lq_small": F.count(F.lit(1)).over(bands.rangeBetween(-1, 0)),
+        "_lq_large": early.over(bands.rangeBetween(1, 1)),
+        "_lq_larger": early.over(bands.rangeBetween(0, 1))})
+    met = met.where(F.when(F.col("_lq_early"), F.col("_lq_small") + F.col("_lq_large") > 1)
+                    .otherwise(F.col("_lq_larger") > 0))
     first = F.min(F.struct("sid", "n", "i")).over(part)
     return met.withColumn("_lq_first", first).select(
         *entries.columns, F.col("_lq_first.sid").alias("leader"), F.col("_lq_first.n").alias("l_n"),
@@ -316,13 +370,14 @@ def compatible(percent: int) -> Column:
     """Whether a leader's and a member's entry are in blocks that can meet."""
     c = F.col
     sizes = 100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")
-    return sizes & (F.least(c("n") - c("i"), c("l_n") - c("l_i")) >= needed(c("n"), c("l_n"), percent))
+    return sizes & (F.greatest("i", "l_i") <= c("n") + c("l_n") - 2 * needed(c("n"), c("l_n"), percent))
 
 
 def candidates(entries: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """Pairs of the leaders of rank low .. high - 1 with later sets of their lists, but for
-    blocks skipped by size and position, and pairs decided by the first leader's overlaps."""
-    names = ["sid", "n", "i", "r", "c", "o", "n1"]
+    blocks skipped by size and place, pairs whose bits differ in more places than their sets
+    may in shingles, and pairs decided by the first leader's overlaps."""
+    names = ["sid", "n", "i", "r", "c", "o", "n1", *BITS]
     lead = entries.where((F.col("r") >= low) & (F.col("r") < high)).select(
         "token", *[F.col(x).alias(f"l_{x}") for x in names])
     joined = entries.join(lead, "token").where("r > l_r AND c <> l_c")
@@ -330,7 +385,8 @@ def candidates(entries: DataFrame, low: int, high: int, percent: int) -> DataFra
     least = needed(c("n"), c("l_n"), percent)
     most = F.least(c("o") + c("l_n") - c("l_o"), c("l_o") + c("n") - c("o"))
     sure = c("o") + c("l_o") - c("n1") >= least
-    return (joined.where(compatible(percent) & (c("o").isNull() | c("l_o").isNull() | (most >= least)))
+    apart = sum(F.bit_count(c(b).bitwiseXOR(c(f"l_{b}"))) for b in BITS) > c("n") + c("l_n") - 2 * least
+    return (joined.where(compatible(percent) & ~apart & (c("o").isNull() | c("l_o").isNull() | (most >= least)))
             .select(c("l_sid").alias("a"), c("sid").alias("b"), F.coalesce(sure, F.lit(False)).alias("sure"))
             .groupBy("a", "b").agg(F.max("sure").alias("sure")))
 
@@ -340,7 +396,7 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     """(shape of every row, component label of every linked set). What a step wrote is
     removed once the next one no longer reads it."""
     shape = stored(shapes(docs, size), "set-shapes")
-    listed_sets = index(docs, size, percent, broadcast_tokens)
+    listed_sets = different_lists(index(docs, size, percent, broadcast_tokens))
     entries = stored(led_lists(listed_sets, percent), "lists")
     discard(listed_sets)
     sets = contents(docs, shape, entries.select("sid").distinct(), size, most)
@@ -401,7 +457,7 @@ def join_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         found = overlaps(stored(pairs.where("NOT sure").select("a", "b"), "pairs", rows=pairs.count()))
         now = merged(now, [pairs.where("sure").select("a", "b"), links(found)])
         discard(pairs, found)
-        low, high = high, 2 * high
+        low, high = high, 8 * high
 
 
 def pairs_left(entries: DataFrame, low: int) -> int:
@@ -432,7 +488,7 @@ def ranked(entries: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
                        broadcast_tokens: int = BROADCAST_TOKENS, most: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs. Up to `broadcast_tokens` shared
-    shingles and `most` wanted texts are sent to every task; beyond, they are joined."""
+    segments and `most` wanted texts are sent to every task; beyond, they are joined."""
     shape, labels = join_sets(docs, size, percent, broadcast_tokens, most)
     l = labels.withColumnRenamed("node", "_lq_node")       # noqa: E741
     placed = stored(shape.join(l, shape["sid"] == l["_lq_node"], "left").select(

@@ -216,3 +216,71 @@ def test_without_many_keys(ready, documents):
         dropped = ready.createDataFrame([(i,) for i in ids], "doc_id long")
         for most in (0, 10):
             assert sorted(str(r["doc_id"]) for r in without(docs, dropped, most=most).collect()) == left
+
+
+@pytest.mark.parametrize("percent", [80, 85, 50])
+def test_linked_sets_share_a_segment_early(percent, prose):
+    """Any two linked sets meet in a list, no later than what they can differ by; no list is all of a large table."""
+    import numpy as np
+    import pyarrow as pa
+    from logquarry.llm import words as w
+    r, texts = random.Random(percent), []
+    for f in range(40):
+        base = prose(f"{percent}/{f}", r.choice([1, 4, 7, 9, 14, 30, 80, 400]), 5000).split()
+        for _ in range(8):
+            texts.append(" ".join(base))
+            base = base[:r.randrange(1, 4)] + base if r.random() < .3 else list(base)
+            for _ in range(r.randrange(3)):
+                base[r.randrange(len(base))] = f"n{r.random()}"
+    piece, = w.words(pa.array(texts), lower=True, piece_bytes=1 << 30)
+    s = jaccard_join.Sets(piece, 4)
+    for seeds in (jaccard_join.SEEDS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(jaccard_join, "SEEDS", seeds)
+            row, token, place = s.segments(percent)
+        lists = [dict(zip(token[row == k], place[row == k])) for k in range(len(texts))]
+        sets = [set(s.code[a:b].tolist()) for a, b in zip(s.bounds[:-1], s.bounds[1:])]
+        assert s.segments(percent)[0].max() > 0 and len(set(map(tuple, np.column_stack([row, token.astype(np.int64)])))) == len(row)
+        for x in range(len(sets)):
+            for y in range(x):
+                o, most = len(sets[x] & sets[y]), len(sets[x]) + len(sets[y])
+                if sets[x] != sets[y] and 100 * o >= percent * (most - o):
+                    met = [max(lists[x][t], lists[y][t]) for t in lists[x].keys() & lists[y].keys()]
+                    assert met and min(met) <= most - 2 * o
+
+
+def test_sets_with_frequent_shingles_in_common_are_not_listed_together(ready, documents, prose):
+    """Every text has some of the same phrases, none is much like another: no list, and nothing to compare."""
+    phrases = [prose(k, 8, 10 ** 6) for k in range(30)]
+    docs = {}
+    for d in range(200):
+        r = random.Random(d)
+        docs[d] = " ".join(x for _ in range(6) for x in (r.choice(phrases), prose(r.random(), 7, 10 ** 6)))
+    entries = jaccard_join.index(documents(docs), 4, 85, 1000)
+    assert entries.count() < 40
+    one = list(docs.values())[0].split()
+    docs[500] = " ".join(one[:-1] + ["other"])
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(documents(docs)).collect()} == {
+        **{d: d for d in docs}, 500: 0}
+
+
+def test_lists_of_the_same_sets_are_kept_once(ready):
+    byte = 1 << 56
+    rows = [(byte + t, bytes([s]), 50, i) for t, i in ((5, 4), (6, 2), (7, 3)) for s in (1, 2)]
+    rows += [(byte + 8, bytes([s]), 50, 0) for s in (1, 2, 3)] + [(2 * byte, bytes([s]), 50, 0) for s in (1, 2)]
+    kept = jaccard_join.different_lists(stored(ready.createDataFrame(rows, "token long, sid binary, n long, i long"), "test-entries"))
+    assert {(r["token"] - byte, bytes(r["sid"])[0]) for r in kept.collect()} == {(6, 1), (6, 2), (8, 1), (8, 2), (8, 3)}
+
+
+def test_bits_differ_no_more_than_sets(prose):
+    import numpy as np
+    import pyarrow as pa
+    from logquarry.llm import words as w
+    texts = ["", None, *(prose(k % 7, 5 + 40 * (k % 3)) + f" e{k}" * (k % 4) for k in range(40))]
+    piece, = w.words(pa.array(texts), lower=True)
+    s = jaccard_join.Sets(piece, 4)
+    sets, bits = [set(s.code[a:b].tolist()) for a, b in zip(s.bounds[:-1], s.bounds[1:])], s.bits()
+    assert bits.shape == (len(texts), 4) and not bits[:2].any()
+    far = [(bin(int(np.bitwise_xor(x, y).view(np.uint8).astype(object) @ [256 ** k for k in range(32)])).count("1"), len(a ^ b))
+           for x, a in zip(bits, sets) for y, b in zip(bits, sets)]
+    assert all(d <= n and (d - n) % 2 == 0 for d, n in far) and max(d for d, _ in far) > 40
