@@ -32,8 +32,9 @@ def _numbered_rows(batch):
 
 def _run_landing(spark, folder, max_files=16, sketches=False):
     tables = live.LiveTables(spark, scratch_folder(spark, "live"), sketches)
-    stream = landing.watch_folder(spark, folder, max_files)
-    live.run_available(stream, lambda b, i: tables.write(_numbered_rows(b), i), tables.path + "/checkpoint")
+    with landing.few_listing_tasks(spark):
+        stream = landing.watch_folder(spark, folder, max_files)
+        live.run_available(stream, lambda b, i: tables.write(_numbered_rows(b), i), tables.path + "/checkpoint")
     return tables
 
 
@@ -42,7 +43,8 @@ LANDED = f"""WITH {EV}, {BUCKETS} SELECT CAST(bucket AS BIGINT) AS bucket, line_
 
 @query("stream_landing_parse", LANDED)
 def stream_landing_parse(spark, sf):
-    rows = _run_landing(spark, _landed(spark, sf)).rows()
+    folder = _landed(spark, sf)
+    rows = _run_landing(spark, folder, landing.files_per_batch(spark, folder, 16)).rows()
     return rows.select(bucket_of().alias("bucket"), "line_no", "level", "ip", "ts_norm")
 
 

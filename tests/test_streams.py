@@ -183,3 +183,59 @@ def test_top_queries_make_few_batches(spark, tmp_path):
     finally:
         live.LiveTables.write = write
     assert got["level", "ERR"] == 100 and len(set(seen)) <= streams.MOST_FILES // 10
+
+
+def test_a_large_landing_makes_few_batches(spark, tmp_path):
+    """Files of 2,500 events each, as the result names them, but more of them in a batch."""
+    from logquarry.catalog import streams
+    from logquarry.session import configure
+    from logquarry.streaming import landing
+    configure(spark)
+    spark.range(290).select(
+        (F.col("id") * 2500 + 1).alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.5).alias("value")).write.parquet(
+            str(tmp_path / "events.parquet"))
+    seen, write = [], live.LiveTables.write
+    live.LiveTables.write = lambda self, rows, i: (seen.append(i), write(self, rows, i))[1]
+    try:
+        got = sorted(tuple(r) for r in streams.stream_landing_parse(spark, str(tmp_path)).select("bucket", "line_no", "level").collect())
+    finally:
+        live.LiveTables.write = write
+    assert got == [(i, 0, "ERR") for i in range(290)]
+    assert len(set(seen)) <= landing.MOST_BATCHES
+
+
+def test_files_of_a_batch(spark, tmp_path):
+    from logquarry.streaming import landing
+    for i in range(landing.MOST_BATCHES * 2 + 1):
+        os.makedirs(tmp_path / "landed" / f"bucket={i}")
+        (tmp_path / "landed" / f"bucket={i}" / "part.txt").write_text("one\n")
+    os.makedirs(tmp_path / "none")
+    assert [landing.files_per_batch(spark, str(tmp_path / "landed"), n) for n in (1, 3, 16)] == [3, 3, 16]
+    assert landing.files_per_batch(spark, str(tmp_path / "none"), 16) == 16
+
+
+def test_listing_takes_few_tasks_and_leaves_the_session_as_it_was(spark, tmp_path):
+    from logquarry.streaming import landing
+    for i in range(100):
+        os.makedirs(tmp_path / f"bucket={i}")
+        (tmp_path / f"bucket={i}" / "part.txt").write_text("one\n")
+    tasks, tracker = [], spark.sparkContext.statusTracker()
+    before = spark.conf.get(landing.LISTING_TASKS)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        with landing.few_listing_tasks(spark):
+            landing.watch_folder(spark, str(tmp_path))
+        for job in tracker.getJobIdsForGroup("listing"):
+            tasks += [tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(job).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(landing.LISTING_TASKS) == before
+    spark.conf.set(landing.LISTING_TASKS, 7)
+    try:
+        with landing.few_listing_tasks(spark):
+            pass
+        assert spark.conf.get(landing.LISTING_TASKS) == "7"
+    finally:
+        spark.conf.unset(landing.LISTING_TASKS)
